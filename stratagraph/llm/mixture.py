@@ -4,7 +4,9 @@ Each row of a plan has a mean repetition rate: the tokens it should give over th
 taken as often as the inverse of a Poisson distribution says at a number hashed from its id, the plan and a seed, so
 the choice is the same on every run and needs no state. The distribution is cut at max_repeats and its mean is raised
 until the cut one has the target rate; a rate the cap can't reach takes every document max_repeats times, and the plan
-row is reported as not fulfilled. The copies are shuffled globally by another hash.
+row is reported as not fulfilled. As the numbers are fixed, what a rate gives is too: one pass counts the tokens that a
+scale of rates round the target rate would give, and the rate that meets the target best is taken, so that a few large
+documents don't pull a share away. The copies are shuffled globally by another hash.
 
 Defined results: sources are compared without case and outer white space, documents without source are in no plan but
 count among all tokens; null texts have no tokens; documents without tokens are never taken; a plan row with a null is
@@ -21,11 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import materialize
 from .tokens import bounded, clean_source, token_count
 
 SEED = 42
 #: Copies that an uncapped plan row may give at most, as a multiple of its rate and a constant; the tail beyond is below 1e-12.
 LOOSE = (3, 40)
+#: The rates tried, as multiples of the target rate.
+SCALE = [2.0 ** (k / 12) for k in range(-18, 19)]
 
 
 def sized(documents: DataFrame) -> DataFrame:
@@ -33,12 +38,12 @@ def sized(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", clean_source(F.col("source")).alias("source"), token_count(F.col("text")).alias("tokens"))
 
 
-def plan_rates(documents: DataFrame, plans: DataFrame) -> DataFrame:
+def plan_rates(sizes: DataFrame, plans: DataFrame) -> DataFrame:
     """(plan_id, source, target_share, max_repeats, target, available, rate, feasible): one row per plan row.
 
-    One pass counts the tokens of every source; what is shuffled is one row per source and task.
+    One pass over sizes (as sized gives them) counts the tokens of every source; what is shuffled is one row per source and task.
     """
-    totals = sized(documents).groupBy("source").agg(F.sum("tokens").alias("available"))
+    totals = sizes.groupBy("source").agg(F.sum("tokens").alias("available"))
     every = totals.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("every"))
     rows = plans.select("plan_id", clean_source(F.col("source")).alias("source"), "target_share", "max_repeats", "total_ratio").distinct()
     rows = rows.where("plan_id is not null and source is not null and target_share is not null and total_ratio is not null")
@@ -90,28 +95,61 @@ def unit(*cols) -> Column:
     return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
 
 
-def copies(documents: DataFrame, plans: DataFrame, seed: int = SEED) -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _scaled(rate: pd.Series, cap: pd.Series) -> pd.Series:
+    return pd.Series([[cut_poisson(float(r) * f, None if pd.isna(c) else float(c)) for f in SCALE] for r, c in zip(rate, cap)])
+
+
+def meeting_rate(rate: float, target: float, given: list[int]) -> float:
+    """The rate at which the tokens given by the SCALE of rates, taken as straight between them, meet the target."""
+    for k in range(len(SCALE) - 1):
+        if given[k] <= target < given[k + 1]:
+            return rate * (SCALE[k] + (target - given[k]) / (given[k + 1] - given[k]) * (SCALE[k + 1] - SCALE[k]))
+    return rate * min(zip(SCALE, given), key=lambda x: (abs(x[1] - target), abs(x[0] - 1)))[0]
+
+
+@F.pandas_udf(T.DoubleType())
+def _meeting(rate: pd.Series, target: pd.Series, given: pd.Series) -> pd.Series:
+    return pd.Series([float(r) if g is None else meeting_rate(r, t, list(g)) for r, t, g in zip(rate, target, given)])
+
+
+def _drawn(sizes: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    joined = sizes.where("tokens > 0 and source is not null").join(bounded(rates), "source")
+    return joined.withColumn("u", unit("doc_id", "plan_id", F.lit(seed)))
+
+
+def copies(sizes: DataFrame, plans: DataFrame, seed: int = SEED) -> DataFrame:
     """(plan_id, source, doc_id, tokens, copies) of each document that a plan takes."""
-    rates = bounded(plan_rates(documents, plans).select("plan_id", "source", _cut("rate", "max_repeats").alias("cdf")).where("size(cdf) > 0"))
-    joined = sized(documents).where("tokens > 0").join(rates, "source")
+    rates = materialize(plan_rates(sizes, plans).where("rate > 0").select("plan_id", "source", "target", "rate", "max_repeats"), "rates")
+    loose = rates.where("max_repeats is null or rate < max_repeats")
+    tried = _drawn(sizes, loose.select("plan_id", "source", _scaled("rate", "max_repeats").alias("cdfs")), seed)
+    many = F.transform("cdfs", lambda cdf: F.size(F.filter(cdf, lambda c: c <= F.col("u"))) * F.col("tokens"))
+    given = tried.select("plan_id", "source", many.alias("g")).groupBy("plan_id", "source").agg(F.array(*[F.sum(F.get("g", F.lit(k))) for k in range(len(SCALE))]).alias("given"))
+    met = rates.join(given, ["plan_id", "source"], "left").withColumn("rate", _meeting("rate", "target", "given"))
+    cut = materialize(met.select("plan_id", "source", _cut("rate", "max_repeats").alias("cdf")).where("size(cdf) > 0"), "cut")
     n = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
-    return joined.withColumn("u", unit("doc_id", "plan_id", F.lit(seed))).select("plan_id", "source", "doc_id", "tokens", n.alias("copies")).where("copies > 0")
+    return _drawn(sizes, cut, seed).select("plan_id", "source", "doc_id", "tokens", n.alias("copies")).where("copies > 0")
 
 
 def mix(documents: DataFrame, plans: DataFrame, seed: int = SEED) -> DataFrame:
     """(plan_id, shuffle_key, doc_id, source, copy, tokens): every copy, in the global order of the mix."""
-    each = copies(documents, plans, seed).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    sizes = materialize(sized(documents), "sizes")
+    each = copies(sizes, plans, seed).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     key = F.xxhash64("plan_id", "doc_id", "copy", F.lit(seed + 1))
     return each.select("plan_id", key.alias("shuffle_key"), "doc_id", "source", "copy", "tokens").orderBy("plan_id", "shuffle_key", "doc_id", "copy")
 
 
 def shares(documents: DataFrame, plans: DataFrame, seed: int = SEED) -> DataFrame:
-    """(plan_id, source, target_share, share, tokens, documents, most_copies, feasible): what each plan row reached."""
-    got = copies(documents, plans, seed).groupBy("plan_id", "source").agg(
+    """(plan_id, source, target_share, share, target, tokens, documents, most_copies, feasible): what each plan row reached.
+
+    share is of the tokens that the whole plan reached, target the tokens wanted of the source.
+    """
+    sizes = materialize(sized(documents), "sizes")
+    got = copies(sizes, plans, seed).groupBy("plan_id", "source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("documents"), F.max("copies").alias("most_copies")
     )
-    rows = plan_rates(documents, plans).join(got, ["plan_id", "source"], "left").fillna(0, ["tokens", "documents", "most_copies"])
+    rows = plan_rates(sizes, plans).join(got, ["plan_id", "source"], "left").fillna(0, ["tokens", "documents", "most_copies"])
     whole = rows.groupBy("plan_id").agg(F.sum("tokens").alias("whole"))
     return rows.join(whole, "plan_id").select(
-        "plan_id", "source", "target_share", F.coalesce(F.try_divide("tokens", "whole"), F.lit(0.0)).alias("share"), "tokens", "documents", "most_copies", "feasible"
+        "plan_id", "source", "target_share", F.coalesce(F.try_divide("tokens", "whole"), F.lit(0.0)).alias("share"), "target", "tokens", "documents", "most_copies", "feasible"
     )

@@ -19,7 +19,7 @@ def p6_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    rates = mixture.plan_rates(read_table(spark, d, "documents"), read_table(spark, d, "mix_plans"))
+    rates = mixture.plan_rates(mixture.sized(read_table(spark, d, "documents")), read_table(spark, d, "mix_plans"))
     return rates.where("not feasible").select("plan_id", "source").distinct()
 
 
