@@ -20,12 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import intact_rows, leading_number
-from ..runtime import HadoopFiles
+from ..runtime import HadoopFiles, materialize
 
 #: The consumers of a store. A fixed value of the data.
 CONSUMERS = ("mirror", "fts", "deltalog")
 #: Transactions in one bucket of the interval join.
 BUCKET = 64
+#: Rows with a consumer's starting point up to which they are broadcast (about 30 bytes each); beyond it the join is salted.
+BROADCAST_STARTS = 100_000
+#: Parts into which the salted join splits each store.
+SALTS = 16
 
 
 def record_versions(objects: DataFrame) -> DataFrame:
@@ -110,9 +114,18 @@ def reread_from(versions: DataFrame, buckets: DataFrame, consumers: DataFrame) -
 
 
 def pending_versions(versions: DataFrame, ledger: DataFrame, start: DataFrame) -> DataFrame:
-    """The versions from start (consumer, store_id, reread_tid) on that are not in the ledger: the operator's core."""
+    """The versions from start (consumer, store_id, reread_tid) on that are not in the ledger: the operator's core.
+
+    A store may hold a third of all rows, so its rows are never sent to one task to meet their starting point.
+    """
+    start = materialize(start, "reread")
     s = start.select("consumer", F.col("store_id").alias("s_store_id"), "reread_tid")
-    reread = versions.join(s, (F.col("store_id") == F.col("s_store_id")) & (F.col("tid") >= F.col("reread_tid")))
+    on = (F.col("store_id") == F.col("s_store_id")) & (F.col("tid") >= F.col("reread_tid"))
+    if start.limit(BROADCAST_STARTS + 1).count() <= BROADCAST_STARTS:
+        reread = versions.join(F.broadcast(s), on)
+    else:
+        s = s.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        reread = versions.join(s, on & (F.pmod(F.xxhash64("oid", "tid"), F.lit(SALTS)) == F.col("salt")))
     return reread.select("consumer", "store_id", "oid", "tid").join(ledger, ["consumer", "store_id", "oid", "tid"], "left_anti")
 
 

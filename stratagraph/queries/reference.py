@@ -298,7 +298,7 @@ QUERIES = {
     "filter_between": lambda s, d: IDS(parts(s, d), P.p_size.between(10, 20)),
     "filter_in": lambda s, d: IDS(events(s, d), E.event_type.in_(["click", "error"])),
     "filter_in_null": lambda s, d: IDS(minerals(s, d), ~M.crystal_system.in_(["cubic", None])),
-    "filter_contains": lambda s, d: IDS(parts(s, d), P.p_name.contains("1")),
+    "filter_contains": lambda s, d: IDS(parts(s, d), P.p_name.contains("gi")),
     "filter_startswith": lambda s, d: IDS(parts(s, d), P.p_brand.startswith("Brand#1")),
     "filter_list_contains": lambda s, d: IDS(minerals(s, d), M.tags.contains("type")),
     "filter_list_equality": lambda s, d: IDS(minerals(s, d), M.tags == ["polished"]),
@@ -388,7 +388,7 @@ ORACLE = {
     "filter_between": "select p_partkey as id from part where p_size between 10 and 20",
     "filter_in": "select event_id as id from events where event_type in ('click', 'error')",
     "filter_in_null": _MIN + "crystal_system is not null and crystal_system <> 'cubic'",
-    "filter_contains": "select p_partkey as id from part where contains(p_name, '1')",
+    "filter_contains": "select p_partkey as id from part where contains(p_name, 'gi')",
     "filter_startswith": "select p_partkey as id from part where starts_with(p_brand, 'Brand#1')",
     "filter_list_contains": _MIN + "list_contains(tags, 'type')",
     "filter_list_equality": _MIN + "tags is not distinct from ['polished']",
