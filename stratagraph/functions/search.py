@@ -9,34 +9,63 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import materialize, spread
 from .text import TOKEN, fold, language, stem_folded, tokens
 
 # BM25 parameters and column weights. Fixed values of the ranking.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"f": 2.0, "s": 1.0}
 _PHRASE = re.compile(r'"([^"]*)"')
-_ENTRIES = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
+
+
+POSTINGS = "oid bigint, col string, term string, at array<int>, n int"
 
 
 def _words(text: str | None, lang: str | None, stems: bool) -> list[str]:
     return [stem_folded(t, lang) if stems else fold(t) for t in tokens(text)]
 
 
-def _entries(lang: str | None, stems: bool):
-    def one(text):
-        at: dict[str, list[int]] = {}
-        for i, w in enumerate(_words(text, lang, stems)):
-            at.setdefault(w, []).append(i)
-        return [{"term": w, "at": p} for w, p in at.items()]
-
-    return F.pandas_udf(lambda s: s.map(one), _ENTRIES)
+def _index_rows(columns: list[tuple[str, str, str | None, bool]]):
+    """Arrow batches of (oid, texts) to postings, and per document one row without term that has its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            oids, total = batch["oid"].to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, np.int32)
+            for name, source, lang, stems in columns:
+                lists = [_words(t, lang, stems) for t in batch[source].to_pylist()]
+                sizes = np.array([len(x) for x in lists], np.int64)
+                total += sizes.astype(np.int32)
+                if not sizes.sum():
+                    continue
+                flat = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
+                code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                doc = np.repeat(np.arange(len(lists)), sizes)
+                at = (np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+                order = np.lexsort((at, code, doc))
+                doc, code = doc[order], code[order]
+                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])
+                ends = np.r_[first, len(code)].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(oids[doc[first]], pa.int64()), pa.array([name] * len(first), pa.string()), flat.dictionary.take(pa.array(code[first])),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(at[order])), pa.nulls(len(first), pa.int32()),
+                    ],
+                    names=["oid", "col", "term", "at", "n"],
+                )
+            none = [pa.nulls(batch.num_rows, t) for t in (pa.string(), pa.string(), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(oids, pa.int64()), *none, pa.array(total)], names=["oid", "col", "term", "at", "n"])
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -58,18 +87,16 @@ class FullTextIndex:
         """docs: type -> rows with `oid` and the type's text fields. A record whose texts are all null has no document."""
         posts, lens = [], []
         for typename, fields in fulltext.items():
-            rows = docs[typename].where(reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in fields]))
+            rows = docs[typename].where(reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in fields]) & F.col("oid").isNotNull())
             cols = []
             for f, lang in fields.items():
                 cols.append((f"f_{f}", f, None, False))
                 if language(lang):
                     cols.append((f"s_{f}", f, language(lang), True))
-            wide = rows.select("oid", *[_entries(lang, stems)(F.col(f)).alias(c) for c, f, lang, stems in cols])
-            total = reduce(lambda a, b: a + b, [F.aggregate(F.coalesce(c, F.array().cast(_ENTRIES)), F.lit(0), lambda n, e: n + F.size(e["at"])) for c, *_ in cols])
-            lens.append(wide.select("oid", F.lit(typename).alias("type"), (total + len(tokens(typename))).alias("n")))
-            stacked = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("e")) for c, *_ in cols])
-            long = wide.select("oid", F.inline(stacked)).select("oid", "col", F.inline("e"))
-            posts.append(long.select("oid", F.lit(typename).alias("type"), "col", "term", "at"))
+            built = spread(rows.select(F.col("oid").cast("bigint").alias("oid"), *fields)).mapInArrow(_index_rows(cols), POSTINGS)
+            built = materialize(built, "postings").withColumn("type", F.lit(typename))
+            posts.append(built.where("term is not null").select("oid", "type", "col", "term", "at"))
+            lens.append(built.where("term is null").select("oid", "type", (F.col("n") + len(tokens(typename))).alias("n")))
         return cls(fulltext, reduce(DataFrame.unionByName, posts), reduce(DataFrame.unionByName, lens))
 
     def save(self, path: str) -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.records import KIND_NAMES, intact_rows, kinds_of
-from ..runtime import materialize
+from ..runtime import materialize, spread
 from .orphans import shapes
 
 #: Slots of the value sketch: the least hash of the values in each.
@@ -41,7 +41,7 @@ BROADCAST_SHAPES = 200_000
 def kind_counts(objects: DataFrame) -> DataFrame:
     """(store_id, cid, pos, kind, n) over all versions; nulls have no kind."""
     rows = intact_rows(objects).where("payload is not null and cid is not null")
-    signed = rows.select("store_id", "oid", "tid", "cid", kinds_of("payload").alias("sig")).dropDuplicates(["store_id", "oid", "tid", "cid"])
+    signed = spread(rows.select("store_id", "oid", "tid", "cid", "payload")).select("store_id", "oid", "tid", "cid", kinds_of("payload").alias("sig")).dropDuplicates(["store_id", "oid", "tid", "cid"])
     groups = signed.groupBy("store_id", "cid", "sig").agg(F.count("*").alias("n")).where("sig is not null")
     letters = groups.select("store_id", "cid", "n", F.posexplode(F.split("sig", "")).alias("pos", "letter")).where("letter not in ('n', '')")
     named = F.create_map(*[F.lit(x) for pair in KIND_NAMES.items() for x in pair])
@@ -80,7 +80,7 @@ def value_sketches(objects: DataFrame, wanted: DataFrame, small: bool) -> DataFr
     """(store_id, cid, pos, sketch map<slot, least hash>) for the shapes in wanted; combined per batch before the shuffle."""
     rows = intact_rows(objects).where("payload is not null").select("store_id", "cid", "payload")
     rows = rows.join(F.broadcast(wanted) if small else wanted, ["store_id", "cid"], "left_semi")
-    slots = rows.mapInArrow(_sketch, "store_id int, cid int, pos int, slot int, low bigint").groupBy("store_id", "cid", "pos", "slot").agg(F.min("low").alias("low"))
+    slots = spread(rows).mapInArrow(_sketch, "store_id int, cid int, pos int, slot int, low bigint").groupBy("store_id", "cid", "pos", "slot").agg(F.min("low").alias("low"))
     return slots.groupBy("store_id", "cid", "pos").agg(F.map_from_entries(F.collect_list(F.struct("slot", "low"))).alias("sketch"))
 
 

@@ -66,6 +66,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are too few to keep them busy; untouched where they suffice, so large inputs pay no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 class HadoopFiles:
     """The few file operations publishing needs, on whatever file system the path names."""
 
