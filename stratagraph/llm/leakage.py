@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, spread
 
 WORDS = 12
 #: A passage may have one edit in so many words.
@@ -111,7 +111,8 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def positional_index(documents: DataFrame) -> DataFrame:
     """The postings of every document: terms, how often each occurs (lens), and their positions in that order."""
-    return documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_postings, INDEX)
+    texts = documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return spread(texts).mapInArrow(_postings, INDEX)
 
 
 class Queries:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import materialize
+from ..runtime import materialize, spread
 from .tokens import bounded, clean_source, token_count
 
 SEED = 42
@@ -35,7 +35,7 @@ SCALE = [2.0 ** (k / 12) for k in range(-18, 19)]
 
 def sized(documents: DataFrame) -> DataFrame:
     """(doc_id, source, tokens)."""
-    return documents.select("doc_id", clean_source(F.col("source")).alias("source"), token_count(F.col("text")).alias("tokens"))
+    return spread(documents.select("doc_id", "source", "text")).select("doc_id", clean_source(F.col("source")).alias("source"), token_count(F.col("text")).alias("tokens"))
 
 
 def plan_rates(sizes: DataFrame, plans: DataFrame) -> DataFrame:

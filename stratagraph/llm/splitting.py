@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import spread
 from .tokens import TOKEN, bounded, clean_source, token_count
 
 SECTION, PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER = range(7)
@@ -112,6 +113,6 @@ def pieces(documents: DataFrame, rules: DataFrame) -> DataFrame:
         .select("source", "r.*")
     )
     docs = documents.select("doc_id", "text", clean_source(F.col("source")).alias("source")).where("source is not null and text is not null")
-    long = docs.join(bounded(by_source), "source").where(token_count(F.col("text")) > F.col("max_tokens"))
+    long = spread(docs).join(bounded(by_source), "source").where(token_count(F.col("text")) > F.col("max_tokens"))
     cut = long.select("doc_id", "source", "max_tokens", split_pieces("text", "max_tokens", "overlap_tokens").alias("p"))
     return cut.select("doc_id", "source", "max_tokens", F.size("p").alias("n_pieces"), F.inline("p"))
