@@ -161,14 +161,13 @@ class FullTextIndex:
             chosen = hits.where(F.col("type") == typename)
         else:
             chosen = hits
-        whole = self.lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-        idf = F.log((F.col("docs") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
+        docs, mean = self.lengths.agg(F.count("*"), F.avg("n")).first()
+        idf = F.log((F.lit(docs) - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
         tf = F.when(F.col("col").startswith("f_"), WEIGHTS["f"]).otherwise(WEIGHTS["s"]) * F.col("times")
-        part = F.when(idf <= 0, LEAST_IDF).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.col("mean")))
+        part = F.when(idf <= 0, LEAST_IDF).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.lit(mean)))
         scored = (
             chosen.join(F.broadcast(n.withColumnRenamed("n", "n_p")), "phrase")
             .join(self.lengths.select("oid", "n"), "oid")
-            .crossJoin(F.broadcast(whole))
             .groupBy("oid", "type")
             .agg(F.sum(part).alias("score"), F.countDistinct("unit").alias("units"))
         )

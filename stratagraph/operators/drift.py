@@ -78,9 +78,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def value_sketches(objects: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
     """(store_id, cid, pos, sketch map<slot, least hash>) for the shapes in wanted; combined per batch before the shuffle."""
-    rows = intact_rows(objects).where("payload is not null").select("store_id", "cid", "payload")
+    rows = spread(intact_rows(objects).where("payload is not null").select("store_id", "cid", "payload"))
     rows = rows.join(F.broadcast(wanted) if small else wanted, ["store_id", "cid"], "left_semi")
-    slots = spread(rows).mapInArrow(_sketch, "store_id int, cid int, pos int, slot int, low bigint").groupBy("store_id", "cid", "pos", "slot").agg(F.min("low").alias("low"))
+    slots = rows.mapInArrow(_sketch, "store_id int, cid int, pos int, slot int, low bigint").groupBy("store_id", "cid", "pos", "slot").agg(F.min("low").alias("low"))
     return slots.groupBy("store_id", "cid", "pos").agg(F.map_from_entries(F.collect_list(F.struct("slot", "low"))).alias("sketch"))
 
 

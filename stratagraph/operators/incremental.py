@@ -90,11 +90,12 @@ def processed_ledger(versions: DataFrame, buckets: DataFrame) -> DataFrame:
     return _covered(versions, buckets).where(F.col("available") <= F.col("r_started_at")).select(F.col("r_consumer").alias("consumer"), "store_id", "oid", "tid")
 
 
-def reread_from(versions: DataFrame, buckets: DataFrame, consumers: DataFrame) -> DataFrame:
+def reread_from(versions: DataFrame, buckets: DataFrame, consumers: tuple[str, ...] = CONSUMERS) -> DataFrame:
     """(consumer, store_id, reread_tid): the oldest transaction still open for the consumer.
 
     A transaction is open if no successful run covered it, or if a version of it came after every run that did.
     """
+    every = F.array(*[F.lit(c) for c in consumers])
     moments = versions.groupBy("store_id", "tid").agg(F.max("available").alias("closed_at"), F.max(F.col("available").isNull()).alias("unknown"))
     taken = (
         _covered(moments, buckets)
@@ -106,8 +107,7 @@ def reread_from(versions: DataFrame, buckets: DataFrame, consumers: DataFrame) -
     )
     return (
         moments.join(taken, ["store_id", "tid"], "left")
-        .crossJoin(F.broadcast(consumers.agg(F.collect_set("consumer").alias("all"))))
-        .select("store_id", "tid", F.explode(F.array_except("all", F.coalesce("closed_for", F.array().cast("array<string>")))).alias("consumer"))
+        .select("store_id", "tid", F.explode(F.array_except(every, F.coalesce("closed_for", F.array().cast("array<string>")))).alias("consumer"))
         .groupBy("consumer", "store_id")
         .agg(F.min("tid").alias("reread_tid"))
     )
@@ -131,7 +131,6 @@ def pending_versions(versions: DataFrame, ledger: DataFrame, start: DataFrame) -
 
 def untaken(objects: DataFrame, consumer_runs: DataFrame, meta: DataFrame) -> DataFrame:
     """(consumer, store_id, oid, tid): for each consumer the versions that no successful run of it took."""
-    spark = objects.sparkSession
     versions = record_versions(objects)
     bounds = (
         objects.where(F.col("store_id").isNotNull() & F.col("oid").isNotNull())
@@ -139,8 +138,7 @@ def untaken(objects: DataFrame, consumer_runs: DataFrame, meta: DataFrame) -> Da
         .agg(F.min("tid").alias("low"), F.max("tid").alias("high"))
     )
     buckets = run_buckets(successful_runs(consumer_runs, meta), bounds)
-    consumers = spark.createDataFrame([(c,) for c in CONSUMERS], "consumer string")
-    return pending_versions(versions, processed_ledger(versions, buckets), reread_from(versions, buckets, consumers))
+    return pending_versions(versions, processed_ledger(versions, buckets), reread_from(versions, buckets))
 
 
 class IncrementalReader:

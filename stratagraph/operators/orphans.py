@@ -65,7 +65,7 @@ def find_orphans(objects: DataFrame, store_types: DataFrame) -> DataFrame:
     live = live_records(objects).select("store_id", "oid", "tid", "cid", refs_of("payload").alias("refs"))
     live = materialize(live, "live-refs")
     runs = materialize(key_runs(live.select("store_id", "oid")), "key-runs")
-    small = len(runs.limit(BROADCAST_BLOCKS + 1).select("block").groupBy().count().where(F.col("count") > BROADCAST_BLOCKS).take(1)) == 0
+    small = runs.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
     refs = live.select("store_id", "oid", "tid", "cid", F.inline("refs")).withColumnRenamed("ref", "ref_oid")
     found = orphan_refs(refs, runs, small)
     return (

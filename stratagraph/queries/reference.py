@@ -168,9 +168,8 @@ def fold_latest(s, d):
 
 def snapshot_at_tid(s, d):
     rows = _history(s, d)
-    half = rows.agg(F.floor(F.avg(TID)).alias("t"))
-    past = rows.crossJoin(F.broadcast(half)).where(F.col(TID) <= F.col("t")).drop("t")
-    return newest(past).where(~F.col(DELETED)).select(F.col(OID).alias("oid"), F.col(TID).alias("tid"), "event_type", "value")
+    half = rows.agg(F.floor(F.avg(TID))).first()[0]
+    return newest(rows.where(F.col(TID) <= half)).where(~F.col(DELETED)).select(F.col(OID).alias("oid"), F.col(TID).alias("tid"), "event_type", "value")
 
 
 def live_counts(s, d):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cdc_apply, drift, hierarchy, incremental, orphans
-from ..runtime import read_table
+from ..runtime import materialize, read_table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.cyclic_terms(hierarchy.parent_links(hierarchy.current_terms(read_table(spark, d, "terms"))))
+    links = hierarchy.parent_links(hierarchy.current_terms(read_table(spark, d, "terms")))
+    return hierarchy.cyclic_terms(materialize(links, "links"))
 
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:

@@ -66,10 +66,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes up to which an input of few files is spread over all cores.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files are too few to keep them busy; untouched where they suffice, so large inputs pay no shuffle."""
+    """df over all cores where it is small and its files are too few to keep them busy; larger inputs split by themselves and pay no shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES and 0 < len(df.inputFiles()) < cores // 2 else df
 
 
 class HadoopFiles:
