@@ -43,12 +43,12 @@ def plan_rates(sizes: DataFrame, plans: DataFrame) -> DataFrame:
 
     One pass over sizes (as sized gives them) counts the tokens of every source; what is shuffled is one row per source and task.
     """
-    totals = sizes.groupBy("source").agg(F.sum("tokens").alias("available"))
-    every = totals.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("every"))
+    totals = materialize(sizes.groupBy("source").agg(F.sum("tokens").alias("available")), "totals")
+    every = totals.agg(F.coalesce(F.sum("available"), F.lit(0))).first()[0]
     rows = plans.select("plan_id", clean_source(F.col("source")).alias("source"), "target_share", "max_repeats", "total_ratio").distinct()
     rows = rows.where("plan_id is not null and source is not null and target_share is not null and total_ratio is not null")
-    joined = rows.join(totals.where("source is not null"), "source", "left").crossJoin(F.broadcast(every))
-    target = F.col("target_share") * F.col("total_ratio") * F.col("every")
+    joined = rows.join(totals.where("source is not null"), "source", "left")
+    target = F.col("target_share") * F.col("total_ratio") * F.lit(every)
     has = F.coalesce("available", F.lit(0))
     return joined.select(
         "plan_id", "source", "target_share", "max_repeats", target.alias("target"), has.alias("available"),
