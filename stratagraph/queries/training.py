@@ -142,6 +142,18 @@ vals as (select store_id, oid, cid, unnest(json_extract(payload, '$[*]')) as v,
 refs as (select distinct store_id, oid, cid, pos, unnest(regexp_extract_all(v::varchar, '\{"\$ref":\s*([0-9]+)\}', 1))::bigint as ref_oid from vals)
 select r.store_id, r.oid, s.fields[r.pos] as field, r.ref_oid from refs r left join shape s using (store_id, cid)
 where not exists (select 1 from cur c where c.store_id = r.store_id and c.oid = r.ref_oid)""",
+    "p2_counts": "with "
+    + _INTACT
+    + ","
+    + _CURRENT
+    + ","
+    + _SHAPES
+    + r""",
+vals as (select store_id, oid, tid, cid, unnest(json_extract(payload, '$[*]')) as v, generate_subscripts(json_extract(payload, '$[*]'), 1) as pos from cur),
+refs as (select distinct store_id, oid, tid, cid, pos, unnest(regexp_extract_all(v::varchar, '\{"\$ref":\s*([0-9]+)\}', 1))::bigint as ref_oid from vals),
+lost as (select r.*, s.name from refs r left join shape s using (store_id, cid) where not exists (select 1 from cur c where c.store_id = r.store_id and c.oid = r.ref_oid)),
+made as (select store_id, tid, max(committed_at) as done_at from objects where committed_at is not null group by all)
+select name, strftime(done_at, '%Y-%m') as month, count(*) as orphans, count(distinct (store_id, ref_oid)) as targets from lost left join made using (store_id, tid) group by all""",
     "p3_found": "with "
     + _INTACT
     + """,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -98,6 +99,15 @@ class Mirror:
         now = rows.where(F.col("type") == typename).groupBy("oid").agg(F.max_by("payload", "tid").alias("payload")).where("payload is not null")
         return now if schema is None else now.select("oid", F.inline(F.array(F.from_json("payload", schema))))
 
+    def inferred(self, typename: str) -> DataFrame:
+        """The type's table with columns as its values ask: booleans, integers, floats widen, lists element by element, anything else is a variant."""
+        rows = self.table(typename)
+        kind = rows.agg(F.schema_of_variant_agg(F.try_parse_json("payload"))).first()[0]
+        if not kind.startswith("OBJECT<"):
+            return rows.select("oid")
+        ddl = re.sub(r"DECIMAL\(\d+,\d+\)", "DOUBLE", kind.replace("OBJECT<", "STRUCT<")).replace("VOID", "STRING")
+        return rows.select("oid", F.inline(F.array(F.from_json("payload", ddl))))
+
     def compact(self) -> None:
         ddl = "tid bigint, type string, oid bigint, payload string"
         old = self.state["parts"]

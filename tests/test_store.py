@@ -154,6 +154,16 @@ def test_incremental_equals_bootstrap(spark, store, tmp_path):
         list(DeltaLog(spark, f"file://{tmp_path}/late", genesis=2).replay(0))
 
 
+def test_inferred_columns(spark, tmp_path):
+    m = Mirror(spark, f"file://{tmp_path}/m")
+    assert m.inferred("T").columns == ["oid"]
+    values = ['{"n": 1, "x": 1, "mix": 1, "l": [1], "none": null}', '{"n": 2, "x": 2.5, "mix": "a", "l": [2.5, null]}', '{"n": null, "x": null, "new": true}']
+    m.bootstrap(spark.createDataFrame([("T", i, v) for i, v in enumerate(values)], "type string, oid bigint, payload string"), 1)
+    t = m.inferred("T")
+    assert dict(t.dtypes) == {"oid": "bigint", "n": "bigint", "x": "double", "mix": "variant", "l": "array<double>", "none": "string", "new": "boolean"}
+    assert sorted((r["oid"], r["x"], r["l"], r["new"]) for r in t.select("oid", "x", "l", "new").collect()) == [(0, 1.0, [1.0], None), (1, 2.5, [2.5, None], None), (2, None, None, True)]
+
+
 def test_stream(spark, store, tmp_path):
     log = DeltaLog(spark, f"file://{tmp_path}/log")
     deltas = _deltas(spark, store)
