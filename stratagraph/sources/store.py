@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import security
-from ..errors import Conflict, CorruptRecord, FrozenEntity, NewerStore, NotAnEntity, QueryError, SchemaMismatch, StoreLocked, UniqueViolation, UnseenType
+from ..errors import Conflict, CorruptRecord, FrozenEntity, NewerStore, NotAnEntity, QueryError, SchemaMismatch, StoreLocked, UniqueViolation
 from ..operators.graph import blocked_deletes, edges
 from ..plans.extent import Extent
 from ..runtime import HadoopFiles, materialize
