@@ -10,7 +10,7 @@ each round, so a depth d takes log2(d) joins.
 Defined results: the current row of a go_id has its highest tid (ties by the greater parents); a null go_id is no
 term; null or empty parents make a root; entries that are null, blank or name no term don't count; repeats count once;
 a link to itself is a cycle of one; a path starts at a root or at the last term on a cycle (from_cycle), so paths are
-finite; a term on a cycle has only itself as its path; empty tables give no rows; other columns are ignored.
+finite; a term on a cycle has only itself as its path; whole_paths and whole_descendants go through cycles; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -238,14 +238,10 @@ def _settled(links: DataFrame) -> DataFrame:
         seen = mark
 
 
-def all_paths(terms: DataFrame) -> DataFrame:
-    """(go_id, root, depth, from_cycle, path): every path from a root, or from a cycle, down to each term."""
-    cur = materialize(current_terms(terms), "terms")
-    links = materialize(parent_links(cur), "links")
-    cyclic = materialize(cyclic_terms(links), "cyclic").select("go_id").withColumn("from_cycle", F.lit(True))
-    links = links.join(cyclic.select(F.col("go_id").alias("child")), "child", "left_anti")
+def _followed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(go_id, top, path, done): every path from a node without parents down to each node (go_id), along links that hold no cycle."""
     ends = (
-        cur.select("go_id")
+        nodes
         .join(links.select(F.col("child").alias("go_id")).distinct(), "go_id", "left_anti")
         .select("go_id", F.col("go_id").alias("top"), F.array("go_id").alias("path"), F.lit(True).alias("done"))
     )
@@ -261,6 +257,16 @@ def all_paths(terms: DataFrame) -> DataFrame:
             .select("go_id", F.col("above").alias("top"), F.concat("head", F.slice("path", F.lit(2), F.size("path"))).alias("path"), F.col("ended").alias("done"))
         )
         seg = materialize(seg.where("done").unionByName(longer), "paths")
+    return seg
+
+
+def all_paths(terms: DataFrame) -> DataFrame:
+    """(go_id, root, depth, from_cycle, path): every path from a root, or from a cycle, down to each term."""
+    cur = materialize(current_terms(terms), "terms")
+    links = materialize(parent_links(cur), "links")
+    cyclic = materialize(cyclic_terms(links), "cyclic").select("go_id").withColumn("from_cycle", F.lit(True))
+    links = links.join(cyclic.select(F.col("go_id").alias("child")), "child", "left_anti")
+    seg = _followed(cur.select("go_id"), links)
     return seg.join(cyclic, F.col("top") == cyclic["go_id"], "left").select(
         seg["go_id"], F.col("top").alias("root"), (F.size("path") - 1).alias("depth"), F.coalesce("from_cycle", F.lit(False)).alias("from_cycle"), "path"
     )
@@ -272,6 +278,42 @@ def descendants(terms: DataFrame) -> DataFrame:
     return steps.groupBy("ancestor", "go_id").agg(F.min(F.col("depth") - F.col("at")).alias("distance"))
 
 
+def whole_paths(terms: DataFrame) -> DataFrame:
+    """(go_id, root, depth, from_cycle, path): every path from a root down to each term, through the cycles on its way.
+
+    A cycle is one node, written as its cycle_id; its terms have the paths of that node. depth counts the links between
+    nodes. A cycle without parents outside itself is the root of what hangs below it (from_cycle).
+    """
+    cur = materialize(current_terms(terms), "terms")
+    links = materialize(parent_links(cur), "links")
+    cyclic = materialize(cyclic_terms(links), "cyclic")
+    node = cur.select("go_id").join(cyclic, "go_id", "left").select("go_id", F.coalesce("cycle_id", "go_id").alias("node"))
+    node = materialize(node, "nodes")
+    child, parent = node.select(F.col("go_id").alias("child"), F.col("node").alias("c")), node.select(F.col("go_id").alias("parent"), F.col("node").alias("p"))
+    between = links.join(child, "child").join(parent, "parent").where("c <> p").select(F.col("c").alias("child"), F.col("p").alias("parent")).distinct()
+    seg = _followed(node.select(F.col("node").alias("go_id")).distinct(), materialize(between, "links")).withColumnRenamed("go_id", "node")
+    cycles = cyclic.select(F.col("cycle_id").alias("root")).distinct().withColumn("from_cycle", F.lit(True))
+    found = seg.select("node", F.col("top").alias("root"), (F.size("path") - 1).alias("depth"), "path").join(cycles, "root", "left")
+    return node.join(found, "node").select("go_id", "root", "depth", F.coalesce("from_cycle", F.lit(False)).alias("from_cycle"), "path")
+
+
+def whole_descendants(terms: DataFrame) -> DataFrame:
+    """(ancestor, go_id, distance): each term above another, through cycles too, with the least number of links between them.
+
+    Once all pairs up to a distance are known, those up to twice as far join a pair of just that distance with a known one.
+    """
+    links = parent_links(materialize(current_terms(terms), "terms"))
+    met = materialize(links.where("child <> parent").select(F.col("parent").alias("ancestor"), F.col("child").alias("go_id"), F.lit(1).alias("distance")), "pairs")
+    reach = 1
+    while met.where(F.col("distance") == reach).limit(1).count():
+        far = met.where(F.col("distance") == reach).select("ancestor", F.col("go_id").alias("via"))
+        near = met.select(F.col("ancestor").alias("via"), "go_id", (F.col("distance") + reach).alias("distance"))
+        longer = far.join(near, "via").where("ancestor <> go_id").select("ancestor", "go_id", "distance")
+        met = materialize(met.unionByName(longer).groupBy("ancestor", "go_id").agg(F.min("distance").alias("distance")), "pairs")
+        reach *= 2
+    return met
+
+
 def node_summary(terms: DataFrame) -> DataFrame:
     """(go_id, min_depth, max_depth, n_paths, roots): one row per term."""
     return all_paths(terms).groupBy("go_id").agg(

@@ -299,6 +299,36 @@ def test_paths(spark):
     assert hierarchy.all_paths(spark.createDataFrame([], TERMS)).count() == 0
 
 
+def test_whole_paths(spark):
+    """A root above a cycle keeps the cycle's terms and all below them; a cycle without parents is a root itself."""
+    rows = [term("R", None), term("A", ["R", "B"]), term("B", ["C"]), term("C", ["A"]), term("D", ["B", "R"]), term("E", ["D"]), term("X", ["Y"]), term("Y", ["X"]), term("Z", ["Y"]), term("S", ["S"])]
+    df = spark.createDataFrame(rows, TERMS)
+    got = {(r["go_id"], r["root"], r["depth"], r["from_cycle"], "/".join(r["path"])) for r in hierarchy.whole_paths(df).collect()}
+    assert got == {
+        ("R", "R", 0, False, "R"), *((g, "R", 1, False, "R/A") for g in "ABC"), ("D", "R", 1, False, "R/D"), ("D", "R", 2, False, "R/A/D"), ("E", "R", 2, False, "R/D/E"), ("E", "R", 3, False, "R/A/D/E"),
+        ("X", "X", 0, True, "X"), ("Y", "X", 0, True, "X"), ("Z", "X", 1, True, "X/Z"), ("S", "S", 0, True, "S"),
+    }
+
+
+@pytest.mark.parametrize("seed", [12, 13])
+def test_whole_descendants(spark, seed):
+    rows = graph(random.Random(seed), 60, 4)
+    links = plain_links(rows)
+    want = {}
+    for g in links:
+        front, distance = {g}, 0
+        while front:
+            distance += 1
+            front = {p for x in front for p in links[x]} - {a for a, b in want if b == g} - {g}
+            want |= {(a, g): distance for a in front}
+    got = hierarchy.whole_descendants(spark.createDataFrame(rows, TERMS)).collect()
+    assert len(got) == len(want) and {(r["ancestor"], r["go_id"]): r["distance"] for r in got} == want
+    roots = {(r["go_id"], r["root"]) for r in hierarchy.whole_paths(spark.createDataFrame(rows, TERMS)).collect() if not r["from_cycle"]}
+    tops = {g for g in links if not links[g]}
+    assert roots == {(g, t) for g in links for t in tops if t == g or t in up_from(links, g)}
+    assert hierarchy.whole_descendants(spark.createDataFrame([], TERMS)).count() == hierarchy.whole_paths(spark.createDataFrame([], TERMS)).count() == 0
+
+
 def test_deep_chain(spark):
     rows = [term(f"T{i:04d}", [f"T{i - 1:04d}"] if i else ["T0700"]) for i in range(701)]
     found = hierarchy.cyclic_terms(hierarchy.parent_links(hierarchy.current_terms(spark.createDataFrame(rows, TERMS))))
