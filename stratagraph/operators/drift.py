@@ -207,21 +207,48 @@ class Drift:
         return out[0].select(cols).union(out[1].select(cols)).union(out[2].select(cols)).union(out[3].select(cols)).distinct()
 
     def unified(self, matches: DataFrame | None = None) -> DataFrame:
-        """(name, store_id, oid, tid, cid, row map<field, text>): every version under the last name of each field in its store."""
+        """(name, store_id, oid, tid, cid, row map<field, text>): every version under the names that its type gives its fields, in all stores and shapes."""
         renamed = (matches or self.matches()).where("declared").select("store_id", "name", "cid", "old", "new")
         s = shapes(self.store_types)
         moves = renamed.groupBy("store_id", "name").agg(F.collect_list(F.struct("cid", "old", "new")).alias("moves"))
-        lineage = s.join(moves, ["store_id", "name"], "left").select("store_id", "cid", "name", _last_names("fields", "cid", F.coalesce("moves", F.array().cast("array<struct<cid:int,old:string,new:string>>"))).alias("names"))
+        declared = self.declared.where("name is not null and new is not null").groupBy("name").agg(F.collect_list(F.struct("old", "new")).alias("declared"))
+        listed = F.coalesce("moves", F.array().cast("array<struct<cid:int,old:string,new:string>>")), F.coalesce("declared", F.array().cast("array<struct<old:string,new:string>>"))
+        lineage = s.join(moves, ["store_id", "name"], "left").join(declared, "name", "left").select("store_id", "cid", "name", _unified_names("fields", "cid", *listed).alias("names"))
         rows = intact_rows(self.objects).where("payload is not null").select("store_id", "oid", "tid", "cid", "payload").dropDuplicates(["store_id", "oid", "tid", "cid"])
         values = F.from_json("payload", "array<string>")
-        n = F.least(F.size("names"), F.size("values"))
         joined = rows.join(lineage, ["store_id", "cid"]).withColumn("values", values).where("values is not null")
-        return joined.select("name", "store_id", "oid", "tid", "cid", F.map_from_arrays(F.slice("names", F.lit(1), n), F.slice("values", F.lit(1), n)).alias("row"))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _last_names(fields: pd.Series, cid: pd.Series, moves: pd.Series) -> pd.Series:
-    return pd.Series([last_names(list(f), c, list(m)) for f, c, m in zip(fields, cid, moves)])
+        held = F.filter("names", lambda x: x["pos"] < F.size("values"))
+        row = F.map_from_arrays(F.transform(held, lambda x: x["name"]), F.transform(held, lambda x: F.get("values", x["pos"])))
+        return joined.select("name", "store_id", "oid", "tid", "cid", row.alias("row"))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("pos", T.IntegerType())])))
+def _unified_names(fields: pd.Series, cid: pd.Series, moves: pd.Series, declared: pd.Series) -> pd.Series:
+    return pd.Series([
+        [{"name": n, "pos": i} for i, names in enumerate(unified_names(list(f), c, list(m), list(d))) for n in names] for f, c, m, d in zip(fields, cid, moves, declared)
+    ])
+
+
+def unified_names(fields: list[str], cid: int, moves: list[dict], declared: list[dict]) -> list[list[str]]:
+    """The names of each field of shape cid in its type's table: the last that its store's moves or its type's declared renames give it.
+
+    A name that the shape itself holds, or that an earlier field took, is not given; a field that several new ones
+    declare as theirs has all those names, as each of them is read from it.
+    """
+    taken, out = set(fields), []
+    for name, last in zip(fields, last_names(fields, cid, moves)):
+        ends, todo, seen = [], [name], {name}
+        while todo:
+            at = todo.pop(0)
+            given = {d["new"] for d in declared if d["old"] == at} | ({last} if at == name else set())
+            onward = sorted(given - taken - seen)
+            seen.update(onward)
+            todo += onward
+            if not onward:
+                ends.append(at)
+        taken.update(ends)
+        out.append(ends)
+    return out
 
 
 def last_names(fields: list[str], cid: int, moves: list[dict]) -> list[str]:

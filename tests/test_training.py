@@ -380,6 +380,21 @@ def test_drift(spark):
     assert empty.changes().count() == 0 and empty.unified().count() == 0
 
 
+def test_one_name_per_type(spark):
+    """A rename holds in a store that never made it, and in shapes after the step, unless the shape holds the new name too."""
+    types = [(0, 1, "m:Thing", "x,mass_g", T0, 1), (0, 2, "m:Thing", "x,mass", T0, 1), (0, 3, "m:Thing", "mass_g,y", T0, 1), (1, 1, "m:Thing", "mass_g", T0, 1), (1, 2, "m:Thing", "mass_g,mass", T0, 1), (1, 3, "m:Other", "mass_g", T0, 1)]
+    specs = [("m:Thing", "mass", "float", None, "mass_g", False), ("m:Thing", "x", "int", None, None, False)]
+    rows = [obj(0, 1, 1, [1, 2], cid=1), obj(0, 1, 2, [1, 3], cid=2), obj(0, 1, 3, [4, 5], cid=3), obj(1, 1, 4, [6], cid=1), obj(1, 1, 5, [7, 8], cid=2), obj(1, 2, 6, [9], cid=3)]
+    d = drift.Drift(objects(spark, rows), spark.createDataFrame(types, TYPES), spark.createDataFrame(specs, SPECS))
+    got = {r["tid"]: r["row"] for r in d.unified().collect()}
+    assert got == {1: {"x": "1", "mass": "2"}, 2: {"x": "1", "mass": "3"}, 3: {"mass": "4", "y": "5"}, 4: {"mass": "6"}, 5: {"mass_g": "7", "mass": "8"}, 6: {"mass_g": "9"}}
+    # the chain of renames is followed to its end; two fields declared from one both have its value
+    names = lambda fields, *pairs: drift.unified_names(fields, 1, [], [{"old": o, "new": n} for o, n in pairs])
+    assert names(["a", "z"], ("a", "b"), ("b", "c")) == [["c"], ["z"]]
+    assert names(["home"], ("home", "seat"), ("home", "sponsor")) == [["seat", "sponsor"]] and names(["home", "sponsor"], ("home", "seat"), ("home", "sponsor")) == [["seat"], ["sponsor"]]
+    assert names(["p", "q"], ("p", "r"), ("q", "r")) == [["r"], ["q"]] and names(["a"], ("a", "b"), ("b", "a")) == [["b"]]
+
+
 def test_kinds():
     assert kind_letters('[true, 1, 1.0, 1e3, "s", {"$ref": 1}, [1], {"$ref": 1, "a": 2}, null]') == "biffsrlmn"
     assert kind_letters("{}") is kind_letters(None) is kind_letters("[1") is None and kind_letters("[]") == ""
