@@ -128,11 +128,19 @@ def blocked_deletes(s, d):
     return graph.blocked_deletes(graph.edges(orders(s, d)), gone).select("dst", "src")
 
 
-def closure_depth(s, d):
+def _roots_and_links(s, d):
     cur = hierarchy.current_terms(read_table(s, d, "terms"))
     links = hierarchy.parent_links(cur).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
     roots = cur.join(links.select(F.col("src").alias("go_id")), "go_id", "left_anti").select(F.col("go_id").alias(OID))
-    return graph.closure(links, roots, reverse=True, max_depth=6)
+    return links, roots
+
+
+def closure_depth(s, d):
+    return graph.closure(*_roots_and_links(s, d), reverse=True, max_depth=6)
+
+
+def closure_whole(s, d):
+    return graph.closure(*_roots_and_links(s, d), reverse=True)
 
 
 def groupby_agg(s, d):
@@ -321,6 +329,7 @@ QUERIES = {
     "dangling": dangling,
     "blocked_deletes": blocked_deletes,
     "closure_depth": closure_depth,
+    "closure_whole": closure_whole,
     "groupby_agg": groupby_agg,
     "handoff_semijoin": handoff_semijoin,
     "postings": postings,
@@ -416,6 +425,14 @@ links as (select distinct c.go_id as child, p.go_id as parent from (select go_id
 walk as (select go_id as seed, go_id as node, 0 as depth from cur where go_id not in (select child from links)
   union select seed, child, depth + 1 from walk join links on parent = node where depth < 6)
 select seed, node, min(depth) as depth from walk group by all""",
+    "closure_whole": """with recursive cur as (select go_id, arg_max(parents, tid) as parents from terms group by go_id),
+links as (select distinct c.go_id as child, p.go_id as parent from (select go_id, unnest(parents) as entry from cur) c
+  join cur p on lower(trim(string_split(c.entry, '!')[1], ' ' || chr(9) || chr(10) || chr(13))) = lower(p.go_id)),
+walk(seed, node, depth) using key (seed, node) as (
+  select go_id, go_id, 0 from cur where go_id not in (select child from links)
+  union select w.seed, l.child, min(w.depth + 1) from walk w join links l on l.parent = w.node
+    left join recurring.walk r on r.seed = w.seed and r.node = l.child where r.depth is null group by all)
+select seed, node, depth from walk""",
     "groupby_agg": f"with {_EV} select event_type, count(value) as n, round(sum(value), 2) as total, round(avg(value), 6) as mean, min(value) as low, max(value) as high from ev where event_type is not null group by all",
     "handoff_semijoin": "select l_returnflag, count(*) as n, round(sum(l_extendedprice), 2) as total from lineitem where l_orderkey in (select o_orderkey from orders where o_totalprice > 200000) group by all",
     "postings": "select value, count(distinct qid) as n from (select qid, unnest(tags) as value from minerals) group by all",
