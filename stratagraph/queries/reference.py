@@ -280,6 +280,20 @@ def rrf(s, d):
     return fused.select("vec_id", F.round("score", 9).alias("score"))
 
 
+def _nearest_each(s, d, k):
+    """Every row whose id is divisible by 50 as a query against all rows."""
+    rows = read_table(s, d, "embeddings")
+    return vectors.nearest_each(rows, "embedding", "vec_id", rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), k)
+
+
+def vector_topk_each(s, d):
+    return _nearest_each(s, d, 20).select("query", "vec_id", F.round("score", 6).alias("score"))
+
+
+def rrf_each(s, d):
+    return vectors.fuse_ranked(_nearest_each(s, d, 50), "vec_id").select("vec_id", F.round("score", 9).alias("score"))
+
+
 def relevance(s, d):
     """Each label is a query, the first coordinate the score, the second's sign and size the grade."""
     rows = read_table(s, d, "embeddings").select(F.col("label").alias("query"), F.col("vec_id").alias("doc"), F.get("embedding", F.lit(0)).alias("score"), F.get("embedding", F.lit(1)).alias("g"))
@@ -351,6 +365,8 @@ QUERIES = {
     "fts_phrase": _fts('"hardness scale" lamp', "any"),
     "vector_topk": vector_topk,
     "rrf": rrf,
+    "vector_topk_each": vector_topk_each,
+    "rrf_each": rrf_each,
     "relevance": relevance,
     "checksums": checksums,
 }
@@ -388,6 +404,10 @@ order by sum(case when ln((docs - n_p + 0.5) / (n_p + 0.5)) <= 0 then 1e-6 else
 
 _COS = "list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1 offset {})) "
 
+_EACH = """each_ as (
+  select q.vec_id as query, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as score, row_number() over (partition by q.vec_id order by list_cosine_similarity(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as rn
+  from embeddings q, embeddings e where q.vec_id % 50 = 0)"""
+
 ORACLE = {
     "filter_eq": "select o_orderkey as id from orders where o_orderstatus = 'F'",
     "filter_eq_null": f"with {_EV} select event_id as id from ev where value is null",
@@ -457,6 +477,8 @@ case when event_type = 'click' then value else floor(value) end > 50 as big from
     "rrf": "select vec_id, round(sum(1.0 / (60 + rn)), 9) as score from ("
     + " union all ".join(f"(select vec_id, row_number() over (order by {_COS.format(i)} desc, vec_id) as rn from embeddings qualify rn <= 50)" for i in (0, 1))
     + ") group by vec_id",
+    "vector_topk_each": f"with {_EACH} select query, vec_id, round(score, 6) as score from each_ where rn <= 20",
+    "rrf_each": f"with {_EACH} select vec_id, round(sum(1.0 / (60 + rn)), 9) as score from each_ where rn <= 50 group by vec_id",
     "relevance": """with r as (select label as query, vec_id as doc, embedding[1] as score, case when embedding[2] > 0.1::float then 2 when embedding[2] > 0 then 1 else 0 end as grade from embeddings),
 ranked as (select *, row_number() over (partition by query order by score desc, doc) as rank, row_number() over (partition by query order by grade desc, doc) as best from r)
 select query, round(coalesce(sum(case when rank <= 10 then grade / log2(rank + 1) else 0 end) / sum(case when best <= 10 then grade / log2(best + 1) else 0 end), 0), 6) as ndcg,
