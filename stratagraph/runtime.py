@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _created: list[tuple[SparkSession, str]] = []
 
@@ -77,6 +78,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size <= SPREAD_BYTES and 0 < len(df.inputFiles()) < cores // 2 else df
 
 
+#: Bytes on disk up to which a table may be broadcast; in memory it takes some ten times as much.
+BROADCAST_BYTES = 8 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """True if what df reads is at most BROADCAST_BYTES on disk, by the optimizer's statistics (of written tables: the sizes of their files)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is small; else the join shuffles, and AQE splits what is hot."""
+    return F.broadcast(df) if is_small(df) else df
+
+
 class HadoopFiles:
     """The few file operations publishing needs, on whatever file system the path names."""
 
