@@ -3,10 +3,11 @@
 Each row of a plan has a mean repetition rate: the tokens it should give over the tokens its source has. A document is
 taken as often as the inverse of a Poisson distribution says at a number hashed from its id, the plan and a seed, so
 the choice is the same on every run and needs no state. The distribution is cut at max_repeats and its mean is raised
-until the cut one has the target rate; a rate the cap can't reach takes every document max_repeats times, and the plan
-row is reported as not fulfilled. As the numbers are fixed, what a rate gives is too: one pass counts the tokens that a
-scale of rates round the target rate would give, and the rate that meets the target best is taken, so that a few large
-documents don't pull a share away. The copies are shuffled globally by another hash.
+so that the cut one meets the target; a rate the cap can't reach takes every document max_repeats times, and the plan
+row is reported as not feasible. As the numbers are fixed, so is what a mean gives: one pass counts the tokens of each
+plan row by their numbers (BINS parts, however many documents), and the mean at which they meet the target is solved
+from these counts, so that a few large documents don't pull a share away. The copies are shuffled globally by another
+hash.
 
 Defined results: sources are compared without case and outer white space, documents without source are in no plan but
 count among all tokens; null texts have no tokens; documents without tokens are never taken; a plan row with a null is
@@ -18,19 +19,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import materialize, spread
-from .tokens import bounded, clean_source, token_count
+from ..runtime import if_small, materialize, spread
+from .tokens import clean_source, token_count
 
 SEED = 42
-#: Copies that an uncapped plan row may give at most, as a multiple of its rate and a constant; the tail beyond is below 1e-12.
-LOOSE = (3, 40)
-#: The rates tried, as multiples of the target rate.
-SCALE = [2.0 ** (k / 12) for k in range(-18, 19)]
+#: Parts of [0, 1) by which the tokens of a plan row are counted before its mean is set.
+BINS = 4096
+#: Standard deviations, and counts besides, beyond which a Poisson number is as good as impossible (below 1e-17).
+FAR = (10, 40)
 
 
 def sized(documents: DataFrame) -> DataFrame:
@@ -51,105 +53,129 @@ def plan_rates(sizes: DataFrame, plans: DataFrame) -> DataFrame:
     target = F.col("target_share") * F.col("total_ratio") * F.lit(every)
     has = F.coalesce("available", F.lit(0))
     return joined.select(
-        "plan_id", "source", "target_share", "max_repeats", target.alias("target"), has.alias("available"),
-        F.when(has > 0, target / has).alias("rate"),
-        F.when(F.col("max_repeats").isNull(), (has > 0) | (target <= 0)).otherwise(~(has * F.col("max_repeats") < target)).alias("feasible"),
-    )
+        "plan_id", "source", "target_share", "max_repeats", target.alias("target"), has.alias("available"), F.when(has > 0, target / has).alias("rate")
+    )
 
 
-def cut_poisson(rate: float | None, cap: float | None) -> list[float]:
-    """P(N <= k) for k below the cap, of the Poisson distribution whose counts, cut at the cap, have the mean rate."""
-    if rate is None or not rate > 0:
-        return []
-    cap = int(cap) if cap is not None and cap == cap else math.ceil(LOOSE[0] * rate) + LOOSE[1]
-    if rate >= cap:
-        return [-1.0] * max(cap, 0)  # below every number: always the cap
+def poisson_cuts(mean: float, cap: int | None) -> tuple[int, np.ndarray]:
+    """(base, cuts) of a Poisson distribution cut at cap: the count at a number u in [0, 1) is base and one for each cut <= u.
 
-    def cdf(mean: float) -> list[float]:
-        p, out, total = math.exp(-mean), [], 0.0
-        for k in range(cap):
-            total += p
-            out.append(min(total, 1.0))
-            p *= mean / (k + 1)
-        return out
+    The probabilities are summed from logarithms round the mean, so no mean is too large.
+    """
+    if not mean > 0:
+        return 0, np.zeros(0)
+    far = FAR[0] * math.sqrt(mean) + FAR[1]
+    low, high = max(0, math.floor(mean - far)), math.ceil(mean + far)
+    if cap is not None:
+        if low >= cap:
+            return max(cap, 0), np.zeros(0)
+        high = min(high, cap - 1)
+    k = np.arange(low + 1, high + 1)
+    first = low * math.log(mean) - mean - math.lgamma(low + 1)
+    return low, np.minimum(np.cumsum(np.exp(np.r_[first, first + np.cumsum(math.log(mean) - np.log(k))])), 1.0)
+
+
+def cut_mean(rate: float, cap: int | None) -> float:
+    """The mean of the Poisson distribution whose counts, cut at cap, have the mean rate (below cap)."""
 
     def reached(mean: float) -> float:
-        return sum(1 - c for c in cdf(mean))
+        base, cuts = poisson_cuts(mean, cap)
+        return base + float((1 - cuts).sum())
 
-    low, high = 0.0, max(1.0, rate)
-    while reached(high) < rate and high < 600:
-        high *= 2
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if reached(mid) < rate else (low, mid)
-    return cdf(high)
+    return _solved(reached, rate, rate)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _cut(rate: pd.Series, cap: pd.Series) -> pd.Series:
-    return pd.Series([cut_poisson(None if pd.isna(r) else float(r), None if pd.isna(c) else float(c)) for r, c in zip(rate, cap)])
+def meeting_mean(target: float, cap: int | None, weight: np.ndarray) -> float | None:
+    """The mean at which the tokens drawn meet the target. weight: the tokens whose numbers lie in each of BINS equal parts of [0, 1)."""
+    edges, beyond = np.linspace(0, 1, len(weight) + 1), np.r_[weight[::-1].cumsum()[::-1], 0.0]
+    if not beyond[0] > 0:
+        return None
 
+    def given(mean: float) -> float:
+        base, cuts = poisson_cuts(mean, cap)
+        return base * beyond[0] + float(np.interp(cuts, edges, beyond).sum())
 
-def unit(*cols) -> Column:
-    """A number in [0, 1) hashed from the columns."""
-    return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    return _solved(given, target, target / beyond[0])
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def _scaled(rate: pd.Series, cap: pd.Series) -> pd.Series:
-    return pd.Series([[cut_poisson(float(r) * f, None if pd.isna(c) else float(c)) for f in SCALE] for r, c in zip(rate, cap)])
+def _solved(f, want: float, start: float) -> float:
+    """Where the rising function f reaches want."""
+    low, high = 0.0, max(start, 1e-9)
+    while f(high) < want * (1 - 1e-12) and high < 1e300:
+        low, high = high, high * 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if f(mid) < want else (low, mid)
+    return high
 
 
-def meeting_rate(rate: float, target: float, given: list[int]) -> float:
-    """The rate at which the tokens given by the SCALE of rates, taken as straight between them, meet the target."""
-    for k in range(len(SCALE) - 1):
-        if given[k] <= target < given[k + 1]:
-            return rate * (SCALE[k] + (target - given[k]) / (given[k + 1] - given[k]) * (SCALE[k + 1] - SCALE[k]))
-    return rate * min(zip(SCALE, given), key=lambda x: (abs(x[1] - target), abs(x[0] - 1)))[0]
+CUTS = T.StructType([T.StructField("base", T.IntegerType()), T.StructField("cuts", T.ArrayType(T.DoubleType()))])
 
 
-@F.pandas_udf(T.DoubleType())
-def _meeting(rate: pd.Series, target: pd.Series, given: pd.Series) -> pd.Series:
-    return pd.Series([float(r) if g is None else meeting_rate(r, t, list(g)) for r, t, g in zip(rate, target, given)])
+@F.pandas_udf(CUTS)
+def _cuts(rate: pd.Series, target: pd.Series, cap: pd.Series, bins: pd.Series) -> pd.DataFrame:
+    rows = []
+    for r, t, c, counted in zip(rate, target, cap, bins):
+        c = None if pd.isna(c) else int(c)
+        if c is not None and r >= c:
+            rows.append((max(c, 0), []))
+            continue
+        weight = np.zeros(BINS)
+        for b in counted if counted is not None else ():
+            weight[b["bin"]] = b["tokens"]
+        mean = meeting_mean(float(t), c, weight)
+        base, cuts = poisson_cuts(cut_mean(float(r), c) if mean is None else mean, c)
+        rows.append((base, cuts[cuts < 1].tolist()))
+    return pd.DataFrame(rows, columns=["base", "cuts"])
+
+
+def unit(*cols) -> Column:
+    """A number in [0, 1) hashed from the columns."""
+    return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
 
 
 def _drawn(sizes: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
-    joined = sizes.where("tokens > 0 and source is not null").join(bounded(rates), "source")
+    joined = sizes.where("tokens > 0 and source is not null").join(if_small(rates), "source")
     return joined.withColumn("u", unit("doc_id", "plan_id", F.lit(seed)))
 
 
-def copies(sizes: DataFrame, plans: DataFrame, seed: int = SEED) -> DataFrame:
-    """(plan_id, source, doc_id, tokens, copies) of each document that a plan takes."""
-    rates = materialize(plan_rates(sizes, plans).where("rate > 0").select("plan_id", "source", "target", "rate", "max_repeats"), "rates")
-    loose = rates.where("max_repeats is null or rate < max_repeats")
-    tried = _drawn(sizes, loose.select("plan_id", "source", _scaled("rate", "max_repeats").alias("cdfs")), seed)
-    many = F.transform("cdfs", lambda cdf: F.size(F.filter(cdf, lambda c: c <= F.col("u"))) * F.col("tokens"))
-    given = tried.select("plan_id", "source", many.alias("g")).groupBy("plan_id", "source").agg(F.array(*[F.sum(F.get("g", F.lit(k))) for k in range(len(SCALE))]).alias("given"))
-    met = rates.join(given, ["plan_id", "source"], "left").withColumn("rate", _meeting("rate", "target", "given"))
-    cut = materialize(met.select("plan_id", "source", _cut("rate", "max_repeats").alias("cdf")).where("size(cdf) > 0"), "cut")
-    n = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+def copies(sizes: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:
+    """(plan_id, source, doc_id, tokens, copies) of each document that a plan takes; rates as plan_rates gives them, written."""
+    some = rates.where("rate > 0").select("plan_id", "source", "target", "rate", "max_repeats")
+    tried = _drawn(sizes, some.where("max_repeats is null or rate < max_repeats").select("plan_id", "source"), seed)
+    bins = tried.groupBy("plan_id", "source", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("tokens").alias("tokens"))
+    counted = bins.groupBy("plan_id", "source").agg(F.collect_list(F.struct("bin", "tokens")).alias("bins"))
+    met = some.join(counted, ["plan_id", "source"], "left").withColumn("c", _cuts("rate", "target", "max_repeats", "bins"))
+    cut = materialize(met.select("plan_id", "source", "c.base", "c.cuts"), "cuts")
+    n = F.col("base") + F.size(F.filter("cuts", lambda c: c <= F.col("u")))
     return _drawn(sizes, cut, seed).select("plan_id", "source", "doc_id", "tokens", n.alias("copies")).where("copies > 0")
 
 
 def mix(documents: DataFrame, plans: DataFrame, seed: int = SEED) -> DataFrame:
     """(plan_id, shuffle_key, doc_id, source, copy, tokens): every copy, in the global order of the mix."""
     sizes = materialize(sized(documents), "sizes")
-    each = copies(sizes, plans, seed).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rates = materialize(plan_rates(sizes, plans), "rates")
+    each = copies(sizes, rates, seed).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     key = F.xxhash64("plan_id", "doc_id", "copy", F.lit(seed + 1))
     return each.select("plan_id", key.alias("shuffle_key"), "doc_id", "source", "copy", "tokens").orderBy("plan_id", "shuffle_key", "doc_id", "copy")
 
 
 def shares(documents: DataFrame, plans: DataFrame, seed: int = SEED) -> DataFrame:
-    """(plan_id, source, target_share, share, target, tokens, documents, most_copies, feasible): what each plan row reached.
+    """(plan_id, source, target_share, share, target, tokens, documents, most_copies, max_repeats, feasible): what each plan row reached.
 
-    share is of the tokens that the whole plan reached, target the tokens wanted of the source.
+    share is of the tokens that the whole plan reached, target the tokens wanted of the source. A row is not feasible if
+    every document of its source was drawn as often as it may be and the tokens still miss the target.
     """
     sizes = materialize(sized(documents), "sizes")
-    got = copies(sizes, plans, seed).groupBy("plan_id", "source").agg(
+    rates = materialize(plan_rates(sizes, plans), "rates")
+    got = copies(sizes, rates, seed).groupBy("plan_id", "source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("documents"), F.max("copies").alias("most_copies")
     )
-    rows = plan_rates(sizes, plans).join(got, ["plan_id", "source"], "left").fillna(0, ["tokens", "documents", "most_copies"])
+    rows = rates.join(got, ["plan_id", "source"], "left").fillna(0, ["tokens", "documents", "most_copies"])
+    rows = materialize(rows, "shares")
     whole = rows.groupBy("plan_id").agg(F.sum("tokens").alias("whole"))
+    spent = F.col("tokens") >= F.col("available") * F.coalesce("max_repeats", F.when(F.col("available") == 0, 0))
     return rows.join(whole, "plan_id").select(
-        "plan_id", "source", "target_share", F.coalesce(F.try_divide("tokens", "whole"), F.lit(0.0)).alias("share"), "target", "tokens", "documents", "most_copies", "feasible"
-    )
+        "plan_id", "source", "target_share", F.coalesce(F.try_divide("tokens", "whole"), F.lit(0.0)).alias("share"), "target", "tokens", "documents", "most_copies", "max_repeats",
+        (~(F.coalesce(spent, F.lit(False)) & (F.col("tokens") < F.col("target")))).alias("feasible"),
+    )

@@ -1,13 +1,15 @@
 """Problem 8: documents above their source's token limit cut into pieces within it.
 
 A text is split at sections; parts still too long at paragraphs, lines, sentences, clauses, words, and last between any two
-tokens. The parts are packed greedily up to the limit, and each piece begins with the end of the piece before: at least
-overlap_tokens, reaching back to a natural boundary where one lies within twice as many.
+tokens. The parts are packed greedily up to the limit, so that what is new in a piece begins and ends at the coarsest
+boundaries that do, and before it each piece repeats the last overlap_tokens tokens of the piece before: exactly so many,
+or, with reach_back, up to twice as many where a natural boundary lies there.
 
 Defined results: a null or blank text, or a document whose source is null, blank or without a rule, is no case; a rule
 with a null or non-positive limit is no rule, of several rules for a source the least limit holds; a null or negative
-overlap is none, one above half the limit less one token is cut to that; a text within the limit is not cut; pieces
-cover every token; empty tables give no rows; other columns are ignored.
+overlap is none, one of the limit or more is cut to the limit less one token (`asked` has what the rule asks for,
+`overlap` what a piece has); a text within the limit is not cut; pieces cover every token; empty tables give no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import spread
-from .tokens import TOKEN, bounded, clean_source, token_count
+from ..runtime import if_small, spread
+from .tokens import clean_source, spans, token_chunks, token_count
 
 SECTION, PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER = range(7)
 _SECTION = re.compile(r"\n\s*\n\s*\n|\n\s*(?=#{1,6}\s|-{3,}|={3,}|\*{3,})|\f")
@@ -69,50 +71,53 @@ def split_units(levels: list[int], low: int, high: int, limit: int, level: int =
     return out
 
 
-def split_spans(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
-    """(first token, end token, start character, end character, tokens shared with the piece before) of each piece."""
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    n = len(spans)
+def split_spans(text: str, at: list[tuple[int, int]], limit: int, overlap: int, reach_back: bool = False) -> list[tuple[int, int, int, int, int]]:
+    """(first token, end token, start character, end character, tokens shared with the piece before) of each piece. at: where the tokens lie."""
+    n = len(at)
     if n <= limit:
-        return [(0, n, spans[0][0], spans[-1][1], 0)] if n else []
-    overlap = max(0, min(overlap, (limit - 1) // 2))
-    levels = boundary_levels(text, spans)
+        return [(0, n, at[0][0], at[-1][1], 0)] if n else []
+    overlap = max(0, min(overlap, limit - 1))
+    reach = max(0, min(overlap, limit - 1 - overlap)) if reach_back else 0
+    levels = boundary_levels(text, at)
     pieces: list[tuple[int, int, int]] = []
     start, end, shared = 0, 0, 0
-    for a, b in split_units(levels, 0, n, limit - 2 * overlap):
+    for a, b in split_units(levels, 0, n, limit - overlap - reach):
         if b - start > limit:
             pieces.append((start, end, shared))
-            at = max(end - overlap, 0)
-            if overlap:
-                near = range(at, max(end - 2 * overlap, start), -1)
-                at = min(near, key=lambda i: (min(max(levels[i], SENTENCE), WORD + (levels[i] > WORD)), -i), default=at)
-            start, shared = at, end - at
+            start = max(end - overlap, 0)
+            if reach:
+                near = range(start, max(end - overlap - reach, pieces[-1][0]), -1)
+                start = min(near, key=lambda i: (min(max(levels[i], SENTENCE), WORD + (levels[i] > WORD)), -i), default=start)
+            shared = end - start
         end = b
     pieces.append((start, end, shared))
-    return [(s, e, spans[s][0], spans[e - 1][1], o) for s, e, o in pieces]
+    return [(s, e, at[s][0], at[e - 1][1], o) for s, e, o in pieces]
 
 
-@F.pandas_udf(PIECES)
-def split_pieces(text: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
-    def one(t, most, share):
+def _split(reach_back: bool):
+    def one(text, chunks, most, share):
         return [
-            {"piece": k, "start": a, "end": b, "tokens": e - s, "overlap": o, "text": t[a:b]}
-            for k, (s, e, a, b, o) in enumerate(split_spans(t, int(most), int(share)), 1)
+            {"piece": k, "start": a, "end": b, "tokens": e - s, "overlap": o, "text": text[a:b]}
+            for k, (s, e, a, b, o) in enumerate(split_spans(text, spans(chunks), int(most), int(share), reach_back), 1)
         ]
 
-    return pd.Series([one(*x) for x in zip(text, limit, overlap)])
+    @F.pandas_udf(PIECES)
+    def split_pieces(text: pd.Series, chunks: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(text, chunks, limit, overlap)])
 
+    return split_pieces
 
-def pieces(documents: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, source, max_tokens, n_pieces, piece, start, end, tokens, overlap, text) of each document above its limit."""
+
+def pieces(documents: DataFrame, rules: DataFrame, reach_back: bool = False) -> DataFrame:
+    """(doc_id, source, max_tokens, asked, n_pieces, piece, start, end, tokens, overlap, text) of each document above its limit."""
     by_source = (
-        rules.select(clean_source(F.col("source")).alias("source"), "max_tokens", F.greatest(F.coalesce("overlap_tokens", F.lit(0)), F.lit(0)).alias("overlap_tokens"))
+        rules.select(clean_source(F.col("source")).alias("source"), "max_tokens", F.greatest(F.coalesce("overlap_tokens", F.lit(0)), F.lit(0)).alias("asked"))
         .where("source is not null and max_tokens > 0")
         .groupBy("source")
-        .agg(F.min(F.struct("max_tokens", "overlap_tokens")).alias("r"))
+        .agg(F.min(F.struct("max_tokens", "asked")).alias("r"))
         .select("source", "r.*")
     )
     docs = documents.select("doc_id", "text", clean_source(F.col("source")).alias("source")).where("source is not null and text is not null")
-    long = spread(docs).join(bounded(by_source), "source").where(token_count(F.col("text")) > F.col("max_tokens"))
-    cut = long.select("doc_id", "source", "max_tokens", split_pieces("text", "max_tokens", "overlap_tokens").alias("p"))
-    return cut.select("doc_id", "source", "max_tokens", F.size("p").alias("n_pieces"), F.inline("p"))
+    long = spread(docs).join(if_small(by_source), "source").where(token_count(F.col("text")) > F.col("max_tokens"))
+    cut = long.select("doc_id", "source", "max_tokens", "asked", _split(reach_back)("text", token_chunks(F.col("text")), "max_tokens", "asked").alias("p"))
+    return cut.select("doc_id", "source", "max_tokens", "asked", F.size("p").alias("n_pieces"), F.inline("p"))

@@ -1,30 +1,44 @@
-"""Tokens of the WordPunct tokenizer: longest runs of letters, numbers and underscores, or of other characters that aren't white space."""
+"""Tokens of the WordPunct tokenizer: longest runs of letters, numbers and underscores, or of other characters that aren't white space.
 
-from __future__ import annotations
+There is one definition, and the JVM alone applies it: Python gets the tokens it needs as they were found there, so two
+engines with other ideas of white space, or of which characters are letters, can't disagree about a text.
+"""
 
-import re
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.records import strip
 
-JVM_TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
-TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Rows of a rule or plan table up to which it is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 10_000
+# White space, U+001C to U+001F with it. Fixed values of the tokenizer.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACE}]+"
+#: A token with the white space before it: all of them in turn give the text up to its last token.
+CHUNK = rf"[{SPACE}]*(?:{TOKEN})"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def token_count(text: Column) -> Column:
     """Tokens of a text, none for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(JVM_TOKEN)), F.lit(0)).cast("bigint")
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("bigint")
+
+
+def token_chunks(text: Column) -> Column:
+    """The tokens of a text, each with the white space before it."""
+    return F.regexp_extract_all(text, F.lit(f"({CHUNK})"), F.lit(1))
+
+
+def spans(chunks: list[str]) -> list[tuple[int, int]]:
+    """Where each token of token_chunks begins and ends in the text."""
+    out, at = [], 0
+    for c in chunks:
+        end = at + len(c)
+        out.append((end - len(c.lstrip(BLANKS)), end))
+        at = end
+    return out
 
 
 def clean_source(source: Column) -> Column:
     """A source without case and outer white space; null if nothing is left."""
     return F.nullif(F.lower(strip(source)), F.lit(""))
-
-
-def bounded(rows: DataFrame) -> DataFrame:
-    """With a broadcast hint if the table is small by count."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows

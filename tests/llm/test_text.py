@@ -2,11 +2,16 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from stratagraph.llm import leakage, mixture, splitting
-from stratagraph.llm.tokens import TOKEN
+from stratagraph.llm import tokens as token_rules
 
+TOKEN = regex.compile(token_rules.TOKEN)
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, title string, subject_qid string, tokens int, copies int"
 ITEMS = "item_id bigint, suite string, lang string, prompt string, answer string, split string, doc_id bigint"
 PLANS = "plan_id int, source string, target_share double, max_repeats int, total_ratio double, tokens int"
@@ -70,12 +75,24 @@ PASSAGE = "Work out what follows for link 15 to Ploanneyite when Ferr-bumlite va
     ],
 )
 def test_forms(form):
-    q = leakage.Queries([(1, PASSAGE + " and then some more")])
-    ids = {w: i for i, w in enumerate(q.vocabulary)}
-    doc = [ids.get(w, -1) for w in leakage.words_of(form)]
-    places = {tuple(p): w for p, w in zip(q.phrases.tolist(), q.places)}
-    hits = [(n, i, j) for j in range(len(doc)) for n, i in places.get(tuple(doc[j : j + leakage.SEED]), [])]
-    assert any(leakage.passage(q.words[n], q.weights[n], doc, i, j) for n, i, j in hits)
+    assert found([(1, PASSAGE + " and then some more")], [form])
+
+
+def found(items, texts):
+    """The documents, by number, that hold a passage of an item, without Spark."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    q, out = leakage.Queries(items), set()
+    for shard in leakage._inverted(leakage.words_of)(iter([batch])):
+        for row in leakage._rows(shard):
+            out |= {(r[0], r[1]) for r in leakage._shard_matches(q, row, False)}
+    return out
+
+
+def test_what_is_no_markup():
+    text = "fifteen words that stand between two signs and are no tag at all here now"
+    items = [(1, text)]
+    assert found(items, [f"for i <n do {text} until k> 3", f"a <b {text} c> d", f"List<String> {text}", f'<p class="x">{text}</p>', f"<!-- note -->{text}", f"if x <y and {text}> z"]) == {(1, k) for k in range(6)}
+    assert leakage.plain("Map<String> a<b>b</b> <x y='1'>z").split() == ["map<string>", "ab", "z"]
 
 
 def test_leaks_odd(spark):
@@ -87,10 +104,37 @@ def test_leaks_odd(spark):
     assert leakage.leaks(docs(spark, rows), none).count() == 0 and leakage.leaks(docs(spark, []), items).count() == 0
 
 
-def test_item_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 2)
-    items = spark.createDataFrame([(i, None, None, f"{PASSAGE} {i}", None, None, 1) for i in range(7)], ITEMS)
-    assert {r["item_id"] for r in leakage.leaks(docs(spark, [(1, PASSAGE, "s")]), items).collect()} == set(range(7))
+@pytest.mark.parametrize("seed", [1, 2])
+def test_items_joined_to_shards(spark, monkeypatch, seed):
+    """Items beyond what is broadcast are joined by their words: the same passages, in slices and over several shards."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(20))) for i in range(40)]
+    rows = [(n, " ".join(["x"] * 5 + rng.choice(items)[1].split()[: rng.choice([11, 12, 20])] + ["y"]), "s") for n in range(60)]
+    it = spark.createDataFrame([(i, None, None, t, None, None, 1) for i, t in items], ITEMS)
+    monkeypatch.setattr(leakage, "SHARD_DOCS", 7)
+    want = {tuple(r) for r in leakage.leaks(docs(spark, rows), it).collect()}
+    monkeypatch.setattr(leakage, "BROADCAST_CHARS", 0)
+    monkeypatch.setattr(leakage, "SLICE_ITEMS", 3)
+    assert {tuple(r) for r in leakage.leaks(docs(spark, rows), it).collect()} == want and len(want) > 20
+
+
+def test_many_items_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BROADCAST_CHARS", 1000)
+    rows = [(n, " ".join(f"a{n}x{k}" for k in range(14)), "s") for n in range(0, 20_000, 40)]
+    it = spark.range(20_000).selectExpr("id as item_id", "concat_ws(' ', transform(sequence(0, 13), k -> concat('a', id, 'x', k))) as prompt", "cast(null as string) as answer")
+    index = leakage.materialize(leakage.positional_index(docs(spark, rows)), "postings")
+    got = leakage.search(index, it)
+    assert {(r["item_id"], r["doc_id"]) for r in got.collect()} == {(n, n) for n in range(0, 20_000, 40)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("places") and str(got._jdf.queryExecution().executedPlan()).count("places#") >= 1
+    exact = leakage.search(index, it.where("item_id < 41"), exact=True)
+    assert {r["item_id"] for r in exact.collect()} == {0, 40}
+
+
+def test_index_kept(spark, tmp_path):
+    leakage.write_index(docs(spark, [(1, PASSAGE, "s"), (2, "no", "s")]), f"file://{tmp_path}/index")
+    items = spark.createDataFrame([(1, None, None, PASSAGE, None, None, 1)], ITEMS)
+    assert [r["doc_id"] for r in leakage.search(leakage.read_index(spark, f"file://{tmp_path}/index"), items).collect()] == [1]
 
 
 # -- 7
@@ -112,7 +156,8 @@ def test_mix(spark):
     plans = [(1, "a", 0.5, 3, 0.4, 7), (1, " B", 0.3, 2, 0.4, 7), (1, "c", 0.2, 1, 0.4, 7), (2, "a", 0.9, 1, 2.0, 7), (2, "none", 0.1, 4, 2.0, 7), (3, None, 0.5, 1, 1.0, 7), (4, "a", None, 1, 1.0, 7), (5, "a", 1.0, None, 3.0, 7), (1, "a", 0.5, 3, 0.4, 7)]
     p = spark.createDataFrame(plans, PLANS)
     rates = {(r["plan_id"], r["source"]): r for r in mixture.plan_rates(mixture.sized(table), p).collect()}
-    assert {k for k, r in rates.items() if not r["feasible"]} == {(2, "a"), (2, "none")} and len(rates) == 6
+    shares = {(r["plan_id"], r["source"]): r for r in mixture.shares(table, p).collect()}
+    assert {k for k, r in shares.items() if not r["feasible"]} == {(2, "a"), (2, "none")} and len(rates) == len(shares) == 6
     assert rates[1, "b"]["available"] == size["b"] and rates[1, "b"]["target"] == pytest.approx(0.3 * 0.4 * total)
     mix = mixture.mix(table, p).collect()
     assert mix == mixture.mix(table, p).collect()  # no state, the same on every run
@@ -121,29 +166,50 @@ def test_mix(spark):
         per[r["plan_id"], r["source"]] = per.get((r["plan_id"], r["source"]), 0) + r["tokens"]
         most[r["plan_id"], r["source"]] = max(most.get((r["plan_id"], r["source"]), 0), r["copy"])
     for (plan, source), r in rates.items():
-        if r["feasible"]:
+        if shares[plan, source]["feasible"]:
             assert per[plan, source] == pytest.approx(r["target"], rel=0.03)
         if r["max_repeats"] is not None and r["available"]:
             assert most[plan, source] <= r["max_repeats"]
     assert per[2, "a"] == size["a"]
     keys = [r["shuffle_key"] for r in mix if r["plan_id"] == 1]
     assert keys == sorted(keys)
-    shares = {(r["plan_id"], r["source"]): r for r in mixture.shares(table, p).collect()}
     assert sum(r["share"] for k, r in shares.items() if k[0] == 1) == pytest.approx(1) and shares[2, "none"]["tokens"] == 0
     assert {k: r["tokens"] for k, r in shares.items() if r["tokens"]} == per
 
 
 def test_mix_empty(spark):
     p = spark.createDataFrame([(1, "a", 0.5, 3, 0.4, 7)], PLANS)
-    assert mixture.mix(docs(spark, []), p).count() == 0 and mixture.plan_rates(mixture.sized(docs(spark, [])), p).first()["feasible"]
+    assert mixture.mix(docs(spark, []), p).count() == 0 and mixture.shares(docs(spark, []), p).first()["feasible"]
     assert mixture.plan_rates(mixture.sized(docs(spark, corpus(5))), spark.createDataFrame([], PLANS)).count() == 0
 
 
+def reached(mean, cap):
+    base, cuts = mixture.poisson_cuts(mean, cap)
+    assert (cuts[1:] >= cuts[:-1]).all()
+    return base + (1 - cuts).sum()
+
+
 def test_cut_poisson():
-    for rate, cap in ((0.05, 1), (0.9, 1), (0.5, 2), (1.9, 2), (3.0, 7), (9.5, 10), (0.3, None), (20.0, None)):
-        cdf = mixture.cut_poisson(rate, cap)
-        assert sum(1 - c for c in cdf) == pytest.approx(rate, abs=1e-6) and cdf == sorted(cdf)
-    assert mixture.cut_poisson(2.0, 2) == [-1.0, -1.0] and mixture.cut_poisson(None, 2) == mixture.cut_poisson(0.0, 2) == mixture.cut_poisson(1.0, 0) == []
+    for rate, cap in ((0.05, 1), (0.9, 1), (0.5, 2), (1.9, 2), (3.0, 7), (9.5, 10), (0.3, None), (20.0, None), (620, 640), (740, None), (800, None), (900, 1000), (1000, None), (1e6, None), (99_990, 100_000)):
+        assert reached(mixture.cut_mean(rate, cap), cap) == pytest.approx(rate, rel=1e-6)
+    assert reached(1e5, 3) == 3 and reached(0.0, 3) == 0 and reached(1.0, 0) == 0
+
+
+def test_meeting_mean():
+    even = np.full(mixture.BINS, 10.0)
+    for rate, cap in ((0.01, None), (0.7, 1), (2.5, 3), (700.0, None)):
+        assert mixture.meeting_mean(rate * even.sum(), cap, even) == pytest.approx(mixture.cut_mean(rate, cap), rel=1e-2)
+    assert mixture.meeting_mean(5.0, 2, np.zeros(mixture.BINS)) is None
+
+
+def test_high_rates(spark):
+    """A small source repeated 740 times, uncapped and under a cap close by."""
+    rows = [(i, "tok " * (1 + i % 5), "a") for i in range(300)] + [(1000 + i, "tok " * 20, "b") for i in range(2000)]
+    size = sum(1 + i % 5 for i in range(300))
+    total = size + 40_000
+    p = spark.createDataFrame([(1, "a", 1.0, None, 740 * size / total, 7), (2, "a", 1.0, 760, 740 * size / total, 7)], PLANS)
+    for r in mixture.shares(docs(spark, rows), p).collect():
+        assert r["tokens"] == pytest.approx(740 * size, rel=0.01) and r["feasible"]
 
 
 # -- 8
@@ -157,28 +223,48 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("limit,overlap", [(40, 8), (16, 0), (7, 3), (3, 50), (1, 0), (2, 1)])
-def test_pieces(limit, overlap):
+def cut(text, limit, overlap, reach_back=False):
+    return splitting.split_spans(text, [m.span() for m in TOKEN.finditer(text)], limit, overlap, reach_back)
+
+
+@pytest.mark.parametrize("reach_back", [False, True])
+@pytest.mark.parametrize("limit,overlap", [(40, 8), (16, 0), (7, 3), (3, 50), (1, 0), (2, 1), (50, 30)])
+def test_pieces(limit, overlap, reach_back):
     for text in texts():
         tokens = [m.span() for m in TOKEN.finditer(text)]
-        got = splitting.split_spans(text, limit, overlap)
-        share = max(0, min(overlap, (limit - 1) // 2))
+        got = cut(text, limit, overlap, reach_back)
+        share = max(0, min(overlap, limit - 1))
         assert got[0][0] == 0 and got[-1][1] == len(tokens)
         assert (len(got) > 1) == (len(tokens) > limit)
         for k, (s, e, a, b, o) in enumerate(got):
             assert 0 < e - s <= limit and (a, b) == (tokens[s][0], tokens[e - 1][1])
             assert len(TOKEN.findall(text[a:b])) == e - s
             if k:
-                assert got[k - 1][1] - s == o and share <= o <= max(2 * share, 0)
+                assert got[k - 1][1] - s == o and s > got[k - 1][0] and e > got[k - 1][1]
+                assert o == share if not reach_back else share <= o <= 2 * share
 
 
 def test_boundaries():
     text = "One two three. Four five six seven.\n\nEight nine ten. Eleven twelve"
-    got = [text[a:b] for _, _, a, b, _ in splitting.split_spans(text, 9, 0)]
+    got = [text[a:b] for _, _, a, b, _ in cut(text, 9, 0)]
     assert got == ["One two three. Four five six seven.", "Eight nine ten. Eleven twelve"]
     long = "One two three. " * 10
-    cut = splitting.split_spans(long, 12, 4)
-    assert all(long[a : a + 3] == "One" and long[b - 1] == "." for _, _, a, b, _ in cut) and all(o == 4 for *_, o in cut[1:])
+    back = cut(long, 12, 4)
+    assert all(long[a : a + 3] == "One" and long[b - 1] == "." for _, _, a, b, _ in back) and all(o == 4 for *_, o in back[1:])
+    assert any(o > 3 for *_, o in cut(long, 12, 3, True)[1:]) and all(o == 3 for *_, o in cut(long, 12, 3)[1:])
+
+
+def test_one_tokenizer(spark):
+    """Controls that one engine takes for white space and another doesn't, and letters that one engine doesn't know yet."""
+    rows = [(1, "a\x1fb\x1fc", "x"), (2, "a\x1cb\x1dc\x1ed", "x"), (3, "\u00a0a\u2003b\u3000c\u0085d ", "x"), (4, "a\u200bb c", "x"), (5, "\U00011f02\U0001e4d0 \U0001e4d1. \U00031350", "x"), (6, "  lead a 1_b ¿?\t", "x")]
+    t = docs(spark, rows).select("doc_id", "text", token_rules.token_count(F.col("text")).alias("n"), token_rules.token_chunks(F.col("text")).alias("c")).collect()
+    assert {r["doc_id"]: r["n"] for r in t} | {5: None} == {1: 3, 2: 4, 3: 4, 4: 4, 5: None, 6: 4}
+    for r in t:
+        at = token_rules.spans(r["c"])
+        assert len(at) == r["n"] and all(r["text"][a:b] == c.lstrip(token_rules.BLANKS) for (a, b), c in zip(at, r["c"])) and "".join(r["c"]) == r["text"][: at[-1][1]]
+    rules = spark.createDataFrame([("x", 2, 0, 7)], RULES)
+    got = splitting.pieces(docs(spark, rows), rules).collect()
+    assert {r["doc_id"] for r in got} == {r["doc_id"] for r in t if r["n"] > 2} and all(r["n_pieces"] > 1 and r["tokens"] <= 2 for r in got)
 
 
 def test_pieces_of_tables(spark):
