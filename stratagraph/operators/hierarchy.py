@@ -1,32 +1,38 @@
 """Problem 4: parent-child links to full hierarchies, with cycles.
 
-Every task keeps a weighted disjoint-set forest of its links: a term knows its root and its offset from it, a child
-lying one above its parent. The forests are merged until each connected component has one root: in one task while the
-links fit MERGE_LINKS, else by alternating large-star and small-star steps over all executors. Round any cycle the
-offsets can't add up, so only components in which a link contradicts its offsets can hold one; there the terms on
-cycles are settled exactly. Paths are then followed through an index of finished path ends, doubling their length
-each round, so a depth d takes log2(d) joins.
+Every term takes one of its parents, which makes a forest, or trees that end in a ring. Each task keeps the weighted
+disjoint sets of its part of these links: a term knows the top it reaches and its offset from it. The parts are merged
+level by level, FAN tasks into one, while a merged part has at most MERGE_ROWS rows, and whatever then still ends in
+another part is followed by joins that double their reach. The result gives each term its root and offset, and every
+ring is a cycle of terms, which is contracted to one node. Where no ring is left, a link whose parent isn't above its
+child by the offsets makes the child take that parent instead, and the forest is built again. Offsets only grow, so
+this ends: when each link agrees with the offsets no cycle is left, for the offsets would have to grow all the way
+round it. Paths are then followed through an index of finished path ends, doubling their length each round, so a depth
+d takes log2(d) joins; descendants double their distance in the same way.
 
 Defined results: the current row of a go_id has its highest tid (ties by the greater parents); a null go_id is no
 term; null or empty parents make a root; entries that are null, blank or name no term don't count; repeats count once;
-a link to itself is a cycle of one; a path starts at a root or at the last term on a cycle (from_cycle), so paths are
-finite; a term on a cycle has only itself as its path; whole_paths and whole_descendants go through cycles; empty tables give no rows; other columns are ignored.
+a link to itself is a cycle of one; paths, depths and descendants go through cycles (a cycle is one node of a path);
+empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import strip
 from ..runtime import materialize
 
-LINKS = "node string, root string, offset bigint"
-#: Links up to which the forests of all tasks, or the suspected links, are finished in one task (about 300 bytes each).
-MERGE_LINKS = 1_000_000
+#: Rows of a forest that one task may hold when parts are merged (40 bytes each).
+MERGE_ROWS = 4_000_000
+#: Parts merged into one at each level.
+FAN = 8
+STATE = "node bigint, first bigint, better int, top bigint, off bigint, bound int, part int"
 
 
 def current_terms(terms: DataFrame) -> DataFrame:
@@ -44,198 +50,156 @@ def parent_links(current: DataFrame) -> DataFrame:
     return named.join(ids, "key").select("child", "parent").distinct()
 
 
-class Forest:
-    """Disjoint sets in which each node has an offset from its root."""
-
-    def __init__(self):
-        self.up: dict[str, tuple[str, int]] = {}
-
-    def find(self, x: str) -> tuple[str, int]:
-        trail, up = [], self.up
-        while x in up:
-            trail.append(x)
-            x = up[x][0]
-        total = 0
-        for node in reversed(trail):
-            total += up[node][1]
-            up[node] = (x, total)
-        return x, total
-
-    def link(self, a: str, b: str, w: int) -> None:
-        """Says that offset(a) - offset(b) = w. A contradiction changes nothing: it shows when the links are held against the offsets."""
-        (ra, oa), (rb, ob) = self.find(a), self.find(b)
-        if ra != rb:
-            if ra < rb:
-                ra, oa, rb, ob, w = rb, ob, ra, oa, -w
-            self.up[ra] = (rb, ob + w - oa)
-
-    def rows(self) -> Iterator[pd.DataFrame]:
-        nodes = list(self.up)
-        for i in range(0, len(nodes), 50_000):
-            part = nodes[i : i + 50_000]
-            found = [self.find(n) for n in part]
-            yield pd.DataFrame({"node": part, "root": [r for r, _ in found], "offset": [o for _, o in found]})
-
-
-def _grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    forest = Forest()
-    for b in batches:
-        for node, root, offset in zip(b["node"], b["root"], b["offset"]):
-            forest.link(node, root, int(offset))
-    yield from forest.rows()
-
-
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step on links (node > root, offset = offset(node) - offset(root))."""
-    back = links.select(F.col("root").alias("u"), F.col("node").alias("n"), (-F.col("offset")).alias("w"))
-    down = links.select(F.col("node").alias("u"), F.col("root").alias("n"), F.col("offset").alias("w"))
-    near = down.unionByName(back) if large else down
-    least = near.groupBy("u").agg(F.min(F.struct("n", "w")).alias("m"))
-    at = near.join(least, "u").select("u", "n", "w", F.col("m.n").alias("m"), F.col("m.w").alias("mw"))
-    moved = at.where(F.col("n") > F.col("u") if large else F.col("n") > F.col("m"))
-    # offset(n) - offset(m) = (offset(u) - offset(m)) - (offset(u) - offset(n)); the centre itself may be the least
-    to_m = F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u"))
-    w = F.when(F.col("m") < F.col("u"), F.col("mw")).otherwise(F.lit(0)) - F.col("w")
-    out = moved.select(F.col("n").alias("node"), to_m.alias("root"), w.alias("offset"))
-    centre = least.where(F.col("m.n") < F.col("u")).select(F.col("u").alias("node"), F.col("m.n").alias("root"), F.col("m.w").alias("offset"))
-    both = out.unionByName(centre)
-    return both.groupBy("node", "root").agg(F.min("offset").alias("offset"))
-
-
-def forest(links: DataFrame, merge_links: int = MERGE_LINKS) -> DataFrame:
-    """(node, root, offset) of every term but the roots, from links (child, parent)."""
-    local = links.select(F.col("child").alias("node"), F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("offset")).where("node <> root")
-    local = materialize(local.mapInPandas(_grow, LINKS), "forest")
-    if local.limit(merge_links + 1).count() <= merge_links:
-        return materialize(local.repartition(1).mapInPandas(_grow, LINKS), "forest")
-    stars, seen = local.groupBy("node", "root").agg(F.min("offset").alias("offset")), None
+def settle(node: np.ndarray, top: np.ndarray, off: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(top, off, bound) of each node, followed as far as the rows here go. off is the offset from the top; bound marks what leads into a ring, and ends there."""
+    order = np.argsort(node, kind="stable")
+    at = order[np.minimum(np.searchsorted(node, top, sorter=order), max(len(node) - 1, 0))] if len(node) else order
+    leads = node[at] == top if len(node) else np.zeros(0, bool)
+    up = np.where(leads & (bound == 0) & (bound[at] == 0), at, -1)
+    for _ in range(len(node).bit_length() + 1):
+        m = np.flatnonzero(up >= 0)
+        if not len(m):
+            break
+        to = up[m]
+        off[m], top[m], up[m] = off[m] + off[to], top[to], up[to]
+    bound[up >= 0] = 1  # after so many steps only a ring goes on
+    at = order[np.minimum(np.searchsorted(node, top, sorter=order), max(len(node) - 1, 0))] if len(node) else order
+    bound[(node[at] == top) & (bound[at] == 1)] = 1
+    return top, off, bound
+
+
+def ring_labels(node: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """For each node of whole links the least node of the ring that it lies on, -1 if it lies on none."""
+    order = np.argsort(node, kind="stable")
+    at = order[np.minimum(np.searchsorted(node, top, sorter=order), max(len(node) - 1, 0))] if len(node) else order
+    up, low = np.where(node[at] == top, at, -1), node.copy()
+    for _ in range(len(node).bit_length() + 1):
+        m = np.flatnonzero(up >= 0)
+        to = up[m]
+        low[m], up[m] = np.minimum(low[m], low[to]), up[to]
+    on, out = np.unique(up[up >= 0]), np.full(len(node), -1, np.int64)
+    out[on] = low[on]
+    return out
+
+
+def _settle_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    node, first, better, top, off, bound = [table[c].to_numpy().copy() for c in ("node", "first", "better", "top", "off", "bound")]
+    cols = [node, first, better, *settle(node, top, off, bound), np.full(len(node), TaskContext.get().partitionId(), np.int32)]
+    yield from pa.table(cols, names=["node", "first", "better", "top", "off", "bound", "part"]).to_batches(10_000)
+
+
+def _ring_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if held:
+        node, first = [pa.Table.from_batches(held)[c].to_numpy() for c in ("node", "first")]
+        label = ring_labels(node, first)
+        yield pa.RecordBatch.from_arrays([pa.array(node[label >= 0]), pa.array(label[label >= 0])], names=["node", "cycle"])
+
+
+def forest(chosen: DataFrame, rows: int, merge_rows: int) -> DataFrame:
+    """The forest (STATE) of links (node, first, better), one per node; rows is about how many there are."""
+    tasks, last = chosen.sparkSession.sparkContext.defaultParallelism, max(1, -(-rows // merge_rows))
+    one = F.lit(1).cast("bigint")
+    parts = chosen.select("node", "first", "better", F.col("first").alias("top"), one.alias("off"), F.lit(0).alias("bound"), F.lit(0).alias("part")).mapInArrow(_settle_part, STATE)
     while True:
-        stars = materialize(_star(_star(stars, True), False), "stars")
-        mark = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first())
-        if mark == seen:
-            return stars
-        seen = mark
-
-
-def suspected_links(links: DataFrame, trees: DataFrame) -> DataFrame:
-    """The links of those components in which some link contradicts the offsets, self-links among them."""
-    t = lambda c: trees.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"), F.col("offset").alias(f"{c}_at"))
-    placed = (
-        links.join(t("child"), "child", "left")
-        .join(t("parent"), "parent", "left")
-        .select(
-            "child", "parent", F.coalesce("child_root", "child").alias("root"), F.coalesce("child_at", F.lit(0)).alias("c"), F.coalesce("parent_at", F.lit(0)).alias("p")
-        )
-    )
-    placed = materialize(placed, "placed")
-    bad = placed.where("c <> p + 1").select("root").distinct()
-    return placed.join(bad, "root", "left_semi").select("child", "parent")
-
-
-def _cyclic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Strongly connected components by an iterative depth-first search; those with a cycle are returned."""
-    names: dict[str, int] = {}
-    out: list[list[int]] = []
-    for b in batches:
-        for child, parent in zip(b["child"], b["parent"]):
-            c, p = names.setdefault(child, len(names)), names.setdefault(parent, len(names))
-            while len(out) < len(names):
-                out.append([])
-            out[c].append(p)
-    label = list(names)
-    n = len(label)
-    index, low, on = [0] * n, [0] * n, bytearray(n)
-    rows, stack, clock = [], [], 0
-    for start in range(n):
-        if index[start]:
-            continue
-        work = [(start, 0)]
-        while work:
-            v, k = work.pop()
-            if not k:
-                clock += 1
-                index[v] = low[v] = clock
-                stack.append(v)
-                on[v] = 1
-            for k in range(k, len(out[v])):
-                w = out[v][k]
-                if not index[w]:
-                    work += [(v, k + 1), (w, 0)]
-                    break
-                if on[w]:
-                    low[v] = min(low[v], low[w] if low[w] < index[w] else index[w])
+        tasks = max(last, -(-tasks // FAN))
+        parts = parts.repartition(tasks, "part").mapInArrow(_settle_part, STATE)
+        if tasks == last:
+            break
+    parts = materialize(parts, "forest")
+    return parts if last == 1 else _joined(parts, rows)
+
+
+def _joined(parts: DataFrame, rows: int) -> DataFrame:
+    """The forest of parts that don't fit one task: each round joins every open top with its own row and so doubles its reach."""
+    for _ in range(rows.bit_length() + 2):
+        up = parts.select(F.col("node").alias("top"), F.col("top").alias("t"), F.col("off").alias("o"), F.col("bound").alias("b"))
+        met, goes = parts.join(up, "top", "left"), F.col("t").isNotNull() & (F.col("bound") == 0) & (F.col("b") == 0)
+        move = lambda to, stay: F.when(goes, to).otherwise(F.col(stay)).alias(stay)
+        parts = met.select("node", "first", "better", move(F.col("t"), "top"), move(F.col("off") + F.col("o"), "off"), F.greatest("bound", F.coalesce("b", F.lit(0))).alias("bound"), "part", goes.alias("moved"))
+        parts = materialize(parts, "forest")
+        moving, parts = parts.where("moved"), parts.drop("moved")
+        if not moving.limit(1).count():
+            return parts
+    return materialize(parts.join(moving.select("node", F.lit(1).alias("on")), "node", "left").withColumn("bound", F.greatest("bound", F.coalesce("on", F.lit(0)))).drop("on"), "forest")
+
+
+def _rings(bound: DataFrame, rows: int, merge_rows: int) -> DataFrame:
+    """(node, cycle) of the rings that the links (node, first) of bound lead into; cycle is the least node of each."""
+    if rows <= merge_rows:
+        return bound.repartition(1).mapInArrow(_ring_part, "node bigint, cycle bigint")
+    # every node that something still reaches after as many steps as there are links is on a ring
+    hop = bound.select("node", F.col("first").alias("top"), F.col("node").alias("low"))
+    for _ in range(rows.bit_length() + 1):
+        up = hop.select(F.col("node").alias("top"), F.col("top").alias("t"), F.col("low").alias("l"))
+        hop = materialize(hop.join(up, "top").select("node", F.col("t").alias("top"), F.least("low", "l").alias("low")), "rings")
+    return hop.join(hop.select(F.col("top").alias("node")).distinct(), "node", "left_semi").select("node", F.col("low").alias("cycle"))
+
+
+def _contracted(left: DataFrame, state: DataFrame, rings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links and the choices with each ring as one node."""
+    to = lambda c: rings.select(F.col("node").alias(c), F.col("cycle").alias(f"{c}_cycle"))
+    shrunk = left.join(to("child"), "child", "left").join(to("parent"), "parent", "left")
+    shrunk = shrunk.select(F.coalesce("child_cycle", "child").alias("child"), F.coalesce("parent_cycle", "parent").alias("parent"))
+    left = materialize(shrunk.where("child <> parent").distinct(), "links")
+    now = state.select("node", "first").join(rings, "node", "left_anti").join(to("first"), "first", "left").select("node", F.coalesce("first_cycle", "first").alias("first"))
+    again = left.join(rings.select(F.col("cycle").alias("child")).distinct(), "child", "left_semi").groupBy(F.col("child").alias("node")).agg(F.max("parent").alias("first"))
+    return left, now.unionByName(again).withColumn("better", F.lit(1))
+
+
+def cyclic_nodes(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
+    """(cycle, node) of each node of links (child, parent: bigint) that can be reached from itself; cycle is one number for all of a cycle."""
+    merge_rows = merge_rows or MERGE_ROWS
+    own = links.where("child = parent").select(F.col("child").alias("node")).distinct()
+    left = links.where("child <> parent")
+    for _ in range(2):  # a node without children is on no cycle
+        left = left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+    left = materialize(left, "links")
+    member: DataFrame | None = None
+    chosen = left.groupBy(F.col("child").alias("node")).agg(F.max("parent").alias("first")).withColumn("better", F.lit(1))
+    rows = left.count()
+    while rows:
+        state = forest(chosen, rows, merge_rows)
+        bound, better, rows = state.agg(F.coalesce(F.sum("bound"), F.lit(0)), F.coalesce(F.sum("better"), F.lit(0)), F.count("*")).first()
+        if bound:
+            rings = materialize(_rings(state.where("bound = 1").select("node", "first"), bound, merge_rows), "rings")
+            left, chosen = _contracted(left, state, rings)
+            if member is None:
+                member = rings
             else:
-                if low[v] == index[v]:
-                    part = []
-                    while True:
-                        w = stack.pop()
-                        on[w] = 0
-                        part.append(w)
-                        if w == v:
-                            break
-                    if len(part) > 1 or v in out[v]:
-                        ids = [label[x] for x in part]
-                        rows += [(min(ids), x) for x in ids]
-                if work:
-                    u = work[-1][0]
-                    low[u] = min(low[u], low[v])
-    yield pd.DataFrame(rows, columns=["cycle_id", "go_id"])
-
-
-def _trim(links: DataFrame) -> DataFrame:
-    """Without links of terms that have no parent or no child: they lie on no cycle."""
-    return links.join(links.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(
-        links.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi"
-    )
-
-
-def _reach(links: DataFrame) -> DataFrame:
-    """The least term that reaches each term, and the least that it reaches, until both stand still; then the links within such classes."""
-    fwd = links.select(F.col("child").alias("t")).union(links.select("parent")).distinct().select("t", F.col("t").alias("m"))
-    ways = []
-    for a, b in (("child", "parent"), ("parent", "child")):
-        cur, seen = fwd, None
-        while True:
-            step = links.join(cur.withColumnRenamed("t", a), a).select(F.col(b).alias("t"), "m")
-            cur = materialize(cur.union(step).groupBy("t").agg(F.min("m").alias("m")), "reach")
-            mark = cur.agg(F.sum(F.xxhash64("t", "m").cast("decimal(38,0)"))).first()[0]
-            if mark == seen:
-                break
-            seen = mark
-        ways.append(cur)
-    both = materialize(ways[0].withColumnRenamed("m", "f").join(ways[1].withColumnRenamed("m", "b"), "t").select("t", F.struct("f", "b").alias("cls")), "classes")
-    c, p = both.select(F.col("t").alias("child"), F.col("cls").alias("cc")), both.select(F.col("t").alias("parent"), F.col("cls").alias("pc"))
-    return links.join(c, "child").join(p, "parent").where("cc = pc").select("child", "parent")
-
-
-def cyclic_terms(links: DataFrame, merge_links: int = MERGE_LINKS) -> DataFrame:
-    """(cycle_id, go_id) of each term that can be reached from itself."""
-    suspects = materialize(suspected_links(links, forest(links, merge_links)), "suspects")
-    done: list[DataFrame] = []
-    left = suspects.limit(merge_links + 1).count()
-    while left > merge_links:
-        # links between different classes of mutual reach are on no cycle; a class whose least term is its cycle_id is settled
-        trimmed = materialize(_trim(suspects), "trimmed")
-        total, kept = suspects.count(), trimmed.count()
-        if kept > 0.9 * total:
-            inner = materialize(_reach(trimmed), "inner")
-            if inner.count() == kept:
-                # nothing more falls off: every component is one class, named by the least term that reaches its terms
-                return _settled(inner)
-            trimmed, kept = inner, inner.count()
-        suspects, left = trimmed, kept
-    return suspects.repartition(1).mapInPandas(_cyclic, "cycle_id string, go_id string")
-
-
-def _settled(links: DataFrame) -> DataFrame:
-    cur, seen = links.select(F.col("child").alias("t")).distinct().select("t", F.col("t").alias("m")), None
-    while True:
-        step = links.join(cur.withColumnRenamed("t", "child"), "child").select(F.col("parent").alias("t"), "m")
-        cur = materialize(cur.union(step).groupBy("t").agg(F.min("m").alias("m")), "settled")
-        mark = cur.agg(F.sum(F.xxhash64("t", "m").cast("decimal(38,0)"))).first()[0]
-        if mark == seen:
-            return cur.select(F.col("m").alias("cycle_id"), F.col("t").alias("go_id"))
-        seen = mark
+                was = member.select("node", F.col("cycle").alias("at")).join(rings.select(F.col("node").alias("at"), "cycle"), "at", "left")
+                fresh = rings.join(member.select(F.col("cycle").alias("node")).distinct(), "node", "left_anti")
+                member = was.select("node", F.coalesce("cycle", "at").alias("cycle")).unionByName(fresh)
+            member = materialize(member, "members")
+        elif better:
+            # a link whose parent is no lower than its child makes the child take it
+            height = state.select(F.col("node").alias("parent"), F.col("off").alias("above"))
+            best = left.join(height, "parent", "left").groupBy(F.col("child").alias("node")).agg(F.max(F.struct(F.coalesce("above", F.lit(0)).alias("above"), "parent")).alias("b"))
+            higher = F.col("b.above") + 1 > F.col("off")
+            chosen = state.join(best, "node").select("node", F.when(higher, F.col("b.parent")).otherwise(F.col("first")).alias("first"), higher.cast("int").alias("better"))
+        else:
+            break
+    alone = own.select(F.col("node").alias("cycle"), "node")
+    if member is None:
+        return alone
+    return member.select("cycle", "node").unionByName(alone.join(member.select("node"), "node", "left_anti"))
+
+
+def cyclic_terms(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
+    """(cycle_id, go_id) of each term that can be reached from itself, from links (child, parent) by go_id. Terms are numbered first, so that forests hold numbers."""
+    names = links.select(F.col("child").alias("go_id")).union(links.select("parent")).distinct()
+    names = materialize(names.withColumn("id", F.monotonically_increasing_id()), "ids")
+    to = lambda c: names.select(F.col("go_id").alias(c), F.col("id").alias(f"{c}_id"))
+    numbered = links.join(to("child"), "child").join(to("parent"), "parent").select(F.col("child_id").alias("child"), F.col("parent_id").alias("parent"))
+    found = cyclic_nodes(materialize(numbered, "links"), merge_rows).join(names.withColumnRenamed("id", "node"), "node").select("cycle", "go_id")
+    found = materialize(found, "cyclic")
+    return found.join(found.groupBy("cycle").agg(F.min("go_id").alias("cycle_id")), "cycle").select("cycle_id", "go_id")
 
 
 def _followed(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -260,29 +224,22 @@ def _followed(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return seg
 
 
-def all_paths(terms: DataFrame) -> DataFrame:
-    """(go_id, root, depth, from_cycle, path): every path from a root, or from a cycle, down to each term."""
-    cur = materialize(current_terms(terms), "terms")
-    links = materialize(parent_links(cur), "links")
-    cyclic = materialize(cyclic_terms(links), "cyclic").select("go_id").withColumn("from_cycle", F.lit(True))
-    links = links.join(cyclic.select(F.col("go_id").alias("child")), "child", "left_anti")
-    seg = _followed(cur.select("go_id"), links)
-    return seg.join(cyclic, F.col("top") == cyclic["go_id"], "left").select(
-        seg["go_id"], F.col("top").alias("root"), (F.size("path") - 1).alias("depth"), F.coalesce("from_cycle", F.lit(False)).alias("from_cycle"), "path"
-    )
-
-
-def descendants(terms: DataFrame) -> DataFrame:
-    """(ancestor, go_id, distance): each term above another, with the least number of links between them."""
-    steps = all_paths(terms).select("go_id", "depth", F.posexplode("path").alias("at", "ancestor")).where("at < depth")
-    return steps.groupBy("ancestor", "go_id").agg(F.min(F.col("depth") - F.col("at")).alias("distance"))
+def _above(links: DataFrame, of: DataFrame) -> DataFrame:
+    """The links at and above some nodes (node)."""
+    front = met = materialize(of.select("node").distinct(), "above")
+    while front.limit(1).count():
+        up = links.join(front.withColumnRenamed("node", "child"), "child", "left_semi").select(F.col("parent").alias("node")).distinct()
+        front = materialize(up.join(met, "node", "left_anti"), "above")
+        met = materialize(met.unionByName(front), "above")
+    return links.join(met.withColumnRenamed("node", "child"), "child", "left_semi")
 
 
-def whole_paths(terms: DataFrame) -> DataFrame:
+def all_paths(terms: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(go_id, root, depth, from_cycle, path): every path from a root down to each term, through the cycles on its way.
 
     A cycle is one node, written as its cycle_id; its terms have the paths of that node. depth counts the links between
-    nodes. A cycle without parents outside itself is the root of what hangs below it (from_cycle).
+    nodes. A cycle without parents outside itself is the root of what hangs below it (from_cycle). Terms of many
+    parents can have more paths than can be listed: of (go_id) lists those of some terms only.
     """
     cur = materialize(current_terms(terms), "terms")
     links = materialize(parent_links(cur), "links")
@@ -291,18 +248,17 @@ def whole_paths(terms: DataFrame) -> DataFrame:
     node = materialize(node, "nodes")
     child, parent = node.select(F.col("go_id").alias("child"), F.col("node").alias("c")), node.select(F.col("go_id").alias("parent"), F.col("node").alias("p"))
     between = links.join(child, "child").join(parent, "parent").where("c <> p").select(F.col("c").alias("child"), F.col("p").alias("parent")).distinct()
-    seg = _followed(node.select(F.col("node").alias("go_id")).distinct(), materialize(between, "links")).withColumnRenamed("go_id", "node")
+    between, listed = materialize(between, "links"), node
+    if of is not None:
+        listed = node.join(of.select("go_id").distinct(), "go_id", "left_semi")
+        between = materialize(_above(between, listed), "links")
+    seg = _followed(node.select(F.col("node").alias("go_id")).distinct(), between).withColumnRenamed("go_id", "node")
     cycles = cyclic.select(F.col("cycle_id").alias("root")).distinct().withColumn("from_cycle", F.lit(True))
     found = seg.select("node", F.col("top").alias("root"), (F.size("path") - 1).alias("depth"), "path").join(cycles, "root", "left")
-    return node.join(found, "node").select("go_id", "root", "depth", F.coalesce("from_cycle", F.lit(False)).alias("from_cycle"), "path")
+    return listed.join(found, "node").select("go_id", "root", "depth", F.coalesce("from_cycle", F.lit(False)).alias("from_cycle"), "path")
 
 
-def whole_descendants(terms: DataFrame) -> DataFrame:
-    """(ancestor, go_id, distance): each term above another, through cycles too, with the least number of links between them.
-
-    Once all pairs up to a distance are known, those up to twice as far join a pair of just that distance with a known one.
-    """
-    links = parent_links(materialize(current_terms(terms), "terms"))
+def _descendants(links: DataFrame) -> DataFrame:
     met = materialize(links.where("child <> parent").select(F.col("parent").alias("ancestor"), F.col("child").alias("go_id"), F.lit(1).alias("distance")), "pairs")
     reach = 1
     while met.where(F.col("distance") == reach).limit(1).count():
@@ -314,8 +270,27 @@ def whole_descendants(terms: DataFrame) -> DataFrame:
     return met
 
 
+def descendants(terms: DataFrame) -> DataFrame:
+    """(ancestor, go_id, distance): each term above another, through cycles too, with the least number of links between them.
+
+    Once all pairs up to a distance are known, those up to twice as far join a pair of just that distance with a known
+    one. No path is listed, so the work follows the number of pairs.
+    """
+    return _descendants(materialize(parent_links(materialize(current_terms(terms), "terms")), "links"))
+
+
 def node_summary(terms: DataFrame) -> DataFrame:
-    """(go_id, min_depth, max_depth, n_paths, roots): one row per term."""
-    return all_paths(terms).groupBy("go_id").agg(
-        F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"), F.count("*").alias("n_paths"), F.array_sort(F.collect_set("root")).alias("roots")
+    """(go_id, depth, roots, ancestors, descendants): for each term the least depth below a root (a term without parents; null if none is above), and how many of each it has."""
+    cur = materialize(current_terms(terms), "terms")
+    links = materialize(parent_links(cur), "links")
+    pairs = _descendants(links)
+    tops = cur.select("go_id").join(links.select(F.col("child").alias("go_id")).distinct(), "go_id", "left_anti")
+    mark = tops.select(F.col("go_id").alias("ancestor"), F.lit(True).alias("is_root"))
+    up = pairs.join(mark, "ancestor", "left").groupBy("go_id").agg(
+        F.min(F.when(F.col("is_root"), F.col("distance"))).alias("depth"), F.count_if("is_root").alias("roots"), F.count("*").alias("ancestors")
     )
+    down = pairs.groupBy(F.col("ancestor").alias("go_id")).agg(F.count("*").alias("descendants"))
+    own = tops.withColumn("own", F.lit(0))
+    rows = cur.select("go_id").join(up, "go_id", "left").join(down, "go_id", "left").join(own, "go_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("go_id", F.coalesce("own", "depth").alias("depth"), F.coalesce(F.col("own") + 1, F.col("roots"), F.lit(0)).cast("bigint").alias("roots"), none("ancestors"), none("descendants"))

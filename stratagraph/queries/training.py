@@ -39,13 +39,8 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(read_table(spark, d, "terms"))
 
 
-def p4_whole_paths(spark: SparkSession, d: str) -> DataFrame:
-    paths = hierarchy.whole_paths(read_table(spark, d, "terms"))
-    return paths.select("go_id", "root", "depth", "from_cycle", F.concat_ws("/", "path").alias("path"))
-
-
-def p4_whole_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.whole_descendants(read_table(spark, d, "terms"))
+def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.node_summary(read_table(spark, d, "terms"))
 
 
 def _drift(spark: SparkSession, d: str) -> drift.Drift:
@@ -69,8 +64,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_paths": p4_paths,
     "p4_descendants": p4_descendants,
-    "p4_whole_paths": p4_whole_paths,
-    "p4_whole_descendants": p4_whole_descendants,
+    "p4_nodes": p4_nodes,
     "p5_found": p5_found,
     "p5_unified": p5_unified,
 }
@@ -105,6 +99,12 @@ reach as (
   select * from r),
 cyc as (select distinct child as go_id from reach where child = parent)"""
 
+_ABOVE = """,
+above(ancestor, go_id, distance) using key (ancestor, go_id) as (
+  select parent, child, 1 from links where child <> parent
+  union select a.ancestor, l.child, min(a.distance + 1) from above a join links l on l.parent = a.go_id
+    left join recurring.above r on r.ancestor = a.ancestor and r.go_id = l.child where l.child <> a.ancestor and r.distance is null group by all)"""
+
 _DRIFT = (
     _INTACT
     + ","
@@ -177,16 +177,6 @@ select store_id, oid, tid from (select *, row_number() over (partition by store_
     "p4_found": "with " + _LINKS + """
 select min(b.parent) as cycle_id, a.go_id from cyc a join reach b on b.child = a.go_id join reach c on c.child = b.parent and c.parent = a.go_id group by a.go_id""",
     "p4_paths": "with recursive " + _LINKS + """,
-up as (select child, parent from links where child not in (select go_id from cyc)),
-paths as (
-  select go_id, go_id as root, 0 as depth, go_id in (select go_id from cyc) as from_cycle, go_id as path from cur where go_id not in (select child from up)
-  union all select u.child, p.root, p.depth + 1, p.from_cycle, p.path || '/' || u.child from paths p join up u on u.parent = p.go_id)
-select * from paths""",
-    "p4_descendants": "with recursive " + _LINKS + """,
-up as (select child, parent from links where child not in (select go_id from cyc)),
-above as (select child as go_id, parent as ancestor, 1 as distance from up union select a.go_id, u.parent, a.distance + 1 from above a join up u on u.child = a.ancestor)
-select ancestor, go_id, min(distance) as distance from above group by all""",
-    "p4_whole_paths": "with recursive " + _LINKS + """,
 met as (select b.child as go_id, min(b.parent) as cycle_id from reach b join reach c on c.child = b.parent and c.parent = b.child group by all),
 node as (select go_id, coalesce(cycle_id, go_id) as node from cur left join met using (go_id)),
 up as (select distinct c.node as child, p.node as parent from links join node c on c.go_id = child join node p on p.go_id = parent where c.node <> p.node),
@@ -194,12 +184,14 @@ paths as (
   select distinct node, node as root, 0 as depth, node in (select go_id from cyc) as from_cycle, node as path from node where node not in (select child from up)
   union all select u.child, p.root, p.depth + 1, p.from_cycle, p.path || '/' || u.child from paths p join up u on u.parent = p.node)
 select go_id, root, depth, from_cycle, path from paths join node using (node)""",
-    "p4_whole_descendants": "with recursive " + _LINKS + """,
-above(ancestor, go_id, distance) using key (ancestor, go_id) as (
-  select parent, child, 1 from links where child <> parent
-  union select a.ancestor, l.child, min(a.distance + 1) from above a join links l on l.parent = a.go_id
-    left join recurring.above r on r.ancestor = a.ancestor and r.go_id = l.child where l.child <> a.ancestor and r.distance is null group by all)
+    "p4_descendants": "with recursive " + _LINKS + _ABOVE + """
 select ancestor, go_id, distance from above""",
+    "p4_nodes": "with recursive " + _LINKS + _ABOVE + """,
+tops as (select go_id from cur where go_id not in (select child from links)),
+up as (select a.go_id, min(case when t.go_id is not null then distance end) as depth, count(t.go_id) as roots, count(*) as ancestors from above a left join tops t on t.go_id = a.ancestor group by all),
+down as (select ancestor as go_id, count(*) as descendants from above group by all)
+select go_id, case when t.go_id is not null then 0 else depth end as depth, case when t.go_id is not null then 1 else coalesce(roots, 0) end as roots, coalesce(ancestors, 0) as ancestors, coalesce(descendants, 0) as descendants
+from cur left join up using (go_id) left join down using (go_id) left join tops t using (go_id)""",
     "p5_found": "with " + _DRIFT + """
 select store_id, cid, field, 'renamed' as change from renamed
 union select store_id, cid, field, 'added' from fresh where (store_id, cid, field) not in (select store_id, cid, field from renamed)

@@ -263,47 +263,77 @@ def up_from(links, g):
     return seen
 
 
-@pytest.mark.parametrize("limit", [hierarchy.MERGE_LINKS, 5])
-def test_cycles(spark, limit):
-    """With a small limit the forests merge by stars and the cycles are settled over all executors."""
-    rows = graph(random.Random(11))
+@pytest.mark.parametrize("merge_rows", [None, 20])
+@pytest.mark.parametrize("seed", [11, 21])
+def test_cycles(spark, seed, merge_rows):
+    """With few rows to a part the forest is finished by joins."""
+    rows = graph(random.Random(seed))
     links = plain_links(rows)
     above = {g: up_from(links, g) for g in links}
     want = {(min(x for x in above[g] if g in above[x]), g) for g in links if g in above[g]}
     df = hierarchy.parent_links(hierarchy.current_terms(spark.createDataFrame(rows, TERMS)))
     assert {(r["child"], r["parent"]) for r in df.collect()} == {(a, b) for a, bs in links.items() for b in bs}
-    assert {tuple(r) for r in hierarchy.cyclic_terms(df, limit).collect()} == want and len(want) > 3
+    assert {tuple(r) for r in hierarchy.cyclic_terms(df, merge_rows).collect()} == want and len(want) > 3
+
+
+def test_cycles_within_cycles(spark):
+    """Dense links, where contracted cycles lie on further cycles."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        links = {(rng.randrange(30), rng.randrange(30)) for _ in range(45)}
+        up = {n: {b for a, b in links if a == n} for n in range(30)}
+        above = {n: up_from(up, n) for n in up}
+        want = {frozenset(x for x in above[n] if n in above[x]) for n in up if n in above[n]}
+        got = {}
+        for r in hierarchy.cyclic_nodes(spark.createDataFrame(list(links), "child bigint, parent bigint"), 7 if seed else None).collect():
+            got.setdefault(r["cycle"], set()).add(r["node"])
+        assert {frozenset(x) for x in got.values()} == want
+
+
+def test_settle():
+    rng = random.Random(3)
+    for _ in range(30):
+        n = rng.randrange(1, 40)
+        up = {i: rng.randrange(n) for i in range(n) if rng.random() < 0.9}
+        up = {a: b for a, b in up.items() if a != b}
+        node, first = np.array(list(up), np.int64), np.array(list(up.values()), np.int64)
+        rings = hierarchy.ring_labels(node, first)
+        # settled in two parts first, then together
+        part = np.array([rng.random() < 0.5 for _ in up], bool)
+        top, off, bound = first.copy(), np.ones(len(up), np.int64), np.zeros(len(up), np.int64)
+        for p in (part, ~part, part | ~part):
+            top[p], off[p], bound[p] = hierarchy.settle(node[p], top[p].copy(), off[p].copy(), bound[p].copy())
+        for x0, t, o, b, ring in zip(node, top, off, bound, rings):
+            trail, x = [], x0
+            while x in up and x not in trail:
+                trail.append(x)
+                x = up[x]
+            if x not in up:
+                assert (t, o, b, ring) == (x, len(trail), 0, -1)
+            else:
+                cycle = trail[trail.index(x) :]
+                assert b == 1 and ring == (min(cycle) if x0 in cycle else -1)
+    none = np.zeros(0, np.int64)
+    assert all(len(c) == 0 for c in hierarchy.settle(none, none, none, none)) and len(hierarchy.ring_labels(none, none)) == 0
+
+
+def test_many_paths(spark):
+    """A ladder of 60 terms has a thousand million paths, but few pairs; the paths of some terms can be listed alone."""
+    rows = [term(f"L{i:02d}{s}", [f"L{i - 1:02d}a", f"L{i - 1:02d}b"] if i else None) for i in range(30) for s in "ab"]
+    df = spark.createDataFrame(rows, TERMS)
+    below = hierarchy.descendants(df).collect()
+    assert len(below) == 4 * sum(range(30)) and all(r["distance"] == int(r["go_id"][1:3]) - int(r["ancestor"][1:3]) for r in below)
+    summary = {r["go_id"]: r for r in hierarchy.node_summary(df).collect()}
+    assert tuple(summary["L29a"])[1:] == (29, 2, 58, 0) and tuple(summary["L00b"])[1:] == (0, 1, 0, 58)
+    assert hierarchy.all_paths(df, spark.createDataFrame([("L03a",), ("L00b",)], "go_id string")).count() == 9
+    assert hierarchy.cyclic_terms(hierarchy.parent_links(hierarchy.current_terms(df))).count() == 0
 
 
 def test_paths(spark):
-    rows = graph(random.Random(12), 60, 2)
-    links = plain_links(rows)
-    cyclic = {g for g in links if g in up_from(links, g)}
-
-    def paths(g):
-        if g in cyclic or not links[g]:
-            return [(g,)]
-        return [(*p, g) for q in links[g] for p in paths(q)]
-
-    want = {(g, p[0], len(p) - 1, p[0] in cyclic, p) for g in links for p in paths(g)}
-    got = {(r["go_id"], r["root"], r["depth"], r["from_cycle"], tuple(r["path"])) for r in hierarchy.all_paths(spark.createDataFrame(rows, TERMS)).collect()}
-    assert got == want
-    below = {(r["ancestor"], r["go_id"]): r["distance"] for r in hierarchy.descendants(spark.createDataFrame(rows, TERMS)).collect()}
-    least = {}
-    for g, _, d, _, p in want:
-        for i, a in enumerate(p[:-1]):
-            least[a, g] = min(least.get((a, g), 999), d - i)
-    assert below == least
-    summary = {r["go_id"]: r for r in hierarchy.node_summary(spark.createDataFrame(rows, TERMS)).collect()}
-    assert len(summary) == len(links)
-    assert hierarchy.all_paths(spark.createDataFrame([], TERMS)).count() == 0
-
-
-def test_whole_paths(spark):
     """A root above a cycle keeps the cycle's terms and all below them; a cycle without parents is a root itself."""
     rows = [term("R", None), term("A", ["R", "B"]), term("B", ["C"]), term("C", ["A"]), term("D", ["B", "R"]), term("E", ["D"]), term("X", ["Y"]), term("Y", ["X"]), term("Z", ["Y"]), term("S", ["S"])]
     df = spark.createDataFrame(rows, TERMS)
-    got = {(r["go_id"], r["root"], r["depth"], r["from_cycle"], "/".join(r["path"])) for r in hierarchy.whole_paths(df).collect()}
+    got = {(r["go_id"], r["root"], r["depth"], r["from_cycle"], "/".join(r["path"])) for r in hierarchy.all_paths(df).collect()}
     assert got == {
         ("R", "R", 0, False, "R"), *((g, "R", 1, False, "R/A") for g in "ABC"), ("D", "R", 1, False, "R/D"), ("D", "R", 2, False, "R/A/D"), ("E", "R", 2, False, "R/D/E"), ("E", "R", 3, False, "R/A/D/E"),
         ("X", "X", 0, True, "X"), ("Y", "X", 0, True, "X"), ("Z", "X", 1, True, "X/Z"), ("S", "S", 0, True, "S"),
@@ -311,7 +341,7 @@ def test_whole_paths(spark):
 
 
 @pytest.mark.parametrize("seed", [12, 13])
-def test_whole_descendants(spark, seed):
+def test_descendants(spark, seed):
     rows = graph(random.Random(seed), 60, 4)
     links = plain_links(rows)
     want = {}
@@ -321,12 +351,18 @@ def test_whole_descendants(spark, seed):
             distance += 1
             front = {p for x in front for p in links[x]} - {a for a, b in want if b == g} - {g}
             want |= {(a, g): distance for a in front}
-    got = hierarchy.whole_descendants(spark.createDataFrame(rows, TERMS)).collect()
+    got = hierarchy.descendants(spark.createDataFrame(rows, TERMS)).collect()
     assert len(got) == len(want) and {(r["ancestor"], r["go_id"]): r["distance"] for r in got} == want
-    roots = {(r["go_id"], r["root"]) for r in hierarchy.whole_paths(spark.createDataFrame(rows, TERMS)).collect() if not r["from_cycle"]}
+    roots = {(r["go_id"], r["root"]) for r in hierarchy.all_paths(spark.createDataFrame(rows, TERMS)).collect() if not r["from_cycle"]}
     tops = {g for g in links if not links[g]}
     assert roots == {(g, t) for g in links for t in tops if t == g or t in up_from(links, g)}
-    assert hierarchy.whole_descendants(spark.createDataFrame([], TERMS)).count() == hierarchy.whole_paths(spark.createDataFrame([], TERMS)).count() == 0
+    summary = {r["go_id"]: r for r in hierarchy.node_summary(spark.createDataFrame(rows, TERMS)).collect()}
+    assert set(summary) == set(links)
+    for g, r in summary.items():
+        own = {a: d for (a, x), d in want.items() if x == g}
+        assert r["depth"] == (0 if g in tops else min((d for a, d in own.items() if a in tops), default=None)) and r["ancestors"] == len(own)
+        assert r["roots"] == (1 if g in tops else len(tops & set(own))) and r["descendants"] == sum(a == g for a, _ in want)
+    assert hierarchy.descendants(spark.createDataFrame([], TERMS)).count() == hierarchy.all_paths(spark.createDataFrame([], TERMS)).count() == 0
 
 
 def test_deep_chain(spark):
