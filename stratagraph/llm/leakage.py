@@ -238,8 +238,13 @@ def reach(item: list[int], i: int, doc: list[int], j: int, step: int, most: int)
 
 
 def passage(item: list[int], weights: list[int], doc: list[int], i: int, j: int) -> tuple[int, int, int, int] | None:
-    """(words, edits, item start, doc start) of a passage round the phrase at item word i and doc word j, if there is one."""
-    most = weights[-1] // EDIT_IN
+    """(words, edits, item start, doc start) of a passage round the phrase at item word i and doc word j, if there is one.
+
+    A passage of twice WORDS or more splits into two of WORDS or more, one of which has no more than its share of the
+    edits. So the one with the fewest edits is found among those too short to split, whatever the item's length.
+    """
+    widest = max(b - a for a, b in zip(weights, weights[1:]))
+    most = min(weights[-1], 2 * WORDS - 2 + widest) // EDIT_IN
     right = reach(item, i + SEED, doc, j + SEED, 1, most)
     left = reach(item, i - 1, doc, j - 1, -1, most)
     for edits in range(most + 1):
