@@ -7,11 +7,9 @@ lengths below, equal to those of an FTS engine with the columns typename, f_*, s
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +23,6 @@ from .text import TOKEN, fold, language, stem_folded, tokens
 # BM25 parameters and column weights. Fixed values of the ranking.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WEIGHTS = {"f": 2.0, "s": 1.0}
-_PHRASE = re.compile(r'"([^"]*)"')
-
 
 POSTINGS = "oid bigint, col string, term string, at array<int>, n int"
 
@@ -68,11 +64,13 @@ def _index_rows(columns: list[tuple[str, str, str | None, bool]]):
     return run
 
 
-@dataclass(frozen=True)
-class Phrase:
-    unit: int
-    column: str
-    terms: tuple[str, ...]
+def wanted_words(query: str) -> list[list[str]]:
+    """What a query asks for: the words of each part in double quotes, which must adjoin, then every other word by itself. A quote that is never closed counts for nothing."""
+    parts = query.split('"')
+    if len(parts) % 2 == 0:
+        parts[-2:] = [" ".join(parts[-2:])]
+    together = [tokens(part) for part in parts[1::2]]
+    return [words for words in together if words] + [[word] for part in parts[::2] for word in tokens(part)]
 
 
 class FullTextIndex:
@@ -114,43 +112,27 @@ class FullTextIndex:
         keep = lambda rows: rows.join(out, "oid", "left_anti")
         return FullTextIndex(self.fulltext, keep(self.postings).unionByName(part.postings), keep(self.lengths).unionByName(part.lengths))
 
-    @staticmethod
-    def units(query: str) -> list[list[str]]:
-        """Quoted phrases first, then single words."""
-        found = [tokens(p) for p in _PHRASE.findall(query)] + [[t] for t in tokens(_PHRASE.sub(" ", query))]
-        return [u for u in found if u]
+    def columns(self, typename: str | None = None) -> list[tuple[str, str | None]]:
+        """The text columns of a type, or of all, each with the language whose stems it holds (None: folded words)."""
+        types = [self.fulltext.get(typename, {})] if typename is not None else self.fulltext.values()
+        return sorted({x for fields in types for f, lang in fields.items() for x in [(f"f_{f}", None)] + [(f"s_{f}", lang)] * bool(lang)}, key=str)
 
-    def phrases(self, query: str, typename: str | None, match: str) -> list[Phrase] | None:
-        """The searchable forms of each unit; None if nothing can match."""
-        if match not in ("any", "all"):
-            raise ValueError(f"match is 'any' or 'all', not {match!r}")
-        scope = self.fulltext if typename is None else {typename: self.fulltext.get(typename, {})}
-        langs: dict[str, set] = {}
-        for fields in scope.values():
-            for f, lang in fields.items():
-                langs.setdefault(f, set()).add(lang)
-        out: list[Phrase] = []
-        for i, unit in enumerate(self.units(query)):
-            forms = []
-            for f in sorted(langs):
-                forms.append(Phrase(i, f"f_{f}", tuple(fold(t) for t in unit)))
-                forms += [Phrase(i, f"s_{f}", tuple(stem_folded(t, lang) for t in unit)) for lang in sorted(x for x in langs[f] if x)]
-            if not forms and match == "all":
-                return None
-            out += dict.fromkeys(forms)
-        return out or None
+    def asked(self, query: str, typename: str | None = None) -> list[tuple]:
+        """(phrase, unit, size, k, col, term): every unit of the query in the form of every column, word by word. Languages of one column that agree in a form ask once."""
+        forms = {
+            (n, col, tuple(stem_folded(w, lang) if lang else fold(w) for w in words)) for n, words in enumerate(wanted_words(query)) for col, lang in self.columns(typename)
+        }
+        return [(phrase, n, len(terms), k, col, term) for phrase, (n, col, terms) in enumerate(sorted(forms)) for k, term in enumerate(terms)]
 
     def scores(self, query: str, typename: str | None = None, match: str = "any") -> DataFrame:
         """(oid, type, score) of every match."""
+        if match not in ("any", "all"):
+            raise ValueError(f"match is 'any' or 'all', not {match!r}")
         spark = self.postings.sparkSession
-        phrases = self.phrases(query, typename, match)
-        if not phrases:
+        if not (rows := self.asked(query, typename)):
             return spark.createDataFrame([], "oid bigint, type string, score double")
-        wanted = spark.createDataFrame(
-            [(i, p.unit, len(p.terms), k, p.column, t) for i, p in enumerate(phrases) for k, t in enumerate(p.terms)],
-            "phrase int, unit int, size int, k int, col string, term string",
-        )
-        terms = sorted({t for p in phrases for t in p.terms})
+        wanted = spark.createDataFrame(rows, "phrase int, unit int, size int, k int, col string, term string")
+        units, terms = {r[1] for r in rows}, sorted({r[5] for r in rows})
         posts = self.postings.where(F.col("term").isin(terms))
         met = posts.join(F.broadcast(wanted), ["col", "term"])
         lists = met.groupBy("oid", "type", "phrase", "unit", "size", "col").agg(F.sort_array(F.collect_list(F.struct("k", "at"))).alias("w"))
@@ -172,46 +154,46 @@ class FullTextIndex:
             .agg(F.sum(part).alias("score"), F.countDistinct("unit").alias("units"))
         )
         if match == "all":
-            scored = scored.where(F.col("units") == len({p.unit for p in phrases}))
+            scored = scored.where(F.col("units") == len(units))
         return scored.select("oid", "type", "score")
 
-    def search(self, query: str, typename: str | None = None, limit: int = 20, match: str = "any", readable: DataFrame | None = None, scan_cap: int = 2000) -> DataFrame:
-        """The best matches, ties by oid. readable (oid) fences the search: of the scan_cap best only readable ones are given."""
+    def search(self, query: str, typename: str | None = None, limit: int = 20, match: str = "any", readable: DataFrame | None = None, scan_cap: int | None = None) -> DataFrame:
+        """The best matches, ties by oid. readable (oid) fences the search: only readable ones are given, and with scan_cap only those among so many best."""
         ranked = self.scores(query, typename, match).orderBy(F.desc("score"), F.asc("oid"))
         if readable is not None:
-            fence = ranked.limit(scan_cap).join(readable.select("oid"), "oid", "left_semi")
+            fence = (ranked if scan_cap is None else ranked.limit(scan_cap)).join(readable.select("oid"), "oid", "left_semi")
             ranked = fence.orderBy(F.desc("score"), F.asc("oid"))
         return ranked.limit(limit)
 
     def highlighter(self, query: str, lang: str | None = None):
         """A function of a text column: the excerpt round the first match, its words in brackets; null without a match."""
-        lang, units = language(lang), self.units(query)
+        lang, units = language(lang), wanted_words(query)
         return F.pandas_udf(lambda s: s.map(lambda t: highlight(t, units, lang)), T.StringType())
 
 
-def highlight(text: str | None, units: list[list[str]], lang: str | None = None, before: int = 5, after: int = 7) -> str | None:
-    """Marks the words of text that a unit matches, by folded form or by stem; phrases only where their words adjoin."""
-    if not text:
-        return None
-    shown = unicodedata.normalize("NFC", text)
-    spans = [m.span() for m in TOKEN.finditer(shown)]
-    words = [shown[a:b].lower() for a, b in spans]
-    hit: set[int] = set()
-    for form in [fold] + ([lambda t: stem_folded(t, lang)] if lang else []):
-        have = [form(w) for w in words]
+def found_words(words: list[str], units: list[list[str]], lang: str | None = None) -> set[int]:
+    """Which of the words a unit matches, by folded form or by stem; those of a unit of several words only where they adjoin."""
+    out: set[int] = set()
+    for form in (fold, partial(stem_folded, lang=lang)) if lang else (fold,):
+        where: dict[str, set[int]] = {}
+        for i, w in enumerate(words):
+            where.setdefault(form(w), set()).add(i)
         for unit in units:
-            want = [form(t) for t in unit]
-            for i in range(len(have) - len(want) + 1):
-                if have[i : i + len(want)] == want:
-                    hit.update(range(i, i + len(want)))
-    if not hit:
-        return None
-    low, high = max(0, min(hit) - before), min(len(spans), min(hit) + after)
-    parts, at = ["…"] if low else [], spans[low][0]
-    for i in range(low, high):
-        a, b = spans[i]
-        parts += [shown[at:a], f"[{shown[a:b]}]" if i in hit else shown[a:b]]
-        at = b
-    parts.append("…" if high < len(spans) else shown[at:])
-    return "".join(parts)
+            starts = set.intersection(*[{i - k for i in where.get(form(w), ())} for k, w in enumerate(unit)])
+            out |= {i + k for i in starts for k in range(len(unit))}
+    return out
 
+
+def highlight(text: str | None, units: list[list[str]], lang: str | None = None, before: int = 5, after: int = 7) -> str | None:
+    """The text from so many words before the first match to so many from it on, each matched word in brackets, an ellipsis where it was cut."""
+    shown = unicodedata.normalize("NFC", text or "")
+    places = [m.span() for m in TOKEN.finditer(shown)]
+    hits = sorted(found_words([shown[a:b].lower() for a, b in places], units, lang))
+    if not hits:
+        return None
+    first, last = max(hits[0] - before, 0), min(hits[0] + after, len(places)) - 1
+    start, stop = places[first][0] if first else 0, places[last][1] if last + 1 < len(places) else len(shown)
+    excerpt = shown[start:stop]
+    for a, b in reversed([places[i] for i in hits if i <= last]):
+        excerpt = f"{excerpt[: a - start]}[{excerpt[a - start : b - start]}]{excerpt[b - start :]}"
+    return "…" * (first > 0) + excerpt + "…" * (last + 1 < len(places))

@@ -1,27 +1,32 @@
-"""Words for full-text search: tokens, folding, and stems of English, German and Spanish."""
+"""Words for full-text search: tokens, folding, and stems of English, German, French and Spanish."""
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
-from functools import cache
+from functools import lru_cache
 
 from ..errors import ConfigDrift
 
 TOKEN = re.compile(r"[^\W_]+")
+#: Words whose forms a worker keeps at hand: the frequent ones stay, whatever the vocabulary.
+CACHED = 100_000
+_MARKS = re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))) + "]+")
 #: Languages with a stemmer, by code. Other languages are refused: without their stems recall would silently be lost.
-LANGUAGES = {"en": "en", "english": "en", "de": "de", "german": "de", "es": "es", "spanish": "es"}
+LANGUAGES = {"en": "en", "english": "en", "de": "de", "german": "de", "es": "es", "spanish": "es", "fr": "fr", "french": "fr"}
 
 
 def tokens(text: str | None) -> list[str]:
-    """Composed lower-case runs of letters and digits."""
-    return TOKEN.findall(unicodedata.normalize("NFC", text).lower()) if text else []
+    """Composed lower-case runs of letters and digits; none for null."""
+    composed = unicodedata.normalize("NFC", text or "")
+    return [m.group() for m in TOKEN.finditer(composed.lower())]
 
 
-@cache
+@lru_cache(CACHED)
 def fold(token: str) -> str:
     """Without accents and compatibility forms."""
-    return "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c)).lower()
+    return _MARKS.sub("", unicodedata.normalize("NFKD", token)).lower()
 
 
 def language(name: str | bool | None) -> str | None:
@@ -292,11 +297,167 @@ def stem_es(word: str) -> str:
     return bare(word)
 
 
-@cache
+# The published Snowball suffix lists for French. Fixed values.
+_FR_STANDARD = (
+    ("ance iqUe isme able iste eux ances iqUes ismes ables istes", "r2"),
+    ("atrice ateur ation atrices ateurs ations", "ic"),
+    ("logie logies", "log"),
+    ("usion ution usions utions", "u"),
+    ("ence ences", "ent"),
+    ("ement ements", "ement"),
+    ("ité ités", "ité"),
+    ("if ive ifs ives", "if"),
+    ("eaux", "eau"),
+    ("aux", "al"),
+    ("euse euses", "eux"),
+    ("issement issements", "after consonant"),
+    ("amment", "ant"),
+    ("emment", "ent1"),
+    ("ment ments", "after vowel"),
+)
+_FR_I_VERBS = (
+    "îmes ît îtes i ie ies ir ira irai iraIent irais irait iras irent irez iriez irions irons iront is issaIent issais issait issant issante issantes issants isse issent isses issez "
+    "issiez issions issons it"
+).split()
+_FR_VERBS = (
+    "ions é ée ées és èrent er era erai eraIent erais erait eras erez eriez erions erons eront ez iez âmes ât âtes a ai aIent ais ait ant ante antes ants as asse assent asses assiez assions"
+).split()
+
+
+def stem_fr(word: str) -> str:
+    """The Snowball stem for French."""
+    vowels = "aeiouyâàëéêèïîôûù"
+    v = f"[{vowels}]"
+    word = re.sub("([ëï])", lambda m: {"ë": "He", "ï": "Hi"}[m[1]], word)
+    word = re.sub(f"(?<={v})([ui])(?={v})", lambda m: m[1].upper(), word)
+    word = re.sub(f"(?<={v})y|y(?={v})", "Y", word)
+    word = word.replace("qu", "qU")
+    r1, r2 = _regions(word, vowels)
+    if re.match(f"{v}{{2}}", word) or word.startswith(("par", "col", "tap")):
+        rv = min(3, len(word))
+    elif re.match("ni[^aeiouy]|ni$", word) and word.startswith("ni"):
+        m = re.compile(v).search(word, 1)
+        rv = m.end() if m else len(word)
+    else:
+        m = re.compile(v).search(word, 1)
+        rv = m.end() if m else len(word)
+    before = word
+    endings = sorted(((e, rule) for listed, rule in _FR_STANDARD for e in listed.split()), key=lambda x: -len(x[0]))
+    changed, verbs = False, True
+    for e, rule in endings:
+        if not word.endswith(e):
+            continue
+        head, at = word[: -len(e)], len(word) - len(e)
+        cut = lambda h, suffix: h[: -len(suffix)]
+        if rule == "r2" and at >= r2:
+            word, changed = head, True
+        elif rule == "ic" and at >= r2:
+            word, changed = head, True
+            if word.endswith("ic"):
+                word = cut(word, "ic") if len(word) - 2 >= r2 else cut(word, "ic") + "iqU"
+        elif rule == "log" and at >= r2:
+            word, changed = head + "log", True
+        elif rule == "u" and at >= r2:
+            word, changed = head + "u", True
+        elif rule == "ent" and at >= r2:
+            word, changed = head + "ent", True
+        elif rule == "ement" and at >= rv:
+            word, changed = head, True
+            if word.endswith("iv") and len(word) - 2 >= r2:
+                word = cut(word, "iv")
+                if word.endswith("at") and len(word) - 2 >= r2:
+                    word = cut(word, "at")
+            elif word.endswith("eus"):
+                if len(word) - 3 >= r2:
+                    word = cut(word, "eus")
+                elif len(word) - 3 >= r1:
+                    word = cut(word, "eus") + "eux"
+            elif word.endswith(("abl", "iqU")) and len(word) - 3 >= r2:
+                word = word[:-3]
+            elif word.endswith(("ièr", "Ièr")) and len(word) - 3 >= rv:
+                word = word[:-3] + "i"
+        elif rule == "ité" and at >= r2:
+            word, changed = head, True
+            if word.endswith("abil"):
+                word = cut(word, "abil") if len(word) - 4 >= r2 else cut(word, "abil") + "abl"
+            elif word.endswith("ic"):
+                word = cut(word, "ic") if len(word) - 2 >= r2 else cut(word, "ic") + "iqU"
+            elif word.endswith("iv") and len(word) - 2 >= r2:
+                word = cut(word, "iv")
+        elif rule == "if" and at >= r2:
+            word, changed = head, True
+            if word.endswith("at") and len(word) - 2 >= r2:
+                word = cut(word, "at")
+                if word.endswith("ic"):
+                    word = cut(word, "ic") if len(word) - 2 >= r2 else cut(word, "ic") + "iqU"
+        elif rule == "eau":
+            word, changed = head + "eau", True
+        elif rule == "al" and at >= r1:
+            word, changed = head + "al", True
+        elif rule == "eux":
+            if at >= r2:
+                word, changed = head, True
+            elif at >= r1:
+                word, changed = head + "eux", True
+        elif rule == "after consonant" and at >= r1 and head and head[-1] not in vowels:
+            word, changed = head, True
+        elif rule == "ant" and at >= rv:
+            word, verbs = head + "ant", True
+            break
+        elif rule == "ent1" and at >= rv:
+            word, verbs = head + "ent", True
+            break
+        elif rule == "after vowel" and len(head) > rv and head[-1] in vowels:
+            word, verbs = head, True
+            break
+        verbs = not changed
+        break
+    if verbs:
+        for e in sorted(_FR_I_VERBS, key=len, reverse=True):
+            if word.endswith(e) and len(word) - len(e) >= rv:
+                at = len(word) - len(e)
+                if at > rv and word[at - 1] not in vowels + "H":
+                    word, changed, verbs = word[:at], True, False
+                break
+    if verbs:
+        for e in sorted(_FR_VERBS, key=len, reverse=True):
+            if word.endswith(e) and len(word) - len(e) >= rv:
+                at = len(word) - len(e)
+                if e != "ions" or at >= r2:
+                    word, changed = word[:at], True
+                    if e[0] in "âa" and word.endswith("e") and len(word) - 1 >= rv:
+                        word = word[:-1]
+                break
+    if changed or word != before:
+        if word.endswith("Y"):
+            word = word[:-1] + "i"
+        elif word.endswith("ç"):
+            word = word[:-1] + "c"
+    else:
+        if word.endswith("s") and len(word) > 1 and (word.endswith("His") or word[-2] not in "aiouès"):
+            word = word[:-1]
+        for e in ("ière", "Ière", "ion", "ier", "Ier", "e"):
+            if word.endswith(e) and len(word) - len(e) >= rv:
+                at = len(word) - len(e)
+                if e == "ion":
+                    if at >= r2 and word[at - 1 : at] in ("s", "t") and at - 1 >= rv:
+                        word = word[:at]
+                elif e == "e":
+                    word = word[:at]
+                else:
+                    word = word[:at] + "i"
+                break
+    if word.endswith(("enn", "onn", "ett", "ell", "eill")):
+        word = word[:-1]
+    word = re.sub(f"[éè](?=[^{vowels}]+$)", "e", word)
+    return word.replace("He", "ë").replace("Hi", "ï").lower()
+
+
+@lru_cache(CACHED)
 def stem(token: str, lang: str) -> str:
-    return {"en": stem_en, "de": stem_de, "es": stem_es}[lang](token)
+    return {"en": stem_en, "de": stem_de, "es": stem_es, "fr": stem_fr}[lang](token)
 
 
-@cache
+@lru_cache(CACHED)
 def stem_folded(token: str, lang: str) -> str:
     return fold(stem(token, lang))

@@ -24,11 +24,15 @@ class Principal:
     memberships: dict[int, int] = field(default_factory=dict)
 
     def level(self, group: int) -> int:
-        return self.memberships.get(group, VIEWER if group == WORLD else NO_STANDING)
+        """The level held in a group: everyone views the world, and without a membership one stands nowhere else."""
+        if group in self.memberships:
+            return self.memberships[group]
+        return NO_STANDING if group != WORLD else VIEWER
 
     @property
     def root(self) -> bool:
-        return self.uid != 0 and self.memberships.get(WORLD, VIEWER) >= EXECUTIVE
+        """True for someone (not nobody) whose level over the world is the highest."""
+        return bool(self.uid) and self.level(WORLD) >= EXECUTIVE
 
 
 ROOT = Principal(1, {WORLD: EXECUTIVE})

@@ -1,12 +1,13 @@
 """Scores against SQLite's FTS5 with the same columns and weights."""
 
+import random
 import sqlite3
 
 import pytest
 
 from stratagraph.errors import ConfigDrift
-from stratagraph.functions.search import FullTextIndex, highlight
-from stratagraph.functions.text import fold, stem_de, stem_en, stem_es, stem_folded, tokens
+from stratagraph.functions.search import FullTextIndex, highlight, wanted_words
+from stratagraph.functions.text import fold, stem_de, stem_en, stem_es, stem_folded, stem_fr, tokens
 
 NOTES = ["Kristalle aus dem Berg", "Der Kristall im Schrank, ein Kristall", "berge und täler", None, "", "Ein m² Kristallglas", "the crystals were growing in the mountains"]
 DESCS = ["growing crystals", None, "a mountain of crystal", "crystals crystals", "drawer", None, "Crystal drawer; hardness scale of a crystal"]
@@ -31,7 +32,7 @@ def fts5(query, match):
             row += [None if words is None else " ".join(map(fold, words)), " ".join(stem_folded(w, lang) for w in words) if words is not None and lang else None]
         con.execute("insert into docs (rowid, typename, f_notes, s_notes, f_description, s_description, f_motto, s_motto) values (?,?,?,?,?,?,?,?)", (oid, *row))
     clauses = []
-    for unit in FullTextIndex.units(query):
+    for unit in wanted_words(query):
         forms = dict.fromkeys([f'f_{f} : "{" ".join(map(fold, unit))}"' for f, _ in cols] + [f's_{f} : "{" ".join(stem_folded(w, lang) for w in unit)}"' for f, lang in cols if lang])
         clauses.append("(" + " OR ".join(forms) + ")")
     sql = "select rowid, -bm25(docs, 0, 2.0, 1.0, 2.0, 1.0, 2.0, 1.0) from docs where docs match ?"
@@ -63,12 +64,27 @@ def test_search(spark, index):
     assert {r["oid"] for r in new.search("Kristall", "Gem").collect()} == {50}
 
 
+def test_query_words():
+    assert wanted_words('red "Old Lamp" blue') == [["old", "lamp"], ["red"], ["blue"]]
+    assert wanted_words('a "b c') == [["a"], ["b"], ["c"]] and wanted_words('"" "!" x"y"z') == [["y"], ["x"], ["z"]] and wanted_words("") == []
+
+
 def test_highlight():
-    units = FullTextIndex.units('Kristall "im Schrank"')
-    assert highlight("Viele Kristalle stehen im Schrank", units, "de") == "Viele [Kristalle] stehen [im] [Schrank]"
-    assert highlight("nichts", units, "de") is None and highlight(None, units) is None
-    long = " ".join(f"w{i}" for i in range(30)).replace("w15", "Kristall")
-    assert highlight(long, units) == "…w10 w11 w12 w13 w14 [Kristall] w16 w17 w18 w19 w20 w21…"
+    units = wanted_words('Laterne "am Fenster"')
+    assert highlight("Die Laternen stehen am Fenster, heute", units, "de") == "Die [Laternen] stehen [am] [Fenster], heute"
+    assert highlight("nichts", units, "de") is None and highlight(None, units) is None and highlight("", units) is None and highlight("am kalten Fenster", units) is None
+    long = " ".join(f"w{i}" for i in range(30)).replace("w15", "Laterne").replace("w28", "Laterne")
+    assert highlight(long, units) == "…w10 w11 w12 w13 w14 [Laterne] w16 w17 w18 w19 w20 w21…"
+    assert highlight("(Laterne) e\u0301t\u00e9", units) == "([Laterne]) été" and highlight("am Fenster am Fenster.", units) == "[am] [Fenster] [am] [Fenster]."
+    for n in range(20):  # against a plain reading
+        words = [random.Random(n * 50 + i).choice(["laterne", "am", "fenster", "x", "y"]) for i in range(n)]
+        marked = {i for i, w in enumerate(words) if w == "laterne"} | {i + k for i in range(n - 1) if words[i : i + 2] == ["am", "fenster"] for k in (0, 1)}
+        if not marked:
+            assert highlight(" ".join(words), units) is None
+            continue
+        low, high = max(0, min(marked) - 5), min(n, min(marked) + 7)
+        want = " ".join(f"[{w}]" if i in marked else w for i, w in enumerate(words) if low <= i < high)
+        assert highlight(" ".join(words), units) == ("…" if low else "") + want + ("…" if high < n else "")
 
 
 def test_stems():
@@ -76,6 +92,8 @@ def test_stems():
     en = {"consistency": "consist", "knightly": "knight", "consolations": "consol", "kneeling": "kneel", "generously": "generous", "skies": "sky", "hopping": "hop", "relational": "relat", "happy": "happi"}
     de = {"aufeinanderfolgenden": "aufeinanderfolg", "kategorischen": "kategor", "häuser": "haus", "kristalle": "kristall", "jahrhunderts": "jahrhundert", "katers": "kat"}
     es = {"chicas": "chic", "torneados": "torn", "cristales": "cristal", "rápidamente": "rapid", "nacionalidad": "nacional", "comiendo": "com"}
+    fr = {"continuellement": "continuel", "continuité": "continu", "contractées": "contract", "maîtresses": "maîtress", "maladive": "malad", "maïs": "maï", "majestueusement": "majestu", "contournait": "contourn"}
+    assert {w: stem_fr(w) for w in fr} == fr
     assert {w: stem_en(w) for w in en} == en
     assert {w: stem_de(w) for w in de} == de
     assert {w: stem_es(w) for w in es} == es
