@@ -30,8 +30,10 @@ def strip(text: Column) -> Column:
 
 
 def leading_number(text: Column) -> Column:
-    """The whole number a loosely written cell holds ('+12', ' 12', '12.0', 'tid=12', '{"tid": 12}'), null if none."""
-    return F.regexp_extract(text, r"^[^0-9]*?(-?[0-9]{1,18})(\.[0-9]*)?[^0-9]*$", 1).try_cast("bigint")
+    """The whole number a loosely written cell holds ('+12', ' 12', '12.0', 'tid=12', '{"tid": 12}'), null if none; one beyond bigint is the greatest bigint."""
+    digits = F.regexp_extract(text, r"^[^0-9]*?(-?[0-9]{1,37})(\.[0-9]*)?[^0-9]*$", 1).try_cast("decimal(38,0)")
+    end = lambda x: F.lit(x).cast("decimal(38,0)")
+    return F.when(digits.isNotNull(), F.greatest(F.least(digits, end(2**63 - 1)), end(-(2**63)))).cast("bigint")
 
 
 def split_fields(fields: Column) -> Column:

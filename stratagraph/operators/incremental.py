@@ -4,6 +4,10 @@ A consumer's ledger holds the (key, version) pairs that successful runs have tak
 transaction that was still open when the consumer last ran, and an anti-join with the ledger removes the overlap.
 Nothing is skipped (late versions lie at or after that transaction) and nothing is repeated (the ledger has it).
 
+One late version would make its whole store be read again, so the oldest open transaction is kept for each BUCKET of
+transactions; buckets that are closed are not read at all. Runs meet transactions, not versions: what a run took of a
+transaction follows from the moment it began.
+
 Defined results: null keys are no version; a version whose arrival is unknown counts as not taken; a run without an
 end, without a readable cursor, or whose latest status isn't `ok` takes nothing; a tie between statuses at one moment
 goes against `ok`, so a record may come twice rather than never; repeated rows count once; empty tables give no rows,
@@ -15,21 +19,25 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import Conflict
 from ..functions.records import intact_rows, leading_number
-from ..runtime import HadoopFiles, materialize
+from ..runtime import HadoopFiles, is_small, materialize
 
 #: The consumers of a store. A fixed value of the data.
 CONSUMERS = ("mirror", "fts", "deltalog")
-#: Transactions in one bucket of the interval join.
-BUCKET = 64
-#: Rows with a consumer's starting point up to which they are broadcast (about 30 bytes each); beyond it the join is salted.
-BROADCAST_STARTS = 100_000
-#: Parts into which the salted join splits each store.
+#: Transactions that share an open point, and that a run meets at once.
+BUCKET = 16
+#: Buckets of one run made at once, so that a run over many transactions makes no array without end.
+SPAN = 4096
+#: Parts into which the versions of one transaction are split where they meet its runs by a shuffle.
 SALTS = 16
+#: Parts of a ledger beyond which a run compacts it.
+MAX_PARTS = 16
 
 
 def record_versions(objects: DataFrame) -> DataFrame:
@@ -59,6 +67,10 @@ def successful_runs(consumer_runs: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
+def _bucket(tid: Column) -> Column:
+    return F.floor(tid / BUCKET).cast("bigint")
+
+
 def run_buckets(runs: DataFrame, bounds: DataFrame) -> DataFrame:
     """Each run once per bucket of transactions that it touches, cut to the transactions its store has.
 
@@ -69,115 +81,146 @@ def run_buckets(runs: DataFrame, bounds: DataFrame) -> DataFrame:
         F.greatest("from_tid", F.col("low") - 1).alias("from_tid"),
         F.least("cursor", "high").alias("to_tid"),
     ).where(F.col("to_tid") > F.col("from_tid"))
-    first = F.floor((F.col("from_tid") + 1) / BUCKET).cast("bigint")
-    return cut.withColumn("bucket", F.explode(F.sequence(first, F.floor(F.col("to_tid") / BUCKET).cast("bigint"))))
+    cut = cut.withColumns({"first": _bucket(F.col("from_tid") + 1), "last": _bucket(F.col("to_tid"))})
+    spans = cut.withColumn("span", F.explode(F.sequence(F.floor(F.col("first") / SPAN), F.floor(F.col("last") / SPAN))))
+    within = F.sequence(F.greatest("first", F.col("span") * SPAN), F.least("last", F.col("span") * SPAN + SPAN - 1))
+    return spans.withColumn("bucket", F.explode(within)).drop("span", "first", "last")
 
 
-def _covered(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """rows (store_id, tid, ...) with each run whose interval holds the tid."""
+def taken_transactions(moments: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(store_id, tid, consumer, taken_at): when the last successful run that covers a transaction began."""
     b = buckets.select(*[F.col(c).alias(f"r_{c}") for c in ("consumer", "store_id", "started_at", "from_tid", "to_tid", "bucket")])
-    on = (
-        (F.col("store_id") == F.col("r_store_id"))
-        & (F.floor(F.col("tid") / BUCKET).cast("bigint") == F.col("r_bucket"))
-        & (F.col("tid") > F.col("r_from_tid"))
-        & (F.col("tid") <= F.col("r_to_tid"))
-    )
-    return rows.join(b, on)
+    on = (F.col("store_id") == F.col("r_store_id")) & (_bucket(F.col("tid")) == F.col("r_bucket")) & (F.col("tid") > F.col("r_from_tid")) & (F.col("tid") <= F.col("r_to_tid"))
+    return moments.join(b, on).groupBy("store_id", "tid", F.col("r_consumer").alias("consumer")).agg(F.max("r_started_at").alias("taken_at"))
 
 
-def processed_ledger(versions: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(consumer, store_id, oid, tid) that successful runs took; a pair may come more than once."""
-    return _covered(versions, buckets).where(F.col("available") <= F.col("r_started_at")).select(F.col("r_consumer").alias("consumer"), "store_id", "oid", "tid")
+def reread_transactions(versions: DataFrame, buckets: DataFrame, consumers: tuple[str, ...] = CONSUMERS) -> DataFrame:
+    """(store_id, tid, consumer, taken_at) of the transactions at or after the oldest open one of their bucket.
 
-
-def reread_from(versions: DataFrame, buckets: DataFrame, consumers: tuple[str, ...] = CONSUMERS) -> DataFrame:
-    """(consumer, store_id, reread_tid): the oldest transaction still open for the consumer.
-
-    A transaction is open if no successful run covered it, or if a version of it came after every run that did.
+    A transaction is open for a consumer if no successful run covered it, or if a version of it came after every run that did.
     """
-    every = F.array(*[F.lit(c) for c in consumers])
     moments = versions.groupBy("store_id", "tid").agg(F.max("available").alias("closed_at"), F.max(F.col("available").isNull()).alias("unknown"))
-    taken = (
-        _covered(moments, buckets)
-        .groupBy("store_id", "tid", F.col("r_consumer").alias("consumer"))
-        .agg(F.max("r_started_at").alias("taken_at"), F.max("closed_at").alias("closed_at"), F.max("unknown").alias("unknown"))
-        .where((F.col("closed_at") <= F.col("taken_at")) & ~F.col("unknown"))
-        .groupBy("store_id", "tid")
-        .agg(F.collect_set("consumer").alias("closed_for"))
-    )
-    return (
-        moments.join(taken, ["store_id", "tid"], "left")
-        .select("store_id", "tid", F.explode(F.array_except(every, F.coalesce("closed_for", F.array().cast("array<string>")))).alias("consumer"))
-        .groupBy("consumer", "store_id")
-        .agg(F.min("tid").alias("reread_tid"))
+    moments = materialize(moments, "transactions")
+    taken = taken_transactions(moments.select("store_id", "tid"), buckets).groupBy("store_id", "tid").agg(F.map_from_entries(F.collect_list(F.struct("consumer", "taken_at"))).alias("taken"))
+    each = moments.join(taken, ["store_id", "tid"], "left").withColumn("consumer", F.explode(F.array(*[F.lit(c) for c in consumers])))
+    each = each.withColumn("taken_at", F.element_at("taken", F.col("consumer")))
+    is_open = F.col("taken_at").isNull() | F.col("unknown") | (F.col("closed_at") > F.col("taken_at"))
+    # the transactions of a bucket are few: their list is filtered from the oldest open one on
+    listed = each.groupBy("store_id", _bucket(F.col("tid")).alias("bucket"), "consumer").agg(
+        F.min(F.when(is_open, F.col("tid"))).alias("reread_tid"), F.collect_list(F.struct("tid", "taken_at")).alias("t")
     )
+    kept = listed.where("reread_tid is not null").select("store_id", "consumer", F.inline(F.filter("t", lambda t: t["tid"] >= F.col("reread_tid"))))
+    return kept.select("store_id", "tid", "consumer", "taken_at")
 
 
-def pending_versions(versions: DataFrame, ledger: DataFrame, start: DataFrame) -> DataFrame:
-    """The versions from start (consumer, store_id, reread_tid) on that are not in the ledger: the operator's core.
+def reread(versions: DataFrame, transactions: DataFrame) -> DataFrame:
+    """The versions (store_id, oid, tid, available) of some transactions, once for each consumer. A transaction may hold any number of versions: where its key is shuffled it is salted."""
+    if is_small(transactions):
+        return versions.join(F.broadcast(transactions), ["store_id", "tid"])
+    salted = transactions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return versions.withColumn("salt", F.pmod(F.xxhash64("oid"), F.lit(SALTS)).cast("int")).join(salted, ["store_id", "tid", "salt"]).drop("salt")
 
-    A store may hold a third of all rows, so its rows are never sent to one task to meet their starting point.
-    """
-    start = materialize(start, "reread")
-    s = start.select("consumer", F.col("store_id").alias("s_store_id"), "reread_tid")
-    on = (F.col("store_id") == F.col("s_store_id")) & (F.col("tid") >= F.col("reread_tid"))
-    if start.limit(BROADCAST_STARTS + 1).count() <= BROADCAST_STARTS:
-        reread = versions.join(F.broadcast(s), on)
-    else:
-        s = s.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        reread = versions.join(s, on & (F.pmod(F.xxhash64("oid", "tid"), F.lit(SALTS)) == F.col("salt")))
-    return reread.select("consumer", "store_id", "oid", "tid").join(ledger, ["consumer", "store_id", "oid", "tid"], "left_anti")
+
+def outside_ledger(rows: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose (key, version) pair no successful run took: the operator's core."""
+    taken = ledger.select(*[F.col(k).alias(f"_taken_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_taken_{k}")) for k in keys]
+    return rows.join(taken, reduce(lambda a, b: a & b, same), "left_anti")
 
 
 def untaken(objects: DataFrame, consumer_runs: DataFrame, meta: DataFrame) -> DataFrame:
     """(consumer, store_id, oid, tid): for each consumer the versions that no successful run of it took."""
-    versions = record_versions(objects)
-    bounds = (
-        objects.where(F.col("store_id").isNotNull() & F.col("oid").isNotNull())
-        .groupBy("store_id")
-        .agg(F.min("tid").alias("low"), F.max("tid").alias("high"))
-    )
-    buckets = run_buckets(successful_runs(consumer_runs, meta), bounds)
-    return pending_versions(versions, processed_ledger(versions, buckets), reread_from(versions, buckets))
+    versions = materialize(record_versions(objects), "versions")
+    bounds = versions.groupBy("store_id").agg(F.min("tid").alias("low"), F.max("tid").alias("high"))
+    again = materialize(reread_transactions(versions, run_buckets(successful_runs(consumer_runs, meta), bounds)), "reread")
+    rows = reread(versions, again)
+    ledger = rows.where(F.col("available") <= F.col("taken_at"))
+    keys = ["consumer", "store_id", "oid", "tid"]
+    return outside_ledger(rows.select(*keys), ledger, keys)
 
 
 class IncrementalReader:
     """A consumer of a growing table whose ledger lives in a folder.
 
-    state/runs/<n>.json is written last, by one rename, and names the ledger part of the run; parts without it belong
-    to runs that failed and are not read.
+    A run first fixes its batch and writes runs/<n>.plan, then hands the batch to process(batch, n), then writes
+    runs/<n>.json; each file is created once and never replaced, so of two runs at once the second is refused. A run
+    that ended in between left its plan: the next run hands the same batch over again under the same number, so a
+    consumer that remembers the last number it finished takes nothing twice. Folders that no file names are deleted.
+
+    lag says how far behind the newest version a row may still arrive: rows older than that are not read again. Without
+    it every row is, and only the ledger keeps them from coming twice. Rows without a version are never taken.
     """
 
-    def __init__(self, spark: SparkSession, state: str, keys: list[str], version: str):
-        self.spark, self.state, self.keys, self.version = spark, state.rstrip("/"), keys, version
+    def __init__(self, spark: SparkSession, state: str, keys: list[str], version: str, lag: int | None = None):
+        self.spark, self.state, self.keys, self.version, self.lag = spark, state.rstrip("/"), keys, version, lag
+        self.pair = [*keys, version]
         self.files = HadoopFiles(spark, self.state)
+        self.files.mkdirs(f"{self.state}/runs")
 
-    def _runs(self) -> list[dict]:
-        names = [p for p in self.files.list(f"{self.state}/runs") if p.endswith(".json")]
+    def _records(self, kind: str) -> list[dict]:
+        names = [p for p in self.files.list(f"{self.state}/runs") if p.endswith(f".{kind}")]
         return sorted((json.loads(self.files.read(p)) for p in names), key=lambda r: r["run"])
 
-    def pending(self, source: DataFrame, open_from: int | None = None) -> DataFrame:
-        """Rows of source not yet taken; open_from is the oldest transaction open at the last run, by default the one it recorded."""
+    def _create(self, number: int, kind: str, facts: dict) -> None:
+        try:
+            self.files.write(f"{self.state}/runs/{number:09d}.{kind}", json.dumps(facts), overwrite=False)
+        except Exception as e:
+            raise Conflict(f"another run {number} of {self.state} was first") from e
+
+    def _ledger(self, records: list[dict]) -> DataFrame | None:
+        """What has been taken: the parts since the last compaction, which holds all before."""
+        parts: list[str] = []
+        for r in records:
+            parts = [r["part"]] if r["whole"] else [*parts, r["part"]]
+        return self.spark.read.parquet(*parts).select(*self.pair) if parts else None
+
+    def pending(self, source: DataFrame) -> DataFrame:
+        """Rows of source not yet taken; of rows with one key and version one comes."""
+        records = self._records("json")
         rows = source.where(F.col(self.version).isNotNull())
-        if not (runs := self._runs()):
-            return rows.dropDuplicates([*self.keys, self.version])
-        start = runs[-1]["open_from"] if open_from is None else open_from
-        if start is not None:
-            rows = rows.where(F.col(self.version) >= start)
-        ledger = self.spark.read.parquet(*[r["part"] for r in runs]).select(*self.keys, self.version)
-        return rows.dropDuplicates([*self.keys, self.version]).join(ledger, [*self.keys, self.version], "left_anti")
-
-    def run(self, source: DataFrame, process: Callable[[DataFrame], None], open_from: int | None = None) -> int:
-        """Processes what is pending. The run counts only once process has returned and its record is renamed into place."""
-        number = len(self._runs()) + 1
-        part = f"{self.state}/ledger/{uuid.uuid4().hex}"
-        taken = self.pending(source)
+        if records and records[-1]["open_from"] is not None:
+            rows = rows.where(F.col(self.version) >= records[-1]["open_from"])
+        rows, ledger = rows.dropDuplicates(self.pair), self._ledger(records)
+        return rows if ledger is None else outside_ledger(rows, ledger, self.pair)
+
+    def _folder(self, number: int) -> str:
+        return f"{self.state}/data/{number:09d}-{uuid.uuid4().hex}"
+
+    def _sweep(self, records: list[dict]) -> None:
+        """Deletes what runs before the last left behind: batches, and folders that no record names. A run beside this one may still read the last batch."""
+        named = {r["part"].rsplit("/", 1)[-1] for r in records}
+        for folder in self.files.list(f"{self.state}/data"):
+            name = folder.rsplit("/", 1)[-1]
+            if name not in named and int(name.split("-")[0]) < len(records):
+                self.files.delete(folder)
+
+    def _plan(self, source: DataFrame, records: list[dict]) -> dict:
+        batch = self._folder(len(records) + 1)
         # the batch is fixed before it is processed: a source that grows meanwhile can't put a pair in the ledger unprocessed
-        taken.write.parquet(f"{part}-batch")
-        batch = self.spark.read.schema(taken.schema).parquet(f"{part}-batch")
-        process(batch)
-        batch.select(*self.keys, self.version).write.parquet(part)
-        self.files.mkdirs(f"{self.state}/runs")
-        self.files.swap(f"{self.state}/runs/{number:09d}.json", json.dumps({"run": number, "part": part, "open_from": open_from}))
-        self.files.delete(f"{part}-batch")
-        return number
+        self.pending(source).write.parquet(batch)
+        newest = self.spark.read.parquet(batch).agg(F.max(self.version)).first()[0]
+        was = records[-1]["open_from"] if records else None
+        point = was if self.lag is None or newest is None else max(newest - self.lag, was if was is not None else newest - self.lag)
+        plan = {"run": len(records) + 1, "batch": batch, "open_from": point}
+        self._create(plan["run"], "plan", plan)
+        return plan
+
+    def run(self, source: DataFrame, process: Callable[[DataFrame, int], None]) -> int:
+        """Hands what is pending to process(batch, number) and gives the number; the run counts once its record is written."""
+        records = self._records("json")
+        plans = {r["run"]: r for r in self._records("plan")}
+        plan = plans.get(len(records) + 1)
+        if plan is None:
+            self._sweep(records)
+            plan = self._plan(source, records)
+        batch = self.spark.read.parquet(plan["batch"])
+        process(batch, plan["run"])
+        taken, whole = batch.select(*self.pair), False
+        if len(records) % MAX_PARTS == MAX_PARTS - 1 and (before := self._ledger(records)) is not None:
+            # pairs before the open point are never read again
+            taken, whole = before.unionByName(taken), True
+            taken = taken if plan["open_from"] is None else taken.where(F.col(self.version) >= plan["open_from"])
+        part = self._folder(plan["run"])
+        taken.write.parquet(part)
+        self._create(plan["run"], "json", {"run": plan["run"], "part": part, "open_from": plan["open_from"], "whole": whole})
+        return plan["run"]

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stratagraph.errors import Conflict
 from stratagraph.functions.records import kind_letters, leading_number, payload_refs, split_fields
 from stratagraph.operators import cdc_apply, drift, hierarchy, incremental, orphans
 
@@ -90,7 +91,8 @@ def number(text):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_untaken(spark, seed, monkeypatch):
     if seed == 2:
-        monkeypatch.setattr(incremental, "BROADCAST_STARTS", 0)
+        monkeypatch.setattr(incremental, "is_small", lambda df: False)
+        monkeypatch.setattr(incremental, "SPAN", 2)
     rng = random.Random(seed)
     rows, (runs, meta) = log(rng), runs_and_meta(rng)
     got = incremental.untaken(objects(spark, rows), spark.createDataFrame(runs, RUNS), spark.createDataFrame(meta, META)).collect()
@@ -119,28 +121,53 @@ def test_untaken_empty(spark):
 
 
 def test_numbers(spark):
-    texts = ["12", "+12", " 12\n", "12.0", "tid=12", '{"tid": 12}', "00012", "", "n/a", None, "1 2"]
+    texts = ["12", "+12", " 12\n", "12.0", "tid=12", '{"tid": 12}', "00012", "", "n/a", None, "1 2", "9223372036854775807", "tid=10000000000000000000"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(leading_number(F.col("t"))).collect()]
-    assert got == [12] * 7 + [None] * 4
+    assert got == [12] * 7 + [None] * 4 + [2**63 - 1] * 2
 
 
-def test_reader_survives_failures(spark, tmp_path):
-    reader = incremental.IncrementalReader(spark, f"file://{tmp_path}/state", ["k"], "v")
-    data, seen = [("a", 1), ("b", 2), ("b", 2)], []
+def test_reader_survives_failures(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "MAX_PARTS", 3)
+    reader = incremental.IncrementalReader(spark, f"file://{tmp_path}/state", ["k"], "v", lag=3)
+    data, seen, done = [("a", 1), ("b", 2), ("b", 2), (None, 2), ("n", None)], [], set()
     table = lambda: spark.createDataFrame(data, "k string, v bigint")
-    take = lambda df: seen.extend(map(tuple, df.collect()))
-    assert reader.run(table(), take, open_from=2) == 1
-    data += [("c", 2), ("a", 3)]  # c is late: its transaction was open at the last run
 
-    def fail(df):
-        df.collect()
+    def take(df, run):
+        if run not in done:
+            seen.extend(map(tuple, df.collect()))
+            done.add(run)
+
+    def lost_before(df, run):
+        raise OSError("lost")
+
+    def lost_after(df, run):
+        take(df, run)
         raise OSError("lost")
 
+    assert reader.run(table(), take) == 1
+    data += [("c", 2), ("a", 3)]  # c is late: its transaction was open at the last run
+    with pytest.raises(OSError):
+        reader.run(table(), lost_before)
+    data += [("d", 4)]
     with pytest.raises(OSError):
-        reader.run(table(), fail)
-    assert reader.run(table(), take, open_from=3) == 2
-    assert reader.run(table(), take) == 3
-    assert sorted(seen) == [("a", 1), ("a", 3), ("b", 2), ("c", 2)]
+        reader.run(table(), lost_after)  # the batch of the plan, without d
+    assert reader.run(table(), take) == 2 and reader.run(table(), take) == 3 and reader.run(table(), take) == 4
+    assert sorted(seen, key=str) == sorted([("a", 1), ("a", 3), ("b", 2), ("c", 2), ("d", 4), (None, 2)], key=str)
+    data += [("e", 9), ("f", 5), ("z", 0)]
+    assert reader.run(table(), take) == 5 and sorted(seen[6:]) == [("e", 9), ("f", 5)]  # z lies before the open point
+    data += [("g", 5), ("h", 6)]
+    assert reader.run(table(), take) == 6 and sorted(seen[8:]) == [("h", 6)]
+    whole = [r for r in reader._records("json") if r["whole"]]
+    assert [r["run"] for r in whole] == [3, 6] and len(reader.files.list(reader.state + "/data")) <= 7
+    # of two runs at once the second is refused
+
+    def other_first(df, run):
+        incremental.IncrementalReader(spark, reader.state, ["k"], "v", lag=3).run(table(), take)
+
+    data += [("i", 9)]
+    with pytest.raises(Conflict):
+        reader.run(table(), other_first)
+    assert seen.count(("i", 9)) == 1 and reader.run(table(), take) == 8 and len(seen) == len(set(seen))
 
 
 # -- 2
