@@ -167,11 +167,16 @@ class IncrementalReader:
         except Exception as e:
             raise Conflict(f"another run {number} of {self.state} was first") from e
 
-    def _ledger(self, records: list[dict]) -> DataFrame | None:
-        """What has been taken: the parts since the last compaction, which holds all before."""
+    @staticmethod
+    def _parts(records: list[dict]) -> list[str]:
+        """The parts of the ledger since the last compaction, which holds all before."""
         parts: list[str] = []
         for r in records:
             parts = [r["part"]] if r["whole"] else [*parts, r["part"]]
+        return parts
+
+    def _ledger(self, records: list[dict]) -> DataFrame | None:
+        parts = self._parts(records)
         return self.spark.read.parquet(*parts).select(*self.pair) if parts else None
 
     def pending(self, source: DataFrame) -> DataFrame:
@@ -187,8 +192,8 @@ class IncrementalReader:
         return f"{self.state}/data/{number:09d}-{uuid.uuid4().hex}"
 
     def _sweep(self, records: list[dict]) -> None:
-        """Deletes what runs before the last left behind: batches, and folders that no record names. A run beside this one may still read the last batch."""
-        named = {r["part"].rsplit("/", 1)[-1] for r in records}
+        """Deletes what runs before the last left behind: batches, compacted parts, and folders that no record names. A run beside this one may still read the last batch."""
+        named = {part.rsplit("/", 1)[-1] for part in self._parts(records)}
         for folder in self.files.list(f"{self.state}/data"):
             name = folder.rsplit("/", 1)[-1]
             if name not in named and int(name.split("-")[0]) < len(records):
