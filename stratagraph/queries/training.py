@@ -25,6 +25,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cdc_apply.rebuilt_records(read_table(spark, d, "objects"), read_table(spark, d, "commit_batches")).select("store_id", "oid", "tid")
 
 
+def p3_feeds(spark: SparkSession, d: str) -> DataFrame:
+    """The deliveries in three feeds: the later ones first, then the first attempts of the earlier ones, then the rest."""
+    batches = read_table(spark, d, "commit_batches")
+    half = batches.agg(F.floor(F.avg("tid"))).first()[0] or 0
+    early, first = F.coalesce(F.col("tid") <= half, F.lit(False)), F.coalesce(F.col("attempt") <= 1, F.lit(True))
+    feeds = [batches.where(~early), batches.where(early & first), batches.where(early & ~first)]
+    return cdc_apply.applied_feeds(read_table(spark, d, "objects"), feeds).select("store_id", "oid", "tid")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     links = hierarchy.parent_links(hierarchy.current_terms(read_table(spark, d, "terms")))
     return hierarchy.cyclic_terms(materialize(links, "links"))
@@ -61,6 +70,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_counts": p2_counts,
     "p3_found": p3_found,
+    "p3_feeds": p3_feeds,
     "p4_found": p4_found,
     "p4_paths": p4_paths,
     "p4_descendants": p4_descendants,
@@ -199,3 +209,4 @@ union select store_id, cid, field, 'removed' from gone where (store_id, cid, fie
 union select k.store_id, k.cid, k.field, 'retyped' from kept k join usual a on a.store_id = k.store_id and a.cid = k.cid and a.pos = k.pos
   join usual b on b.store_id = k.store_id and b.cid = k.old_cid and b.pos = k.old_pos where a.kind <> b.kind""",
 }
+ORACLE["p3_feeds"] = ORACLE["p3_found"]

@@ -79,12 +79,18 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 #: Bytes on disk up to which a table may be broadcast; in memory it takes some ten times as much.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 1 << 20
+
+
+def disk_bytes(df: DataFrame) -> int:
+    """The bytes of the tables that df reads, by the optimizer's statistics (of files: their sizes)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def is_small(df: DataFrame) -> bool:
-    """True if what df reads is at most BROADCAST_BYTES on disk, by the optimizer's statistics (of written tables: the sizes of their files)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
+    """True if what df reads is at most BROADCAST_BYTES on disk."""
+    return disk_bytes(df) <= BROADCAST_BYTES
 
 
 def if_small(df: DataFrame) -> DataFrame:
@@ -109,6 +115,9 @@ class HadoopFiles:
     def mkdirs(self, path: str) -> bool:
         return self._fs.mkdirs(self._path(path))
 
+    def size(self, path: str) -> int:
+        return self._fs.getContentSummary(self._path(path)).getLength()
+
     def list(self, path: str) -> list[str]:
         return [s.getPath().toString() for s in self._fs.listStatus(self._path(path))] if self.exists(path) else []
 
@@ -138,15 +147,5 @@ class HadoopFiles:
         context.rename(self._path(tmp), self._path(path), options)
 
 
-def publish(spark: SparkSession, root: str, version: str, **facts) -> None:
-    """Makes root/version the current content of the table at root, in one rename."""
-    HadoopFiles(spark, root).swap(f"{root}/_current.json", json.dumps({"version": version} | facts))
-
-
-def current(spark: SparkSession, root: str) -> dict | None:
-    files = HadoopFiles(spark, root)
-    return json.loads(files.read(f"{root}/_current.json")) if files.exists(f"{root}/_current.json") else None
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

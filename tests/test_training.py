@@ -158,7 +158,7 @@ def test_reader_survives_failures(spark, tmp_path, monkeypatch):
     data += [("g", 5), ("h", 6)]
     assert reader.run(table(), take) == 6 and sorted(seen[8:]) == [("h", 6)]
     whole = [r for r in reader._records("json") if r["whole"]]
-    assert [r["run"] for r in whole] == [3, 6] and len(reader.files.list(reader.state + "/data")) <= 5
+    assert [r["run"] for r in whole] == [3, 6] and len(reader.files.list(reader.state + "/data")) <= 6
     # of two runs at once the second is refused
 
     def other_first(df, run):
@@ -246,12 +246,62 @@ def test_rebuilt_records(spark, seed):
 def test_feed_in_steps(spark, folder):
     """Applying the changes in any portions, twice, ends in the same state; the tombstone keeps a late write out."""
     changes = [(1, 1, 5, False, 1, "[5]"), (1, 1, 9, True, None, None), (1, 1, 7, False, 1, "[7]"), (1, 2, 3, False, 1, "[3]"), (1, 2, 3, False, 1, "[4]"), (1, 3, 2, True, None, None), (1, 3, 2, False, 1, "[2]")]
-    for part in (changes[:2], changes[2:], changes):
-        cdc_apply.apply_feed(spark, folder, spark.createDataFrame(part, cdc_apply.STATE), 10)
+    for part in (changes[:2], changes[2:], changes, []):
+        cdc_apply.apply_feed(spark, folder, spark.createDataFrame(part, cdc_apply.STATE))
     assert [tuple(r) for r in cdc_apply.read_state(spark, folder).select("oid", "tid", "payload").collect()] == [(2, 3, "[4]")]
     assert cdc_apply.rebuilt_records(objects(spark, []), spark.createDataFrame([], BATCH)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_feeds_in_any_order(spark, seed):
+    """Deliveries in several feeds, higher attempts before or after lower ones, end as they do all at once."""
+    rng = random.Random(seed)
+    rows, batches = log(rng), feed(rng)
+    rng.shuffle(batches)
+    cut = sorted(rng.sample(range(len(batches)), 2))
+    parts = [spark.createDataFrame(p, BATCH) for p in (batches[: cut[0]], batches[cut[0] : cut[1]], batches[cut[1] :])]
+    cols = ["store_id", "oid", "tid", "payload"]
+    want = {tuple(r) for r in cdc_apply.rebuilt_records(objects(spark, rows), spark.createDataFrame(batches, BATCH)).select(*cols).collect()}
+    got = cdc_apply.applied_feeds(objects(spark, rows), parts).select(*cols).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_higher_attempt_later(spark, folder):
+    """What a lower attempt alone wrote is taken back: to the version before, or to nothing."""
+    row = lambda oid, tid, payload, attempt: (1, oid, tid, payload is None, 1, payload, attempt)
+    state = cdc_apply.BucketedState(spark, folder)
+    steps = [[row(1, 1, "a", None)], [row(1, 2, "b", 1), row(2, 2, "c", 1), row(3, 3, "d", 1)], [row(4, 2, "e", 2)], [row(2, 2, "late", 1)]]
+    for step in steps:
+        state.apply(spark.createDataFrame(step, cdc_apply.CHANGES))
+    assert {(r["oid"], r["payload"]) for r in cdc_apply.read_state(spark, folder).collect()} == {(1, "a"), (3, "d"), (4, "e")}
+
+
+def test_feed_touches_its_buckets(spark, folder, monkeypatch):
+    """A state 1,000 times the feed: other buckets stay where they are; a state that outgrows its buckets gets more; two appliers can't lose a feed."""
+    many = spark.range(20_000).selectExpr("cast(1 as int) as store_id", "id as oid", "cast(1 as bigint) as tid", "false as deleted", "cast(1 as int) as cid", "concat('[', id, ']') as payload")
+    monkeypatch.setattr(cdc_apply, "BUCKET_BYTES", 5_000)
+    state = cdc_apply.BucketedState(spark, folder)
+    first = state.apply(many)
+    assert first["buckets"] >= 4
+    few = spark.createDataFrame([(1, i, 2, i % 2 == 0, 1, None if i % 2 == 0 else "new") for i in range(3)], cdc_apply.STATE)
+    second = state.apply(few)
+    moved = [b for b, v in second["places"].items() if v == second["version"]]
+    assert second["buckets"] == first["buckets"] and 1 <= len(moved) <= 3 < len(second["places"])
+    assert cdc_apply.read_state(spark, folder).count() == 19_998 and cdc_apply.read_state(spark, folder).where("payload = 'new'").count() == 1
+    other, head = cdc_apply.BucketedState(spark, folder), state.head
+    stale = head()
+    monkeypatch.setattr(other, "head", lambda: stale)
+    state.apply(spark.createDataFrame([(1, 7, 3, False, 1, "mine")], cdc_apply.STATE))
+    with pytest.raises(Conflict):
+        other.apply(spark.createDataFrame([(1, 8, 3, False, 1, "theirs")], cdc_apply.STATE))
+    assert cdc_apply.read_state(spark, folder).where("payload in ('mine', 'theirs')").count() == 1
+    monkeypatch.setattr(cdc_apply, "BUCKET_BYTES", 500)
+    third = state.apply(few)
+    assert third["buckets"] > second["buckets"] and cdc_apply.read_state(spark, folder).count() == 19_998
+    state.vacuum()
+    assert cdc_apply.read_state(spark, folder).count() == 19_998 and {v for v in third["places"].values()} == {third["version"]}
+
+
 # -- 4
 
 
