@@ -2,13 +2,16 @@
 
 Columns of successive shapes are profiled (kinds of value, a mergeable sketch of the values), fields that vanished are
 matched to fields that are new by an optimal bipartite assignment over similarity of name, kind and values and over
-declared renames, and the matched columns are unified into one table per type. An exact check of the matches against
-the declared renames gives the report of changes.
+declared renames. The report of changes takes the matches that an exact check finds declared; the others that score
+LIKELY or more are listed apart, as renames that nobody declared. Both unify columns: in the one table of its type a
+field has one name and one kind in every store and shape.
 
 Defined results: rows with a wrong checksum or a null key don't count, a version counts once; payloads that are no
-JSON array have no values; values beyond the shape's fields are ignored, missing ones are null; of rows of one shape
-that differ the one recorded last holds; a shape without a predecessor has no change; ties between usual kinds go to
-the alphabetically first; empty tables give no rows; other columns are ignored.
+JSON array have no values, and come out whole in `rest`, as do those of unknown shapes; values beyond the shape's
+fields come out in `rest` alone, missing ones are null; of rows of one shape that differ the one recorded last holds; a
+shape without a predecessor has no change; ties between usual kinds go to the alphabetically first; a field whose
+shapes differ in kind is float if they are int and float, else string; empty tables give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,17 +28,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.records import KIND_NAMES, intact_rows, kinds_of
-from ..runtime import materialize, spread
+from ..runtime import if_small, materialize, spread
 from .orphans import shapes
 
 #: Slots of the value sketch: the least hash of the values in each.
 SLOTS = 16
 #: Score of a declared rename: above any sum of similarities, so that the assignment never gives it up for a guess.
 DECLARED = 100.0
-#: Least similarity of an undeclared match that the report of matches lists.
-LIKELY = 1.5
-#: Shapes up to which their list is broadcast (about 20 bytes each).
-BROADCAST_SHAPES = 200_000
+#: Least similarity (of at most 3) at which an undeclared match counts as a rename.
+LIKELY = 1.3
+# The column type of each kind of value; lists and maps stay JSON text, a reference is its oid.
+COLUMN_TYPES = {"bool": "boolean", "int": "bigint", "float": "double", "string": "string", "ref": "bigint", "list": "string", "map": "string"}
 
 
 def kind_counts(objects: DataFrame) -> DataFrame:
@@ -76,10 +79,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def value_sketches(objects: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
+def value_sketches(objects: DataFrame, wanted: DataFrame) -> DataFrame:
     """(store_id, cid, pos, sketch map<slot, least hash>) for the shapes in wanted; combined per batch before the shuffle."""
     rows = spread(intact_rows(objects).where("payload is not null").select("store_id", "cid", "payload"))
-    rows = rows.join(F.broadcast(wanted) if small else wanted, ["store_id", "cid"], "left_semi")
+    rows = rows.join(if_small(wanted), ["store_id", "cid"], "left_semi")
     slots = rows.mapInArrow(_sketch, "store_id int, cid int, pos int, slot int, low bigint").groupBy("store_id", "cid", "pos", "slot").agg(F.min("low").alias("low"))
     return slots.groupBy("store_id", "cid", "pos").agg(F.map_from_entries(F.collect_list(F.struct("slot", "low"))).alias("sketch"))
 
@@ -162,12 +165,11 @@ class Drift:
         )
 
     def matches(self) -> DataFrame:
-        """(store_id, name, old_cid, cid, old, new, score, declared): renames as the matching finds them."""
+        """(store_id, name, old_cid, cid, old, new, score, declared): renames as the matching finds them, likely or not."""
         cand = self.candidates().withColumns({"old_pos": F.array_position("old_fields", F.col("old")) - 1, "pos": F.array_position("fields", F.col("new")) - 1})
         cand = materialize(cand.drop("old_fields", "fields"), "candidates")
-        wanted = cand.select("store_id", "cid").union(cand.select("store_id", F.col("old_cid").alias("cid"))).distinct()
-        small = wanted.limit(BROADCAST_SHAPES + 1).count() <= BROADCAST_SHAPES
-        sketches = materialize(value_sketches(self.objects, wanted, small), "sketches")
+        wanted = materialize(cand.select("store_id", "cid").union(cand.select("store_id", F.col("old_cid").alias("cid"))).distinct(), "wanted")
+        sketches = materialize(value_sketches(self.objects, wanted), "sketches")
         profile = self.kinds.join(sketches, ["store_id", "cid", "pos"], "left")
         old = profile.select("store_id", F.col("cid").alias("old_cid"), F.col("pos").cast("bigint").alias("old_pos"), F.col("kind").alias("old_kind"), F.col("sketch").alias("old_sketch"))
         now = profile.select("store_id", "cid", F.col("pos").cast("bigint").alias("pos"), "kind", "sketch")
@@ -206,65 +208,80 @@ class Drift:
         cols = ["store_id", "cid", "field", "change"]
         return out[0].select(cols).union(out[1].select(cols)).union(out[2].select(cols)).union(out[3].select(cols)).distinct()
 
+    def likely(self, matches: DataFrame) -> DataFrame:
+        """The matches that nobody declared but that score LIKELY or more."""
+        return matches.where(~F.col("declared") & (F.col("score") >= LIKELY))
+
+    def renames(self, matches: DataFrame | None) -> DataFrame:
+        """(name, old, new) of each type: what is declared, and what the matching finds likely in any of its stores."""
+        pairs = self.declared.select("name", "old", "new")
+        if matches is not None:
+            pairs = pairs.union(self.likely(matches).select("name", "old", "new"))
+        return pairs.where("name is not null and old is not null and new is not null").distinct()
+
+    def lineage(self, matches: DataFrame | None) -> DataFrame:
+        """(store_id, cid, name, width, names array<struct<name, pos>>): what the fields of each shape are called in the table of its type."""
+        pairs = self.renames(matches).groupBy("name").agg(F.collect_list(F.struct("old", "new")).alias("pairs"))
+        listed = F.coalesce("pairs", F.array().cast("array<struct<old:string,new:string>>"))
+        return shapes(self.store_types).join(pairs, "name", "left").select("store_id", "cid", "name", F.size("fields").alias("width"), _unified_names("fields", listed).alias("names"))
+
     def unified(self, matches: DataFrame | None = None) -> DataFrame:
-        """(name, store_id, oid, tid, cid, row map<field, text>): every version under the names that its type gives its fields, in all stores and shapes."""
-        renamed = (matches or self.matches()).where("declared").select("store_id", "name", "cid", "old", "new")
-        s = shapes(self.store_types)
-        moves = renamed.groupBy("store_id", "name").agg(F.collect_list(F.struct("cid", "old", "new")).alias("moves"))
-        declared = self.declared.where("name is not null and new is not null").groupBy("name").agg(F.collect_list(F.struct("old", "new")).alias("declared"))
-        listed = F.coalesce("moves", F.array().cast("array<struct<cid:int,old:string,new:string>>")), F.coalesce("declared", F.array().cast("array<struct<old:string,new:string>>"))
-        lineage = s.join(moves, ["store_id", "name"], "left").join(declared, "name", "left").select("store_id", "cid", "name", _unified_names("fields", "cid", *listed).alias("names"))
+        """(name, store_id, oid, tid, cid, row map<field, text>, rest): every version under the names that its type gives its fields, in all stores and shapes.
+
+        With matches, undeclared renames that are likely unify too. rest has what no field of the shape holds.
+        """
         rows = intact_rows(self.objects).where("payload is not null").select("store_id", "oid", "tid", "cid", "payload").dropDuplicates(["store_id", "oid", "tid", "cid"])
-        values = F.from_json("payload", "array<string>")
-        joined = rows.join(lineage, ["store_id", "cid"]).withColumn("values", values).where("values is not null")
+        joined = rows.join(self.lineage(matches), ["store_id", "cid"], "left").withColumn("values", F.from_json("payload", "array<string>"))
+        known = F.col("values").isNotNull() & F.col("names").isNotNull()
         held = F.filter("names", lambda x: x["pos"] < F.size("values"))
         row = F.map_from_arrays(F.transform(held, lambda x: x["name"]), F.transform(held, lambda x: F.get("values", x["pos"])))
-        return joined.select("name", "store_id", "oid", "tid", "cid", row.alias("row"))
+        beyond = F.when(F.size("values") > F.col("width"), F.to_json(F.slice("values", F.col("width") + 1, F.size("values"))))
+        return joined.select("name", "store_id", "oid", "tid", "cid", F.when(known, row).alias("row"), F.when(known, beyond).otherwise(F.col("payload")).alias("rest"))
+
+    def columns(self, matches: DataFrame | None = None) -> DataFrame:
+        """(name, field, kind, shapes): the fields of each type's table, their one kind, and in how many shapes they have values."""
+        fields = self.lineage(matches).select("store_id", "cid", "name", F.inline("names").alias("field", "pos"))
+        kinds = fields.join(self.kinds, ["store_id", "cid", "pos"]).groupBy("name", "field").agg(F.collect_set("kind").alias("kinds"), F.count("*").alias("shapes"))
+        numbers = F.size(F.array_except("kinds", F.array(F.lit("int"), F.lit("float")))) == 0
+        kind = F.when(F.size("kinds") == 1, F.get("kinds", F.lit(0))).when(numbers, F.lit("float")).otherwise(F.lit("string"))
+        return kinds.select("name", "field", kind.alias("kind"), "shapes")
+
+    def table(self, typename: str, matches: DataFrame | None = None) -> DataFrame:
+        """The one table of a type, with a column of its kind for every field it ever had."""
+        found = sorted(tuple(r) for r in self.columns(matches).where(F.col("name") == typename).select("field", "kind").collect())
+        return type_table(self.unified(matches), typename, {f: COLUMN_TYPES[k] for f, k in found}, {f for f, k in found if k == "ref"})
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("pos", T.IntegerType())])))
-def _unified_names(fields: pd.Series, cid: pd.Series, moves: pd.Series, declared: pd.Series) -> pd.Series:
-    return pd.Series([
-        [{"name": n, "pos": i} for i, names in enumerate(unified_names(list(f), c, list(m), list(d))) for n in names] for f, c, m, d in zip(fields, cid, moves, declared)
-    ])
+def _unified_names(fields: pd.Series, pairs: pd.Series) -> pd.Series:
+    return pd.Series([[{"name": n, "pos": i} for i, names in enumerate(unified_names(list(f), list(p))) for n in names] for f, p in zip(fields, pairs)])
 
 
-def unified_names(fields: list[str], cid: int, moves: list[dict], declared: list[dict]) -> list[list[str]]:
-    """The names of each field of shape cid in its type's table: the last that its store's moves or its type's declared renames give it.
+def unified_names(fields: list[str], pairs: list[dict]) -> list[list[str]]:
+    """The names of each field of a shape in its type's table: the last that the renames (old, new) of the type give it.
 
     A name that the shape itself holds, or that an earlier field took, is not given; a field that several new ones
-    declare as theirs has all those names, as each of them is read from it.
+    replace has all those names, as each of them is read from it.
     """
     taken, out = set(fields), []
-    for name, last in zip(fields, last_names(fields, cid, moves)):
+    for name in fields:
         ends, todo, seen = [], [name], {name}
         while todo:
             at = todo.pop(0)
-            given = {d["new"] for d in declared if d["old"] == at} | ({last} if at == name else set())
-            onward = sorted(given - taken - seen)
+            onward = sorted({d["new"] for d in pairs if d["old"] == at} - taken - seen)
             seen.update(onward)
             todo += onward
             if not onward:
                 ends.append(at)
+        # a shape that lists a field twice keeps the first
+        out.append([e for e in ends if not any(e in o for o in out)])
         taken.update(ends)
-        out.append(ends)
-    return out
-
-
-def last_names(fields: list[str], cid: int, moves: list[dict]) -> list[str]:
-    """The names that later shapes give to the fields of shape cid; one that another field of the shape holds or takes is not used twice."""
-    out: list[str] = []
-    for name in fields:
-        last = name
-        for m in sorted(moves, key=lambda m: (m["cid"], m["new"])):
-            if m["cid"] > cid and m["old"] == last and m["new"] not in out and m["new"] not in fields:
-                last = m["new"]
-        out.append(last)
     return out
 
 
-def type_table(unified: DataFrame, typename: str, fields: dict[str, str]) -> DataFrame:
-    """One type's table with a typed column per field; a value of another kind is null in its column and stays in `row`."""
+def type_table(unified: DataFrame, typename: str, fields: dict[str, str], refs: frozenset[str] | set[str] = frozenset()) -> DataFrame:
+    """One type's table with a typed column per field; a value of another kind is null in its column and stays in `row`. Of a reference the column has its oid."""
     rows = unified.where(F.col("name") == typename)
-    cast = lambda f, t: F.col("row")[f] if t == "string" else F.col("row")[f].try_cast(t)
-    return rows.select("store_id", "oid", "tid", "cid", *[cast(f, t).alias(f) for f, t in fields.items()], "row")
+    text = lambda f: F.get_json_object(F.col("row")[f], "$['$ref']") if f in refs else F.col("row")[f]
+    cast = lambda f, t: text(f) if t == "string" else text(f).try_cast(t)
+    return rows.select("store_id", "oid", "tid", "cid", *[cast(f, t).alias(f"f_{f}" if f in ("store_id", "oid", "tid", "cid", "row", "rest") else f) for f, t in fields.items()], "row", "rest")

@@ -60,9 +60,33 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _drift(spark, d).changes()
 
 
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The renames that the matching finds: declared, and likely ones that nobody declared."""
+    x = _drift(spark, d)
+    found = x.matches()
+    return found.where("declared").unionByName(x.likely(found)).select("store_id", "name", "old_cid", "cid", "old", "new", F.round("score", 6).alias("score"), "declared")
+
+
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:
-    rows = _drift(spark, d).unified()
-    return rows.select("name", "store_id", "oid", "tid", "cid", F.to_json("row", {"ignoreNullFields": "false"}).alias("row"))
+    """Every version in its type's table, undeclared renames among the unified columns."""
+    x = _drift(spark, d)
+    rows = x.unified(materialize(x.matches(), "matches"))
+    return rows.select("name", "store_id", "oid", "tid", "cid", F.to_json("row", {"ignoreNullFields": "false"}).alias("row"), "rest")
+
+
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """The unified tables value by value, columns unified by declared renames alone."""
+    return _drift(spark, d).unified().select("name", "store_id", "oid", "tid", F.explode("row").alias("field", "value"))
+
+
+def p5_columns(spark: SparkSession, d: str) -> DataFrame:
+    return _drift(spark, d).columns()
+
+
+def p5_specimens(spark: SparkSession, d: str) -> DataFrame:
+    """One type's table with typed columns."""
+    rows = _drift(spark, d).table("catalogue.model:Specimen")
+    return rows.select("store_id", "oid", "tid", *[c for c in ("specimen_no", "mass", "mineral") if c in rows.columns])
 
 
 QUERIES = {
@@ -76,7 +100,11 @@ QUERIES = {
     "p4_descendants": p4_descendants,
     "p4_nodes": p4_nodes,
     "p5_found": p5_found,
+    "p5_matches": p5_matches,
     "p5_unified": p5_unified,
+    "p5_values": p5_values,
+    "p5_columns": p5_columns,
+    "p5_specimens": p5_specimens,
 }
 
 # CRC-32 in SQL: the table follows from the polynomial, the bytes are read from the text's hexadecimal form.
@@ -210,3 +238,24 @@ union select k.store_id, k.cid, k.field, 'retyped' from kept k join usual a on a
   join usual b on b.store_id = k.store_id and b.cid = k.old_cid and b.pos = k.old_pos where a.kind <> b.kind""",
 }
 ORACLE["p3_feeds"] = ORACLE["p3_found"]
+
+_NAMES = """,
+specs as (select distinct typename, name as new, renamed_from as old from field_specs where renamed_from is not null),
+fields as (select store_id, cid, name, fields, unnest(fields) as field, generate_subscripts(fields, 1) as pos from shape),
+names as (select f.store_id, f.cid, f.name, f.pos, coalesce(s.new, f.field) as field from fields f left join specs s on s.typename = f.name and s.old = f.field and not list_contains(f.fields, s.new))"""
+
+ORACLE |= {
+    "p5_values": "with " + _DRIFT + _NAMES + """
+select n.name, v.store_id, v.oid, v.tid, n.field, v.v ->> '$' as value
+from (select store_id, oid, tid, cid, unnest(json_extract(payload, '$[*]')) as v, generate_subscripts(json_extract(payload, '$[*]'), 1) as pos from vers) v join names n using (store_id, cid, pos)""",
+    "p5_columns": "with " + _DRIFT + _NAMES + """
+select name, field, case when count(distinct kind) = 1 then min(kind) when bool_and(kind in ('int', 'float')) then 'float' else 'string' end as kind, count(*) as shapes
+from names join usual using (store_id, cid, pos) group by all""",
+    "p5_specimens": "with " + _DRIFT + _NAMES + """,
+held as (
+  select v.store_id, v.oid, v.tid, n.field, v.v from (select store_id, oid, tid, cid, unnest(json_extract(payload, '$[*]')) as v, generate_subscripts(json_extract(payload, '$[*]'), 1) as pos from vers) v
+  join names n using (store_id, cid, pos) where n.name = 'catalogue.model:Specimen')
+select store_id, oid, tid, max(case when field = 'specimen_no' then v ->> '$' end) as specimen_no, max(case when field = 'mass' then try_cast(v ->> '$' as double) end) as mass,
+  max(case when field = 'mineral' then try_cast(json_extract_string(v, '$."$ref"') as bigint) end) as mineral
+from held group by all""",
+}

@@ -469,7 +469,6 @@ def test_matching():
     both = drift.match_columns([c("home", "a", 101.0), c("home", "b", 101.0), c("x", "a", 2.0), c("x", "b", 2.0)])
     assert {(m["old"], m["new"]) for m in both} == {("home", "a"), ("home", "b")}
     assert {(m["old"], m["new"]) for m in drift.match_columns([c("p", "q", 1.0), c("p", "r", 2.0)])} == {("p", "r")}
-    assert drift.last_names(["a", "b"], 1, [{"cid": 2, "old": "a", "new": "c"}, {"cid": 3, "old": "c", "new": "d"}]) == ["d", "b"]
 
 
 def test_drift(spark):
@@ -502,10 +501,28 @@ def test_one_name_per_type(spark):
     got = {r["tid"]: r["row"] for r in d.unified().collect()}
     assert got == {1: {"x": "1", "mass": "2"}, 2: {"x": "1", "mass": "3"}, 3: {"mass": "4", "y": "5"}, 4: {"mass": "6"}, 5: {"mass_g": "7", "mass": "8"}, 6: {"mass_g": "9"}}
     # the chain of renames is followed to its end; two fields declared from one both have its value
-    names = lambda fields, *pairs: drift.unified_names(fields, 1, [], [{"old": o, "new": n} for o, n in pairs])
+    names = lambda fields, *pairs: drift.unified_names(fields, [{"old": o, "new": n} for o, n in pairs])
     assert names(["a", "z"], ("a", "b"), ("b", "c")) == [["c"], ["z"]]
     assert names(["home"], ("home", "seat"), ("home", "sponsor")) == [["seat", "sponsor"]] and names(["home", "sponsor"], ("home", "seat"), ("home", "sponsor")) == [["seat"], ["sponsor"]]
-    assert names(["p", "q"], ("p", "r"), ("q", "r")) == [["r"], ["q"]] and names(["a"], ("a", "b"), ("b", "a")) == [["b"]]
+    assert names(["p", "q"], ("p", "r"), ("q", "r")) == [["r"], ["q"]] and names(["a"], ("a", "b"), ("b", "a")) == [["b"]] and names(["a", "a"]) == [["a"], []]
+
+
+def test_undeclared_renames(spark):
+    """A rename that nobody declared shows in names, kinds and values: it is no `renamed` in the report but unifies the columns, in a store that never made it too."""
+    types = [(0, 1, "m:Thing", "no,last_kind", T0, 1), (0, 2, "m:Thing", "no,latest_kind,extra", T0, 1), (1, 1, "m:Thing", "last_kind,no", T0, 1)]
+    kinds = ["red", "green", "blue", "black"]
+    rows = [obj(0, i, 1, [i, kinds[i % 4]], cid=1) for i in range(12)] + [obj(0, i, 2, [i, kinds[i % 4], i], cid=2) for i in range(12)] + [obj(1, 1, 3, ["red", 1.5], cid=1), obj(1, 2, 3, ["red", 2, "more", None], cid=1), obj(1, 3, 3, [1], cid=9), obj(1, 4, 3, "no list", cid=1)]
+    d = drift.Drift(objects(spark, rows), spark.createDataFrame(types, TYPES), spark.createDataFrame([], SPECS))
+    found = drift.materialize(d.matches(), "matches")
+    assert [(r["old"], r["new"], r["declared"]) for r in d.likely(found).collect()] == [("last_kind", "latest_kind", False)]
+    assert {tuple(r) for r in d.changes(found).collect()} == {(0, 2, "latest_kind", "added"), (0, 2, "extra", "added"), (0, 2, "last_kind", "removed")}
+    got = {(r["store_id"], r["oid"], r["tid"]): (r["row"], r["rest"]) for r in d.unified(found).collect()}
+    assert got[0, 3, 1] == ({"no": "3", "latest_kind": "black"}, None) and got[1, 1, 3] == ({"latest_kind": "red", "no": "1.5"}, None)
+    assert got[1, 2, 3] == ({"latest_kind": "red", "no": "2"}, '["more",null]') and got[1, 3, 3] == (None, "[1]") and got[1, 4, 3][0] is None and len(got) == 28
+    assert d.unified().where("row['last_kind'] is not null").count() == 14
+    assert {tuple(r) for r in d.columns(found).select("field", "kind").collect()} == {("no", "float"), ("latest_kind", "string"), ("extra", "int")}
+    table = d.table("m:Thing", found)
+    assert dict(table.dtypes)["no"] == "double" and {r["latest_kind"] for r in table.where("no = 1.5").collect()} == {"red"} and table.count() == 27
 
 
 def test_kinds():
