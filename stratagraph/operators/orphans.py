@@ -16,11 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import intact_rows, latest, refs_of, split_fields
-from ..runtime import materialize
+from ..runtime import if_small, materialize
 
 BLOCK = 256
-#: Rows of compressed runs up to which they are broadcast (some 100 bytes each); beyond it the join shuffles.
-BROADCAST_BLOCKS = 50_000
 
 
 def live_records(objects: DataFrame, carry: tuple[str, ...] = ("cid", "payload")) -> DataFrame:
@@ -50,11 +48,11 @@ def key_runs(keys: DataFrame) -> DataFrame:
     )
 
 
-def orphan_refs(refs: DataFrame, runs: DataFrame, small: bool) -> DataFrame:
-    """The rows of refs (store_id, ref_oid, ...) that no run holds. small: runs has a checked size and is broadcast."""
+def orphan_refs(refs: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows of refs (store_id, ref_oid, ...) that no run holds."""
     r = runs.select(F.col("store_id").alias("r_store_id"), F.col("block").alias("r_block"), "starts", "ends")
     on = (F.col("store_id") == F.col("r_store_id")) & (F.shiftright("ref_oid", 8) == F.col("r_block"))
-    matched = refs.join(F.broadcast(r) if small else r, on, "left")
+    matched = refs.join(if_small(r), on, "left")
     preceding = F.size(F.filter("starts", lambda s: s <= F.col("ref_oid")))
     end = F.get("ends", preceding - 1)
     return matched.where(F.col("starts").isNull() | (preceding == 0) | (F.col("ref_oid") > end)).select(*refs.columns)
@@ -65,9 +63,10 @@ def find_orphans(objects: DataFrame, store_types: DataFrame) -> DataFrame:
     live = live_records(objects).select("store_id", "oid", "tid", "cid", refs_of("payload").alias("refs"))
     live = materialize(live, "live-refs")
     runs = materialize(key_runs(live.select("store_id", "oid")), "key-runs")
-    small = runs.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
     refs = live.select("store_id", "oid", "tid", "cid", F.inline("refs")).withColumnRenamed("ref", "ref_oid")
-    found = orphan_refs(refs, runs, small)
+    # a target that very many records refer to is looked up once
+    lost = materialize(orphan_refs(refs.select("store_id", "ref_oid").distinct(), runs), "lost")
+    found = refs.join(if_small(lost), ["store_id", "ref_oid"], "left_semi")
     return (
         found.join(shapes(store_types), ["store_id", "cid"], "left")
         .select("store_id", "oid", "tid", "name", F.get("fields", F.col("pos")).alias("field"), "ref_oid")
@@ -75,12 +74,12 @@ def find_orphans(objects: DataFrame, store_types: DataFrame) -> DataFrame:
     )
 
 
-def orphan_counts(objects: DataFrame, store_types: DataFrame) -> DataFrame:
-    """(name, month, orphans, targets): orphans per type name and month of commit."""
+def orphan_counts(objects: DataFrame, store_types: DataFrame, period: str = "yyyy-MM") -> DataFrame:
+    """(name, month, orphans, targets): orphans per type name and period of commit (period: a date pattern)."""
     commits = objects.where(F.col("committed_at").isNotNull()).groupBy("store_id", "tid").agg(F.max("committed_at").alias("committed_at"))
     return (
         find_orphans(objects, store_types)
         .join(commits, ["store_id", "tid"], "left")
-        .groupBy("name", F.date_format("committed_at", "yyyy-MM").alias("month"))
+        .groupBy("name", F.date_format("committed_at", period).alias("month"))
         .agg(F.count("*").alias("orphans"), F.countDistinct("store_id", "ref_oid").alias("targets"))
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import socket
+import threading
 import time
 import uuid
 import warnings
@@ -30,8 +31,10 @@ from ..security import Principal
 FORMAT = 1
 #: The first oid. A fixed value of the data model.
 FIRST_OID = 1 << 40
-#: Segments of a type beyond which a commit compacts it.
+#: Segments of a type beyond which a commit compacts it, if the store was opened with auto_compact.
 MAX_SEGMENTS = 16
+#: Seconds after which a lock that nobody renewed may be taken over; its holder renews it four times as often.
+LEASE = 60.0
 
 
 @dataclass
@@ -40,6 +43,8 @@ class Staged:
     rows: DataFrame | None = None
     new: DataFrame | None = None
     deletes: DataFrame | None = None
+    #: Unique keys that the way the rows were made keeps unique.
+    sure: frozenset[str] = frozenset()
 
 
 def shape_projection(entity: EntityType, columns: list[str]) -> list[Column]:
@@ -72,10 +77,21 @@ def newest(rows: DataFrame) -> DataFrame:
     return top.select(OID, *[F.col("_r")[c].alias(c) for c in rest])
 
 
+def _renewed(files: HadoopFiles, name: str, token: str, facts, closed: threading.Event) -> None:
+    """Keeps a lock alive until its writer closes, its process ends, or another one holds it."""
+    while not closed.wait(LEASE / 4):
+        try:
+            if json.loads(files.read(name))["token"] != token:
+                return
+            files.swap(name, facts())
+        except Exception:  # tried again; a lock that can't be renewed runs out
+            continue
+
+
 class Store:
-    def __init__(self, spark: SparkSession, path: str, principal: Principal | None = None, strict_deletes: bool = False, read_only: bool = False):
+    def __init__(self, spark: SparkSession, path: str, principal: Principal | None = None, strict_deletes: bool = False, read_only: bool = False, auto_compact: bool = False):
         self.spark, self.path = spark, path.rstrip("/")
-        self.principal, self.strict_deletes, self.read_only = principal, strict_deletes, read_only
+        self.principal, self.strict_deletes, self.read_only, self.auto_compact = principal, strict_deletes, read_only, auto_compact
         self.files = HadoopFiles(spark, self.path)
         self._token = uuid.uuid4().hex
         self._staged: dict[str, Staged] = {}
@@ -96,7 +112,7 @@ class Store:
     def _load(self) -> dict:
         name = f"{self.path}/manifest.json"
         if not self.files.exists(name):
-            return {"format": FORMAT, "tid": 0, "next_oid": FIRST_OID, "root": None, "types": [], "segments": [], "commits": []}
+            return {"format": FORMAT, "tid": 0, "next_oid": FIRST_OID, "root": None, "types": [], "segments": []}
         try:
             m = json.loads(self.files.read(name))
         except ValueError as e:
@@ -110,22 +126,39 @@ class Store:
         self.files.swap(f"{self.path}/manifest.json", json.dumps(manifest))
         self.manifest = manifest
 
-    def _lock(self, ttl: float = 3600) -> None:
+    def _lock(self) -> None:
+        """Creates the lock, which only one writer can. One that wasn't renewed for LEASE seconds is moved away first, which again only one can."""
         name = f"{self.path}/writer.lock"
-        if self.files.exists(name):
-            held = json.loads(self.files.read(name) or "{}")
-            if time.time() - held.get("at", 0) < ttl:
-                raise StoreLocked(f"{self.path} is written by {held.get('host')}")
-        self.files.swap(name, json.dumps({"token": self._token, "host": socket.gethostname(), "at": time.time()}))
+        facts = lambda: json.dumps({"token": self._token, "host": socket.gethostname(), "at": time.time()})
+        for _ in range(2):
+            try:
+                self.files.write(name, facts(), overwrite=False)
+                break
+            except Exception as e:
+                held = self._held()
+                if held is not None and time.time() - held.get("at", 0) < LEASE:
+                    raise StoreLocked(f"{self.path} is written by {held.get('host')}") from e
+                if held is not None:
+                    self.files.move(name, f"{name}.{self._token}")
+                    self.files.delete(f"{name}.{self._token}")
         self._still_locked()
+        self._closed = threading.Event()
+        threading.Thread(target=_renewed, args=(self.files, name, self._token, facts, self._closed), daemon=True).start()
+
+    def _held(self) -> dict | None:
+        try:
+            return json.loads(self.files.read(f"{self.path}/writer.lock"))
+        except Exception:  # gone, or being written
+            return None
 
     def _still_locked(self) -> None:
-        name = f"{self.path}/writer.lock"
-        if not self.files.exists(name) or json.loads(self.files.read(name))["token"] != self._token:
+        held = self._held()
+        if held is None or held["token"] != self._token:
             raise StoreLocked(f"another writer took over {self.path}")
 
     def close(self) -> None:
         if not self.read_only:
+            self._closed.set()
             self._still_locked()
             self.files.delete(f"{self.path}/writer.lock")
             self.read_only = True
@@ -193,7 +226,9 @@ class Store:
     def _stage(self, entity: EntityType) -> Staged:
         if not isinstance(entity, EntityType):
             raise NotAnEntity(f"{entity!r} is no entity type")
-        return self._staged.setdefault(entity.name, Staged(entity))
+        staged = self._staged.setdefault(entity.name, Staged(entity))
+        staged.sure = frozenset()
+        return staged
 
     def insert(self, entity: EntityType, rows: DataFrame) -> None:
         """New records; absent fields get their defaults."""
@@ -228,22 +263,26 @@ class Store:
         elif not entity.field(key).unique:
             raise QueryError(f"{entity.name}.{key} is not unique")
         given = [c for c in rows.columns if c in entity.fields]
-        if rows.where(F.col(f"`{key}`").isNull()).take(1):
-            raise QueryError(f"{entity.name}.{key} is null in an upsert")
         keep = [c for c in given if c != key]
         by = F.struct(*([order] if order else []), *[f"`{c}`" for c in keep])
         source = rows.groupBy(key).agg(F.max(by).alias("_w")).select(F.col(key).alias("_k"), *[F.col("_w")[c].cast(entity.columns[c]).alias(f"_n_{c}") for c in keep])
         now = self.extent(entity).rows
-        met = materialize(source.join(now, F.col("_k").eqNullSafe(F.col(f"`{key}`")), "left"), "upsert")
         changed = reduce(lambda a, b: a | b, [~F.col(f"_n_{c}").eqNullSafe(F.col(f"`{c}`")) for c in keep], F.lit(False))
-        hit = met.where(F.col(OID).isNotNull() & changed)
-        if entity.frozen and hit.take(1):
+        met = source.join(now, F.col("_k") == F.col(f"`{key}`"), "left").withColumn("_way", F.when(F.col("_k").isNull(), "null").when(F.col(OID).isNull(), "new").when(changed, "hit"))
+        met = materialize(met.where("_way is not null"), "upsert")
+        ways = {r["_way"]: r["count"] for r in met.groupBy("_way").count().collect()}
+        if "null" in ways:
+            raise QueryError(f"{entity.name}.{key} is null in an upsert")
+        if entity.frozen and "hit" in ways:
             raise FrozenEntity(f"{entity.name} is append-only")
-        merged = lambda c, t: F.col(f"_n_{c}").alias(c) if c in keep else F.col(f"`{c}`")
-        if not entity.frozen:
-            self.update(entity, hit.select(OID, *[merged(c, t) for c, t in entity.columns.items()]))
-        fresh = met.where(F.col(OID).isNull())
-        self.insert(entity, fresh.select(F.col("_k").alias(key), *[F.col(f"_n_{c}").alias(c) for c in keep]))
+        alone = entity.name not in self._staged
+        merged = lambda c: F.col(f"_n_{c}").alias(c) if c in keep else F.col(f"`{c}`")
+        if "hit" in ways:
+            self.update(entity, met.where("_way = 'hit'").select(OID, *[merged(c) for c in entity.columns]))
+        if "new" in ways:
+            self.insert(entity, met.where("_way = 'new'").select(F.col("_k").alias(key), *[F.col(f"_n_{c}").alias(c) for c in keep]))
+        if ways and alone:
+            self._stage(entity).sure = frozenset([key])  # each key comes once, with the record that has it
 
     def discard(self) -> None:
         self._staged.clear()
@@ -266,53 +305,72 @@ class Store:
         place = F.col("_at").bitwiseAND((1 << 33) - 1)
         return fixed.join(F.broadcast(base), task == F.col("_task")).withColumn(OID, F.col("_base") + place).drop("_at", "_task", "_base"), start
 
-    def commit(self, actor: int | None = None, expected: int | None = None) -> int | None:
-        """Writes what is staged as the next transaction; None if nothing is. A refusal leaves store and stage as they were."""
+    def commit(self, actor: int | None = None, expected: int | None = None, since: int | None = None) -> int | None:
+        """Writes what is staged as the next transaction; None if nothing is. A refusal leaves store and stage as they were.
+
+        expected: the store must still be at that transaction. since: the records staged must not have changed after it.
+        Each type's segment is written first; the checks read it there, and the manifest makes it count.
+        """
         if expected is not None and expected != self.tid:
             raise Conflict(f"the store is at {self.tid}, the change was made on {expected}")
         tid, next_oid = self.tid + 1, self.manifest["next_oid"]
         types, segments = list(self.manifest["types"]), []
         prepared: list[tuple[EntityType, DataFrame, DataFrame]] = []
-        for s in self._staged.values():
-            e = s.entity
-            upserts = s.rows
-            if s.new is not None:
-                new = security.born(s.new, self.principal or security.ROOT) if e.protected else s.new
-                new, next_oid = self._new_oids(new, next_oid)
-                new = new.select(OID, *[f"`{c}`" for c in e.columns])
-                upserts = new if upserts is None else upserts.unionByName(new)
-            current = self.extent(e).rows if self._segments(e.name, self.tid) else None
-            deletes = s.deletes
-            if deletes is not None:
-                deletes = materialize(deletes.join(current.select(OID), OID, "left_semi") if current is not None else deletes.limit(0), "deletes")
-            if upserts is not None and deletes is not None:
-                upserts = upserts.join(deletes, OID, "left_anti")
-            upserts = materialize(upserts, "upserts") if upserts is not None else None
-            empty = self.spark.createDataFrame([], f"{OID} bigint")
-            self._check(e, upserts, deletes if deletes is not None else empty, current)
-            if upserts is not None and upserts.take(1) or deletes is not None and deletes.take(1):
-                prepared.append((e, upserts, deletes))
-        if self.strict_deletes:
-            self._check_dangling(prepared)
+        try:
+            for s in self._staged.values():
+                e = s.entity
+                current = self.extent(e).rows if self._segments(e.name, self.tid) else None
+                rows, next_oid = self._segment_rows(s, current, tid, next_oid)
+                name = f"{e.name}-{tid:012d}-{uuid.uuid4().hex}"
+                order = [c for c, f in e.fields.items() if f.sorted or f.index and not f.type.startswith("array")][:1]
+                segments.append({"type": e.name, "path": name, "cid": self._shape(types, e), "low": tid, "high": tid})
+                rows.sortWithinPartitions(*order, OID).write.parquet(f"{self.path}/data/{name}")
+                made = self.spark.read.schema(rows.schema).parquet(f"{self.path}/data/{name}")
+                gone = made.where(F.col(DELETED)).select(OID)
+                upserts = made.where(~F.col(DELETED)).select(OID, *[f"`{c}`" for c in e.columns]) if s.rows is not None or s.new is not None else None
+                if made.limit(1).count():
+                    self._check(e, upserts, gone, current, s.sure, since)
+                    prepared.append((e, upserts, gone))
+                else:
+                    self.files.delete(f"{self.path}/data/{segments.pop()['path']}")
+            if self.strict_deletes:
+                self._check_dangling(prepared)
+        except Exception:
+            for made in segments:
+                self.files.delete(f"{self.path}/data/{made['path']}")
+            raise
         if not prepared:
             self._staged.clear()
             return None
-        for e, upserts, deletes in prepared:
-            cid = self._shape(types, e)
-            rows = upserts.select(OID, F.lit(tid).cast("bigint").alias(TID), F.lit(False).alias(DELETED), *[f"`{c}`" for c in e.columns]) if upserts is not None else None
-            if deletes is not None:
-                gone = deletes.select(OID, F.lit(tid).cast("bigint").alias(TID), F.lit(True).alias(DELETED), *[F.lit(None).cast(t).alias(c) for c, t in e.columns.items()])
-                rows = gone if rows is None else rows.unionByName(gone)
-            name = f"{e.name}-{tid:012d}-{uuid.uuid4().hex}"
-            order = [c for c, f in e.fields.items() if f.sorted or f.index and not f.type.startswith("array")][:1]
-            rows.sortWithinPartitions(*order, OID).write.parquet(f"{self.path}/data/{name}")
-            segments.append({"type": e.name, "path": name, "cid": cid, "low": tid, "high": tid})
-        made = {"tid": tid, "actor": actor if actor is not None else (self.principal.uid if self.principal else 0), "at": time.time_ns()}
-        self._save(self.manifest | {"tid": tid, "next_oid": next_oid, "types": types, "segments": self.manifest["segments"] + segments, "commits": self.manifest["commits"] + [made]})
+        facts = {"tid": tid, "actor": actor if actor is not None else (self.principal.uid if self.principal else 0), "at": time.time_ns()}
+        self.files.mkdirs(f"{self.path}/commits")
+        self.files.write(f"{self.path}/commits/{tid:012d}.json", json.dumps(facts))
+        self._save(self.manifest | {"tid": tid, "next_oid": next_oid, "types": types, "segments": self.manifest["segments"] + segments})
         self._staged.clear()
         self._deliver({e.name: e for e, _, _ in prepared})
+        if self.auto_compact:
+            for e, _, _ in prepared:
+                self.compact_if_needed(e)
         return tid
 
+    def _segment_rows(self, s: Staged, current: DataFrame | None, tid: int, next_oid: int) -> tuple[DataFrame, int]:
+        """What the segment of a type holds: the rows written and tombstones. Only records that exist are deleted, and a delete wins over a write."""
+        e, upserts, deletes = s.entity, s.rows, s.deletes
+        if s.new is not None:
+            new = security.born(s.new, self.principal or security.ROOT) if e.protected else s.new
+            new, next_oid = self._new_oids(new, next_oid)
+            new = new.select(OID, *[f"`{c}`" for c in e.columns])
+            upserts = new if upserts is None else upserts.unionByName(new)
+        if upserts is not None and deletes is not None:
+            upserts = upserts.join(deletes, OID, "left_anti")
+        stamp = lambda gone: [F.lit(tid).cast("bigint").alias(TID), F.lit(gone).alias(DELETED)]
+        rows = None if upserts is None else upserts.select(OID, *stamp(False), *[f"`{c}`" for c in e.columns])
+        if deletes is not None:
+            known = deletes.limit(0) if current is None else deletes.join(current.select(OID), OID, "left_semi")
+            gone = known.select(OID, *stamp(True), *[F.lit(None).cast(t).alias(c) for c, t in e.columns.items()])
+            rows = gone if rows is None else rows.unionByName(gone)
+        return rows, next_oid
+
     def _shape(self, types: list[dict], e: EntityType) -> int:
         columns = [[n, t] for n, t in e.columns.items()]
         for t in types:
@@ -322,17 +380,17 @@ class Store:
         types.append({"cid": cid, "name": e.name, "columns": columns})
         return cid
 
-    def _check(self, e: EntityType, upserts: DataFrame | None, deletes: DataFrame, current: DataFrame | None) -> None:
+    def _check(self, e: EntityType, upserts: DataFrame | None, deletes: DataFrame, current: DataFrame | None, sure: frozenset[str] = frozenset(), since: int | None = None) -> None:
+        if since is not None and current is not None and since < self.tid:
+            touched = deletes if upserts is None else deletes.unionByName(upserts.select(OID))
+            if bad := current.where(F.col(TID) > since).join(touched, OID, "left_semi").select(OID).take(1):
+                raise Conflict(f"record {bad[0][0]} of {e.name} changed after {since}")
         if upserts is not None:
             for key in e.uniques:
-                c = F.col(f"`{key}`")
-                twice = upserts.where(c.isNotNull()).groupBy(c).count().where("count > 1")
-                if bad := twice.take(1):
-                    raise UniqueViolation(f"{e.name}.{key}: {bad[0][0]!r} comes more than once in the commit")
-                if current is not None:
-                    kept = current.join(deletes, OID, "left_anti").join(upserts.select(OID), OID, "left_anti")
-                    if bad := upserts.where(c.isNotNull()).join(kept.select(c.alias("_k")), c == F.col("_k"), "left_semi").take(1):
-                        raise UniqueViolation(f"{e.name}.{key}: {bad[0][key]!r} is taken")
+                if key in sure:
+                    continue
+                if bad := self.unique_violations(e, key, upserts, deletes, current).take(1):
+                    raise UniqueViolation(f"{e.name}.{key}: {bad[0]['key']!r} " + ("comes more than once in the commit" if bad[0]["fresh"] > 1 else "is taken"))
         if e.protected and self.principal is not None:
             none = self.spark.createDataFrame([], ", ".join([f"{OID} bigint", *[f"`{n}` {t}" for n, t in e.columns.items()]]))
             prior = none if current is None else current.select(OID, *[f"`{c}`" for c in e.columns])
@@ -340,6 +398,18 @@ class Store:
             if e.actor and upserts is not None:
                 security.check_grants(upserts, prior, self.principal)
 
+    @staticmethod
+    def unique_violations(e: EntityType, key: str, upserts: DataFrame, deletes: DataFrame, current: DataFrame | None) -> DataFrame:
+        """(key, fresh, records): values of a unique field that more than one record would have after the writes; fresh counts those written. Nulls are free."""
+        c = F.col(f"`{key}`")
+        every = upserts.select(c.alias("key"), F.lit(1).alias("fresh"))
+        if current is not None:
+            touched = deletes.select(OID).unionByName(upserts.select(OID))
+            kept = current.select(OID, c.alias("key")).join(touched, OID, "left_anti").select("key", F.lit(0).alias("fresh"))
+            every = every.unionByName(kept)
+        met = every.where("key is not null").groupBy("key").agg(F.sum("fresh").alias("fresh"), F.count("*").alias("records"))
+        return met.where("fresh > 0 and records > 1")
+
     def _check_dangling(self, prepared: list[tuple[EntityType, DataFrame, DataFrame]]) -> None:
         from ..errors import DanglingRef
 
@@ -384,10 +454,11 @@ class Store:
                 self.consumers.remove(c)
 
     def delta(self, tid: int, entities: list[EntityType]):
-        """The changes of one transaction with the state before: upserts in order of oid, then tombstones."""
+        """The changes of one transaction with the state before; their order is that of (op descending, oid): upserts by oid, then tombstones."""
         from ..streaming.changes import Delta
 
-        made = next((c for c in self.manifest["commits"] if c["tid"] == tid), {"actor": 0, "at": 0})
+        facts = f"{self.path}/commits/{tid:012d}.json"
+        made = json.loads(self.files.read(facts)) if self.files.exists(facts) else {"actor": 0, "at": 0}
         parts = []
         for e in entities:
             rows = self.versions(e, tid, tid - 1)
@@ -400,7 +471,7 @@ class Store:
                     F.when(F.col(DELETED), "delete").otherwise("upsert").alias("op"), F.col(OID).alias("oid"), F.lit(e.name).alias("type"), F.col(CID).alias("cid"), "payload", "prior"
                 )
             )
-        ops = reduce(DataFrame.unionByName, parts).orderBy(F.desc("op"), "oid")
+        ops = reduce(DataFrame.unionByName, parts)
         shapes = [t for t in self.manifest["types"] if t["name"] in {e.name for e in entities}]
         return Delta(tid=tid, actor=made["actor"], at=made["at"], ops=ops, types=shapes, root=self.root)
 
@@ -465,12 +536,12 @@ class Snapshot:
 
 
 def committing(store: Store, work, retries: int = 3) -> int | None:
-    """Runs work(store) and commits; if another change came first, discards, reloads and tries again."""
+    """Runs work(store) and commits; if one of its records changed meanwhile, discards, reloads and tries again."""
     for attempt in range(retries + 1):
         base = store.tid
         try:
             work(store)
-            return store.commit(expected=base)
+            return store.commit(since=base)
         except Conflict:
             store.discard()
             store.manifest = store._load()

@@ -40,30 +40,54 @@ class Consumer(Protocol):
     def apply(self, delta: Delta) -> bool: ...
 
 
+def in_turn(watermark: int, tid: int, version: int = VERSION) -> bool:
+    """False for a transaction already applied; an error for a gap or another version."""
+    if version != VERSION:
+        raise DeltaFormat(f"version {version} is not {VERSION}")
+    if tid > watermark + 1:
+        raise DeltaGap(f"after {watermark} comes {watermark + 1}, not {tid}")
+    return tid > watermark
+
+
+def refuse_unsound(ops: DataFrame) -> None:
+    """An error for an unknown kind of change, an upsert without payload, a delete without prior, or two changes of one record in one transaction."""
+    wrong = F.coalesce(~F.col("op").isin("upsert", "delete"), F.lit(True)) | (F.col("op") == "delete") & F.col("prior").isNull() | (F.col("op") == "upsert") & F.col("payload").isNull()
+    by = ["oid", *[c for c in ops.columns if c == "tid"]]
+    if bad := ops.groupBy(*by).agg(F.max(wrong).alias("wrong"), F.count("*").alias("n")).where("wrong or n > 1").take(1):
+        raise DeltaFormat(f"refused: {bad[0]}")
+
+
+def refuse_other_priors(ops: DataFrame, state: DataFrame) -> None:
+    """An error if the prior of a change isn't what state (oid, payload) has: the consumer missed something."""
+    now = state.select(F.col("oid").alias("_oid"), F.col("payload").alias("_now"))
+    if bad := ops.join(now, F.col("oid") == F.col("_oid"), "left").where("not (prior <=> _now)").select("oid").take(1):
+        raise DeltaGap(f"the state before the change of {bad[0][0]} is not the one it was made on")
+
+
 def due(watermark: int, delta: Delta) -> bool:
-    """False for a delta already applied; an error for a gap, another version or an unknown kind of change."""
-    if delta.version != VERSION:
-        raise DeltaFormat(f"version {delta.version} is not {VERSION}")
-    if delta.tid <= watermark:
+    """As in_turn, for a delta; its changes are checked too."""
+    if not in_turn(watermark, delta.tid, delta.version):
         return False
-    if delta.tid != watermark + 1:
-        raise DeltaGap(f"after {watermark} comes {watermark + 1}, not {delta.tid}")
-    if bad := delta.ops.where("op is null or op not in ('upsert', 'delete') or op = 'delete' and prior is null").take(1):
-        raise DeltaFormat(f"refused: {bad[0]}")
+    refuse_unsound(delta.ops)
     return True
 
 
 class Mirror:
-    """A columnar copy: one table of ops per delta and a watermark that moves in the same rename."""
+    """A columnar copy: tables of changes and a watermark that moves in the same rename.
 
-    def __init__(self, spark: SparkSession, path: str, only: list[str] | None = None):
-        self.spark, self.path, self.only = spark, path.rstrip("/"), only
+    max_parts: so many tables are compacted into one; verify: the prior of each change is held against the copy. What an
+    apply that crashed left behind is deleted when the mirror is opened.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, only: list[str] | None = None, max_parts: int = 64, verify: bool = False):
+        self.spark, self.path, self.only, self.max_parts, self.verify = spark, path.rstrip("/"), only, max_parts, verify
         self.files = HadoopFiles(spark, self.path)
         self.files.mkdirs(self.path)
         name = f"{self.path}/mirror.json"
         self.state = json.loads(self.files.read(name)) if self.files.exists(name) else {"watermark": 0, "parts": [], "only": only}
         if self.state["only"] != only:
             raise ConfigDrift(f"{self.path} mirrors {self.state['only']}, not {only}")
+        sweep(self.files, self.path, self.state["parts"])
 
     @property
     def watermark(self) -> int:
@@ -77,12 +101,36 @@ class Mirror:
     def apply(self, delta: Delta) -> bool:
         if not due(self.watermark, delta):
             return False
-        ops = delta.ops if self.only is None else delta.ops.where(F.col("type").isin(self.only))
-        part = f"{delta.tid:012d}-{uuid.uuid4().hex}"
-        ops.select(F.lit(delta.tid).cast("bigint").alias("tid"), "type", "oid", "payload").write.parquet(f"{self.path}/{part}")
-        self._publish(delta.tid, [*self.state["parts"], part])
+        self._add(delta.ops.withColumn("tid", F.lit(delta.tid).cast("bigint")), delta.tid)
         return True
 
+    def apply_range(self, changes: DataFrame, first: int, last: int) -> int:
+        """Transactions first to last, without a gap, in one job; changes as DeltaLog.changes gives them."""
+        if last <= self.watermark or not in_turn(self.watermark, max(first, self.watermark + 1)):
+            return 0
+        changes = changes.where((F.col("tid") > self.watermark) & (F.col("tid") <= last))
+        refuse_unsound(changes.select("tid", "oid", "op", "payload", "prior"))
+        done = last - self.watermark
+        self._add(changes, last)
+        return done
+
+    def _add(self, changes: DataFrame, upto: int) -> None:
+        ops = changes if self.only is None else changes.where(F.col("type").isin(self.only))
+        if self.verify:
+            first = ops.groupBy("oid").agg(F.min_by("prior", "tid").alias("prior"))
+            refuse_other_priors(first, self._newest())
+        part = f"{upto:012d}-{uuid.uuid4().hex}"
+        ops.select("tid", "type", "oid", "payload").write.parquet(f"{self.path}/{part}")
+        self._publish(upto, [*self.state["parts"], part])
+        if len(self.state["parts"]) > self.max_parts:
+            self.compact()
+
+    def _newest(self) -> DataFrame:
+        ddl = "tid bigint, type string, oid bigint, payload string"
+        parts = [f"{self.path}/{p}" for p in self.state["parts"]]
+        rows = self.spark.read.schema(ddl).parquet(*parts) if parts else self.spark.createDataFrame([], ddl)
+        return rows.groupBy("type", "oid").agg(F.max_by("payload", "tid").alias("payload")).where("payload is not null")
+
     def bootstrap(self, rows: DataFrame, tid: int) -> None:
         """Starts from a whole state (type, oid, payload); the watermark is set last."""
         part = f"{tid:012d}-{uuid.uuid4().hex}"
@@ -91,12 +139,7 @@ class Mirror:
 
     def table(self, typename: str, schema: str | None = None) -> DataFrame:
         """The live records of a type, their payload parsed if a schema is given."""
-        ddl = "tid bigint, type string, oid bigint, payload string"
-        if not self.state["parts"]:
-            rows = self.spark.createDataFrame([], ddl)
-        else:
-            rows = self.spark.read.schema(ddl).parquet(*[f"{self.path}/{p}" for p in self.state["parts"]])
-        now = rows.where(F.col("type") == typename).groupBy("oid").agg(F.max_by("payload", "tid").alias("payload")).where("payload is not null")
+        now = self._newest().where(F.col("type") == typename).select("oid", "payload")
         return now if schema is None else now.select("oid", F.inline(F.array(F.from_json("payload", schema))))
 
     def inferred(self, typename: str) -> DataFrame:
@@ -122,6 +165,14 @@ class Mirror:
             self.files.delete(f"{self.path}/{p}")
 
 
+def sweep(files: HadoopFiles, path: str, named: list[str]) -> None:
+    """Deletes the tables under path that no state names."""
+    for folder in files.list(path):
+        name = folder.rsplit("/", 1)[-1]
+        if name not in named and re.fullmatch(r"\d{12}-[0-9a-f]{32}", name):
+            files.delete(folder)
+
+
 class CountingConsumer:
     """Live records per type, kept from the deltas alone."""
 
@@ -131,37 +182,75 @@ class CountingConsumer:
     def apply(self, delta: Delta) -> bool:
         if not due(self.watermark, delta):
             return False
-        step = F.when((F.col("op") == "upsert") & F.col("prior").isNull(), 1).when(F.col("op") == "delete", -1).otherwise(0)
-        for r in delta.ops.groupBy("type").agg(F.sum(step).alias("n")).collect():
-            self.counts[r["type"]] = self.counts.get(r["type"], 0) + r["n"]
+        self._count(delta.ops)
         self.watermark = delta.tid
         return True
 
+    def apply_range(self, changes: DataFrame, first: int, last: int) -> int:
+        if last <= self.watermark or not in_turn(self.watermark, max(first, self.watermark + 1)):
+            return 0
+        changes, done = changes.where((F.col("tid") > self.watermark) & (F.col("tid") <= last)), last - self.watermark
+        refuse_unsound(changes.select("tid", "oid", "op", "payload", "prior"))
+        self._count(changes)
+        self.watermark = last
+        return done
+
+    def _count(self, ops: DataFrame) -> None:
+        step = F.when((F.col("op") == "upsert") & F.col("prior").isNull(), 1).when(F.col("op") == "delete", -1).otherwise(0)
+        for r in ops.groupBy("type").agg(F.sum(step).alias("n")).collect():
+            self.counts[r["type"]] = self.counts.get(r["type"], 0) + r["n"]
+
 
 class DeltaLog:
-    """An append-only table of every delta, read back in order from any transaction on."""
+    """An append-only table of every delta, read back in order from any transaction on. What a crashed apply left is deleted on opening.
+
+    genesis is the transaction the log begins after; with a snapshot (type, oid, payload) and its types, as bootstrap
+    takes them, a replay from genesis starts from that state.
+    """
 
     def __init__(self, spark: SparkSession, path: str, genesis: int = 0):
         self.spark, self.path = spark, path.rstrip("/")
         self.files = HadoopFiles(spark, self.path)
         self.files.mkdirs(self.path)
         name = f"{self.path}/log.json"
-        self.state = json.loads(self.files.read(name)) if self.files.exists(name) else {"genesis": genesis, "watermark": genesis, "parts": []}
+        self.state = json.loads(self.files.read(name)) if self.files.exists(name) else {"genesis": genesis, "watermark": genesis, "parts": [], "snapshot": None, "types": []}
+        sweep(self.files, self.path, [h["path"] for h in self.state["parts"]] + [self.state["snapshot"]])
 
     @property
     def watermark(self) -> int:
         return self.state["watermark"]
 
+    def _publish(self, state: dict) -> None:
+        self.files.swap(f"{self.path}/log.json", json.dumps(state))
+        self.state = state
+
+    def bootstrap(self, rows: DataFrame, tid: int, types: list[dict]) -> None:
+        """Begins the log after tid, from a whole state (type, oid, payload) and the shapes it was written in."""
+        if self.state["parts"]:
+            raise DeltaGap(f"{self.path} has deltas already")
+        part = f"{tid:012d}-{uuid.uuid4().hex}"
+        rows.select("type", "oid", "payload").write.parquet(f"{self.path}/{part}")
+        self._publish({"genesis": tid, "watermark": tid, "parts": [], "snapshot": part, "types": types})
+
+    def genesis(self) -> tuple[DataFrame, int, list[dict]]:
+        """The state that the log begins from, its transaction and its shapes."""
+        ddl, part = "type string, oid bigint, payload string", self.state["snapshot"]
+        rows = self.spark.read.schema(ddl).parquet(f"{self.path}/{part}") if part else self.spark.createDataFrame([], ddl)
+        return rows, self.state["genesis"], self.state["types"]
+
     def apply(self, delta: Delta) -> bool:
-        if not due(self.watermark, delta):
+        if not in_turn(self.watermark, delta.tid, delta.version):
             return False
         part = f"{delta.tid:012d}-{uuid.uuid4().hex}"
         rows = delta.ops.select(F.lit(delta.tid).cast("bigint").alias("tid"), F.lit(delta.actor).cast("bigint").alias("actor"), F.lit(delta.at).cast("bigint").alias("at"), "op", "oid", "type", "cid", "payload", "prior")
-        rows.coalesce(1).write.parquet(f"{self.path}/{part}")
+        rows.sortWithinPartitions(F.desc("op"), "oid").write.parquet(f"{self.path}/{part}")
+        try:
+            refuse_unsound(self.spark.read.schema(LOG).parquet(f"{self.path}/{part}").select("oid", "op", "payload", "prior"))
+        except DeltaFormat:
+            self.files.delete(f"{self.path}/{part}")
+            raise
         head = {"tid": delta.tid, "path": part, "actor": delta.actor, "at": delta.at, "root": delta.root, "types": delta.types}
-        state = self.state | {"watermark": delta.tid, "parts": [*self.state["parts"], head]}
-        self.files.swap(f"{self.path}/log.json", json.dumps(state))
-        self.state = state
+        self._publish(self.state | {"watermark": delta.tid, "parts": [*self.state["parts"], head]})
         return True
 
     def replay(self, after: int = 0) -> Iterator[Delta]:
@@ -179,7 +268,9 @@ class DeltaLog:
 
     def state_digest(self) -> str:
         """A hash of the replayed state that doesn't depend on the order in which it is read."""
-        now = self.changes().groupBy("oid").agg(F.max_by(F.struct("type", "payload"), "tid").alias("r")).where("r.payload is not null")
+        start = self.genesis()[0].select("oid", F.lit(self.state["genesis"]).cast("bigint").alias("tid"), "type", "payload")
+        every = start.unionByName(self.changes(self.state["genesis"]).select("oid", "tid", "type", "payload"))
+        now = every.groupBy("oid").agg(F.max_by(F.struct("type", "payload"), "tid").alias("r")).where("r.payload is not null")
         row = F.sha2(F.concat_ws("\x1f", F.col("oid").cast("string"), "r.type", "r.payload"), 256)
         half = lambda at: F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)"))
         r = now.agg(F.count("*").alias("n"), *[half(1 + 15 * i).alias(f"h{i}") for i in range(4)]).first()
@@ -187,7 +278,14 @@ class DeltaLog:
 
 
 def catch_up(consumer: Consumer, log: DeltaLog) -> int:
-    """Applies what the consumer lacks; gives the number of deltas applied."""
+    """Applies what the consumer lacks; gives the number of deltas applied. A consumer that takes ranges gets all of it at once."""
+    if consumer.watermark < log.state["genesis"] and log.state["snapshot"] and hasattr(consumer, "bootstrap"):
+        rows, tid, _ = log.genesis()
+        consumer.bootstrap(rows, tid)
+    if consumer.watermark < log.state["genesis"]:
+        raise DeltaGap(f"the log begins after {log.state['genesis']}")
+    if hasattr(consumer, "apply_range"):
+        return consumer.apply_range(log.changes(consumer.watermark), consumer.watermark + 1, log.watermark) if log.watermark > consumer.watermark else 0
     return sum(consumer.apply(d) for d in log.replay(consumer.watermark))
 
 
@@ -202,6 +300,7 @@ def check_consumer(make: Callable[[], Any], deltas: list[Delta], content: Callab
         (replace(deltas[-1], tid=deltas[-1].tid + 2), DeltaGap),
         (replace(deltas[-1], tid=deltas[-1].tid + 1, version=VERSION + 1), DeltaFormat),
         (replace(deltas[-1], tid=deltas[-1].tid + 1, ops=deltas[-1].ops.withColumn("op", F.lit("?"))), DeltaFormat),
+        (replace(deltas[-1], tid=deltas[-1].tid + 1, ops=deltas[-1].ops.withColumns({"op": F.lit("delete"), "prior": F.lit(None).cast("string")})), DeltaFormat),
     ):
         try:
             whole.apply(bad)
@@ -214,6 +313,15 @@ def check_consumer(make: Callable[[], Any], deltas: list[Delta], content: Callab
     for d in deltas:
         again.apply(replace(d, actor=d.actor + 1, at=d.at + 1))
     assert content(again) == once, "the content depends on actor or time"
+    # a record must leave by its prior alone: what the last delta wrote, deleted again, ends as if it had been deleted instead
+    ops = deltas[-1].ops.where("op = 'upsert'")
+    undone = replace(deltas[-1], tid=deltas[-1].tid + 1, ops=ops.withColumns({"op": F.lit("delete"), "prior": F.col("payload"), "payload": F.lit(None).cast("string")}))
+    without = make()
+    for d in deltas[:-1]:
+        without.apply(d)
+    without.apply(replace(deltas[-1], ops=deltas[-1].ops.where("op = 'delete' or prior is not null").withColumns({"op": F.lit("delete"), "payload": F.lit(None).cast("string")})))
+    without.apply(replace(undone, ops=undone.ops.limit(0)))
+    assert whole.apply(undone) is True and content(whole) == content(without), "a delete left something of its record behind"
 
 
 class ChangeReader(DataSourceStreamReader):
