@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..errors import Conflict
 from ..functions.records import intact_rows, leading_number
-from ..runtime import HadoopFiles, is_small, materialize
+from ..runtime import HadoopFiles, if_small, is_small, materialize
 
 #: The consumers of a store. A fixed value of the data.
 CONSUMERS = ("mirror", "fts", "deltalog")
@@ -34,8 +34,10 @@ CONSUMERS = ("mirror", "fts", "deltalog")
 BUCKET = 16
 #: Buckets of one run made at once, so that a run over many transactions makes no array without end.
 SPAN = 4096
-#: Parts into which the versions of one transaction are split where they meet its runs by a shuffle.
-SALTS = 16
+#: Parts into which the versions of a hot transaction are split.
+SALTS = 64
+#: Versions of a transaction beyond which it is joined by salted keys.
+HOT = 1_000_000
 #: Parts of a ledger beyond which a run compacts it.
 MAX_PARTS = 16
 
@@ -95,11 +97,11 @@ def taken_transactions(moments: DataFrame, buckets: DataFrame) -> DataFrame:
 
 
 def reread_transactions(versions: DataFrame, buckets: DataFrame, consumers: tuple[str, ...] = CONSUMERS) -> DataFrame:
-    """(store_id, tid, consumer, taken_at) of the transactions at or after the oldest open one of their bucket.
+    """(store_id, tid, consumer, taken_at, n) of the transactions at or after the oldest open one of their bucket; n is how many versions each holds.
 
     A transaction is open for a consumer if no successful run covered it, or if a version of it came after every run that did.
     """
-    moments = versions.groupBy("store_id", "tid").agg(F.max("available").alias("closed_at"), F.max(F.col("available").isNull()).alias("unknown"))
+    moments = versions.groupBy("store_id", "tid").agg(F.max("available").alias("closed_at"), F.max(F.col("available").isNull()).alias("unknown"), F.count("*").alias("n"))
     moments = materialize(moments, "transactions")
     taken = taken_transactions(moments.select("store_id", "tid"), buckets).groupBy("store_id", "tid").agg(F.map_from_entries(F.collect_list(F.struct("consumer", "taken_at"))).alias("taken"))
     each = moments.join(taken, ["store_id", "tid"], "left").withColumn("consumer", F.explode(F.array(*[F.lit(c) for c in consumers])))
@@ -107,18 +109,27 @@ def reread_transactions(versions: DataFrame, buckets: DataFrame, consumers: tupl
     is_open = F.col("taken_at").isNull() | F.col("unknown") | (F.col("closed_at") > F.col("taken_at"))
     # the transactions of a bucket are few: their list is filtered from the oldest open one on
     listed = each.groupBy("store_id", _bucket(F.col("tid")).alias("bucket"), "consumer").agg(
-        F.min(F.when(is_open, F.col("tid"))).alias("reread_tid"), F.collect_list(F.struct("tid", "taken_at")).alias("t")
+        F.min(F.when(is_open, F.col("tid"))).alias("reread_tid"), F.collect_list(F.struct("tid", "taken_at", "n")).alias("t")
     )
     kept = listed.where("reread_tid is not null").select("store_id", "consumer", F.inline(F.filter("t", lambda t: t["tid"] >= F.col("reread_tid"))))
-    return kept.select("store_id", "tid", "consumer", "taken_at")
+    return kept.select("store_id", "tid", "consumer", "taken_at", "n")
 
 
 def reread(versions: DataFrame, transactions: DataFrame) -> DataFrame:
-    """The versions (store_id, oid, tid, available) of some transactions, once for each consumer. A transaction may hold any number of versions: where its key is shuffled it is salted."""
+    """The versions (store_id, oid, tid, available) of some transactions, once for each consumer.
+
+    A transaction may hold any number of versions: those of more than HOT are joined apart, by salted keys.
+    """
     if is_small(transactions):
         return versions.join(F.broadcast(transactions), ["store_id", "tid"])
-    salted = transactions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return versions.withColumn("salt", F.pmod(F.xxhash64("oid"), F.lit(SALTS)).cast("int")).join(salted, ["store_id", "tid", "salt"]).drop("salt")
+    hot = transactions.where(F.col("n") > HOT)
+    if not hot.limit(1).count():
+        return versions.join(transactions, ["store_id", "tid"])
+    keys = hot.select("store_id", "tid").distinct()
+    cold = versions.join(if_small(keys), ["store_id", "tid"], "left_anti").join(transactions.where(F.col("n") <= HOT), ["store_id", "tid"])
+    salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("oid"), F.lit(SALTS)).cast("int")
+    return cold.unionByName(versions.withColumn("salt", salt).join(if_small(salted), ["store_id", "tid", "salt"]).drop("salt"))
 
 
 def outside_ledger(rows: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,8 +143,8 @@ def untaken(objects: DataFrame, consumer_runs: DataFrame, meta: DataFrame) -> Da
     """(consumer, store_id, oid, tid): for each consumer the versions that no successful run of it took."""
     versions = materialize(record_versions(objects), "versions")
     bounds = versions.groupBy("store_id").agg(F.min("tid").alias("low"), F.max("tid").alias("high"))
-    again = materialize(reread_transactions(versions, run_buckets(successful_runs(consumer_runs, meta), bounds)), "reread")
-    rows = reread(versions, again)
+    again = materialize(reread_transactions(versions, run_buckets(successful_runs(consumer_runs, meta), bounds)), "open")
+    rows = materialize(reread(versions, again).select("consumer", "store_id", "oid", "tid", "available", "taken_at"), "reread")
     ledger = rows.where(F.col("available") <= F.col("taken_at"))
     keys = ["consumer", "store_id", "oid", "tid"]
     return outside_ledger(rows.select(*keys), ledger, keys)

@@ -78,8 +78,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size <= SPREAD_BYTES and 0 < len(df.inputFiles()) < cores // 2 else df
 
 
-#: Bytes on disk up to which a table may be broadcast; in memory it takes some ten times as much.
-BROADCAST_BYTES = 1 << 20
+#: Bytes on disk, and rows, up to which a table may be broadcast; columns of equal values compress so well that bytes alone tell little.
+BROADCAST_BYTES, BROADCAST_ROWS = 1 << 20, 20_000
 
 
 def disk_bytes(df: DataFrame) -> int:
@@ -89,8 +89,8 @@ def disk_bytes(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
-    """True if what df reads is at most BROADCAST_BYTES on disk."""
-    return disk_bytes(df) <= BROADCAST_BYTES
+    """True if what df reads is at most BROADCAST_BYTES on disk, and df has at most BROADCAST_ROWS rows."""
+    return disk_bytes(df) <= BROADCAST_BYTES and df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def if_small(df: DataFrame) -> DataFrame:
@@ -112,6 +112,9 @@ class HadoopFiles:
     def delete(self, path: str) -> bool:
         return self._fs.delete(self._path(path), True)
 
+    def move(self, old: str, new: str) -> bool:
+        return self._fs.rename(self._path(old), self._path(new))
+
     def mkdirs(self, path: str) -> bool:
         return self._fs.mkdirs(self._path(path))
 

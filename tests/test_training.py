@@ -88,11 +88,14 @@ def number(text):
     return int(m[1]) if m else None
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_untaken(spark, seed, monkeypatch):
+    if seed == 3:
+        monkeypatch.setattr(incremental, "is_small", lambda df: False)
     if seed == 2:
         monkeypatch.setattr(incremental, "is_small", lambda df: False)
         monkeypatch.setattr(incremental, "SPAN", 2)
+        monkeypatch.setattr(incremental, "HOT", 3)
     rng = random.Random(seed)
     rows, (runs, meta) = log(rng), runs_and_meta(rng)
     got = incremental.untaken(objects(spark, rows), spark.createDataFrame(runs, RUNS), spark.createDataFrame(meta, META)).collect()
@@ -181,7 +184,7 @@ def store_types(spark, rows=None):
 @pytest.mark.parametrize("small", [True, False])
 def test_orphans(spark, small, monkeypatch):
     if not small:
-        monkeypatch.setattr(orphans, "BROADCAST_BLOCKS", 0)
+        monkeypatch.setattr(orphans, "if_small", lambda df: df)
     rows = log(random.Random(5))
     got = {tuple(r) for r in orphans.find_orphans(objects(spark, rows), store_types(spark)).select("store_id", "oid", "field", "ref_oid").collect()}
     now = current(rows)
