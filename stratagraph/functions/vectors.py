@@ -127,7 +127,7 @@ def fuse_ranked(found: DataFrame, key: str, k: int = 60) -> DataFrame:
 
 
 def fuse(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of short ranked lists (key, score): the sum of 1 / (k + rank), ranks from 1."""
-    order = Window.orderBy(F.desc("score"), F.asc(key))
-    ranked = [x.select(key, (F.lit(1.0) / (k + F.row_number().over(order))).alias("part")) for x in lists]
-    return reduce(DataFrame.unionByName, ranked).groupBy(key).agg(F.sum("part").alias("score"))
+    """Reciprocal rank fusion of ranked lists (key, score): the sum of 1 / (k + rank), ranks from 1. Each list is ranked by itself."""
+    named = reduce(DataFrame.unionByName, [x.select(key, "score", F.lit(n).alias("list")) for n, x in enumerate(lists)])
+    order = Window.partitionBy("list").orderBy(F.desc("score"), F.asc(key))
+    return fuse_ranked(named.withColumn("rank", F.row_number().over(order)), key, k)

@@ -38,21 +38,30 @@ def follow(child: DataFrame, field: str, parent: DataFrame, prefix: str = "to_")
     return child.join(p, F.col(f"`{field}`") == F.col(prefix + OID), "left")
 
 
+#: Links that one round of a walk follows.
+HOPS = 4
+
+
 def closure(links: DataFrame, seeds: DataFrame, reverse: bool = False, max_depth: int | None = None) -> DataFrame:
     """(seed, node, depth): what each seed reaches, with the least number of links; cycles end where they close.
 
-    links (src, dst); reverse walks from dst to src. Each round joins only the nodes of the last round with the links and
-    drops those already met by an anti-join; rounds are written tables, so a lost executor costs one round.
+    links (src, dst); reverse walks from dst to src. Each round follows HOPS links from the nodes of the greatest depth
+    so far, and an anti-join drops what was met before; rounds are written tables, so a lost executor costs one round.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     step = materialize(links.select(F.col(a).alias("node"), F.col(b).alias("next")).where("node is not null and next is not null").distinct(), "links")
     met = materialize(seeds.select(F.col(OID).alias("seed"), F.col(OID).alias("node"), F.lit(0).alias("depth")).distinct(), "closure")
-    rounds, front = [met], met
-    while front.take(1) and (max_depth is None or len(rounds) <= max_depth):
-        reached = front.join(step, "node").select("seed", F.col("next").alias("node")).distinct()
+    rounds, depth = [met], 0
+    while rounds[-1].where(F.col("depth") == depth).take(1) and (max_depth is None or depth < max_depth):
+        last = depth if max_depth is None else min(depth, max_depth - HOPS)
+        level, levels = rounds[-1].where(F.col("depth") == depth).select("seed", "node"), []
+        for hop in range(depth + 1, last + HOPS + 1):
+            level = level.join(step, "node").select("seed", F.col("next").alias("node")).distinct()
+            levels.append(level.withColumn("depth", F.lit(hop)))
+        reached = reduce(DataFrame.unionByName, levels).groupBy("seed", "node").agg(F.min("depth").alias("depth"))
         seen = reduce(DataFrame.unionByName, rounds).select("seed", "node")
-        front = materialize(reached.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(len(rounds))), "closure")
-        rounds.append(front)
+        rounds.append(materialize(reached.join(seen, ["seed", "node"], "left_anti"), "closure"))
+        depth = last + HOPS
     return reduce(DataFrame.unionByName, rounds)
 
 

@@ -10,7 +10,11 @@ from ..operators import analytics, graph, hierarchy
 from ..plans.extent import Extent
 from ..runtime import fresh_path, read_table
 from ..schema import DELETED, OID, TID, EntityType, Field, fields
+from .. import security
+from ..errors import EngineError, WriteDenied
 from ..security import STAFF, VIEWER, Principal, read_filter, redacted
+from ..sources import files
+from ..sources.blobs import BlobTable
 from ..sources.store import Store, newest
 from ..streaming.changes import CountingConsumer, DeltaLog, Mirror, catch_up
 
@@ -136,10 +140,6 @@ def _roots_and_links(s, d):
 
 
 def closure_depth(s, d):
-    return graph.closure(*_roots_and_links(s, d), reverse=True, max_depth=6)
-
-
-def closure_whole(s, d):
     return graph.closure(*_roots_and_links(s, d), reverse=True)
 
 
@@ -185,9 +185,8 @@ def live_counts(s, d):
     return analytics.live_counts(log, "kind", ["user_id"], "event_id", "gone")
 
 
-def _store(s, d) -> tuple[Store, EntityType]:
+def _commits(store: Store, s, d) -> None:
     """Three commits: every customer; changed balances of one segment; deletes of negative ones."""
-    store = Store.open(s, fresh_path(s, "store"))
     rows = read_table(s, d, "customer").select(*CUSTOMER.fields)
     store.insert(CUSTOMER, rows)
     store.commit()
@@ -195,6 +194,11 @@ def _store(s, d) -> tuple[Store, EntityType]:
     store.commit()
     store.delete(CUSTOMER, store.extent(CUSTOMER).where(C.c_acctbal < 0))
     store.commit()
+
+
+def _store(s, d) -> tuple[Store, EntityType]:
+    store = Store.open(s, fresh_path(s, "store"))
+    _commits(store, s, d)
     return store, CUSTOMER
 
 
@@ -267,17 +271,27 @@ def _fts(query, match):
     return lambda s, d: _index(s, d).search(query, limit=20, match=match).select("oid", F.round("score", 6).alias("score"))
 
 
-def vector_topk(s, d):
-    rows = read_table(s, d, "embeddings")
-    q = rows.orderBy("vec_id").select("embedding").first()[0]
-    return vectors.nearest(rows, "embedding", "vec_id", q, 20).select("vec_id", F.round("score", 6).alias("score"))
+def fts_fenced(s, d):
+    """Of the matches only those that may be read, here the documents with even ids."""
+    readable = read_table(s, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("oid"))
+    return _index(s, d).search("crystal ledger drawer", limit=20, readable=readable).select("oid", F.round("score", 6).alias("score"))
 
 
-def rrf(s, d):
-    rows = read_table(s, d, "embeddings")
-    a, b = [r[0] for r in rows.orderBy("vec_id").select("embedding").take(2)]
-    fused = vectors.fuse([vectors.nearest(rows, "embedding", "vec_id", q, 50) for q in (a, b)], "vec_id")
-    return fused.select("vec_id", F.round("score", 9).alias("score"))
+def fts_stemmed(s, d):
+    """Words and stems of four languages: each document under the language it is written in."""
+    docs = read_table(s, d, "documents").select(F.col("doc_id").alias("oid"), "text", F.lower(F.trim("lang")).alias("lang"))
+    kinds = {lang: {"text": lang} for lang in ("en", "de", "es", "fr")}
+    index = search.FullTextIndex.build(kinds, {lang: docs.where(F.col("lang") == lang) for lang in kinds})
+    path = fresh_path(s, "fts")
+    index.save(path)
+    return search.FullTextIndex.load(s, path, kinds).search("crystals kristalle cristales cristaux", limit=20).select("oid", "type", F.round("score", 6).alias("score"))
+
+
+def fts_highlight(s, d):
+    """The first marked word of each excerpt, and how many are marked."""
+    rows = read_table(s, d, "documents").where("text is not null").select("doc_id", "text")
+    excerpt = _index(s, d).highlighter("ledger")("text")
+    return rows.select("doc_id", excerpt.alias("x")).where("x is not null").select("doc_id", F.lower(F.regexp_extract("x", r"(?i)\[(ledger)\]", 1)).alias("word"))
 
 
 def _nearest_each(s, d, k):
@@ -286,11 +300,11 @@ def _nearest_each(s, d, k):
     return vectors.nearest_each(rows, "embedding", "vec_id", rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), k)
 
 
-def vector_topk_each(s, d):
+def vector_topk(s, d):
     return _nearest_each(s, d, 20).select("query", "vec_id", F.round("score", 6).alias("score"))
 
 
-def rrf_each(s, d):
+def rrf(s, d):
     return vectors.fuse_ranked(_nearest_each(s, d, 50), "vec_id").select("vec_id", F.round("score", 9).alias("score"))
 
 
@@ -306,9 +320,192 @@ def checksums(s, d):
     return read_table(s, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
+LINE = EntityType("Line", {"line": Field("string", unique=True)})
+
+
 def unique_violations(s, d):
-    rows = read_table(s, d, "lineitem")
-    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    """The store's own check of a unique field, over line items under order and number."""
+    rows = read_table(s, d, "lineitem").select(F.monotonically_increasing_id().alias(OID), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
+    return Store.unique_violations(LINE, "line", rows, rows.select(OID).limit(0), None).select(F.col("key").alias("line"), F.col("records").alias("n"))
+
+
+def fetch_batch(s, d):
+    return customers(s, d).fetch(range(1, 4000, 7)).select("c_custkey", "c_name")
+
+
+def deref_strict(s, d):
+    refs = read_table(s, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("key"))
+    return customers(s, d).deref(refs).select("ord", "key", "c_mktsegment")
+
+
+def pages(s, d):
+    """Three pages side by side: no row twice, none left out."""
+    x = customers(s, d)
+    each = [x.pluck(None, "c_custkey", "c_nationkey", order_by=("c_nationkey", "desc"), offset=100 * n, limit=100).withColumn("page", F.lit(n)) for n in range(3)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def snapshot_incoming(s, d):
+    """Who referred to rich customers in transaction 1, though some orders were deleted in transaction 2."""
+    store = Store.open(s, fresh_path(s, "orders"))
+    store.insert(ORDER, read_table(s, d, "orders").select(*ORDER.fields))
+    store.commit()
+    store.delete(ORDER, store.extent(ORDER).where(O_.o_orderstatus == "F"))
+    store.commit()
+    then = store.snapshot(1)
+    met = then.incoming(customers(s, d).where(C.c_acctbal > 9000), ORDER)
+    return met.join(then.all(ORDER).rows.select(F.col(OID).alias("src"), "o_orderkey"), "src").select("dst", "o_orderkey")
+
+
+def attached_consumers(s, d):
+    """A mirror and a counter attached before the first commit, each change delivered as it is made."""
+    store = Store.open(s, fresh_path(s, "attached"))
+    mirror, counts = Mirror(s, fresh_path(s, "mirror"), max_parts=2, verify=True), CountingConsumer()
+    store.attach(mirror)
+    store.attach(counts)
+    _commits(store, s, d)
+    rows = mirror.table("Customer", "c_custkey bigint, c_acctbal double, c_mktsegment string")
+    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total")).withColumn("live", F.lit(counts.counts["Customer"]).cast("bigint"))
+
+
+def log_bootstrap(s, d):
+    """A log begun from the store's state at transaction 2 ends in the same state as one that holds every delta; a mirror catches up from either."""
+    store, e = _store(s, d)
+    whole, late = DeltaLog(s, fresh_path(s, "whole")), DeltaLog(s, fresh_path(s, "late"))
+    deltas = [store.delta(tid, [e]) for tid in range(1, store.tid + 1)]
+    for x in deltas:
+        whole.apply(x)
+    rows = store.snapshot(2).all(e).rows.select(F.lit(e.name).alias("type"), F.col(OID).alias("oid"), F.to_json(F.struct(*e.columns), {"ignoreNullFields": "false"}).alias("payload"))
+    late.bootstrap(rows, 2, deltas[1].types)
+    late.apply(deltas[2])
+    mirror = Mirror(s, fresh_path(s, "mirror"))
+    catch_up(mirror, late)
+    same = whole.state_digest() == late.state_digest()
+    return mirror.table("Customer", "c_custkey bigint, c_acctbal double").select("c_custkey", "c_acctbal", F.lit(same).alias("same"))
+
+
+def inferred_columns(s, d):
+    """Columns as the mirrored values ask: integers and floats widen, what is neither stays text."""
+    rows = read_table(s, d, "events")
+    loose = F.when(F.col("event_type") == "click", F.floor("value").cast("string")).otherwise(F.col("value").cast("string"))
+    payload = F.concat(F.lit('{"event_id": '), "event_id", F.lit(', "amount": '), loose, F.lit(', "kind": "'), "event_type", F.lit('"}'))
+    mirror = Mirror(s, fresh_path(s, "inferred"))
+    mirror.bootstrap(rows.select(F.lit("Event").alias("type"), F.col("event_id").alias("oid"), payload.alias("payload")), 1)
+    return mirror.inferred("Event").select("event_id", F.col("amount").cast("double").alias("amount"), "kind")
+
+
+def migrated(s, d):
+    """A store rewritten under a new shape, and what breaks that shape's rules."""
+    old = EntityType("Reading", {"event_id": Field("bigint", unique=True), "amount": Field("double")})
+    live = EntityType("Reading", {"event_id": Field("bigint", unique=True), "total": Field("double", renamed_from="amount", required=True)})
+    store = Store.open(s, fresh_path(s, "migrated"))
+    store.insert(old, events(s, d).rows.select("event_id", F.col("value").alias("amount")))
+    store.commit()
+    store.migrate(live)
+    bad = store.verify(live).join(store.extent(live).rows.select(OID, "event_id"), OID)
+    return bad.select("event_id", "problem")
+
+
+def file_import(s, d):
+    """Nations written as CSV and as JSON lines, read back with a schema."""
+    path, rows = fresh_path(s, "files"), read_table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    rows.write.option("header", True).csv(f"{path}/csv")
+    rows.write.json(f"{path}/json")
+    return files.csv(s, f"{path}/csv", ddl).withColumn("kind", F.lit("csv")).unionByName(files.json_lines(s, f"{path}/json", ddl).withColumn("kind", F.lit("json")))
+
+
+def blob_ranges(s, d):
+    """The bytes 3 to 22 of each document's text, from chunks kept beside the records."""
+    rows = read_table(s, d, "documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("data"))
+    table = BlobTable(s, fresh_path(s, "blobs"))
+    kept = table.write_column(rows, "doc_id", "data")
+    wanted = kept.select(F.col("doc_id").alias("blob_oid"), F.lit(3).cast("bigint").alias("pos"), F.lit(20).cast("bigint").alias("len"))
+    got = table.ranges(wanted).select(F.col("blob_oid").alias("doc_id"), F.lower(F.hex("bytes")).alias("bytes"))
+    return got.join(kept.select("doc_id", F.col("descriptor.size").alias("size"), "descriptor.sha256"), "doc_id").where("bytes <> ''")
+
+
+def label_verbs(s, d):
+    """Clicks shared with group 7 and raised to a floor, then what a member of that group may read."""
+    clicks = secrets(s, d).where("event_id % 2 = 0")
+    shared = security.protect(security.share(clicks, 7), read=STAFF)
+    back = security.unshare(shared.where("value < 10"), 7)
+    return read_filter(shared.where("value >= 10").unionByName(back), Principal(11, {7: STAFF}), True).select("event_id", "value")
+
+
+def write_gate(s, d):
+    """Which of some writes the gate refuses."""
+    rows = secrets(s, d).limit(1).select(F.col(OID), F.lit(5).cast("bigint").alias("__owner__"), F.array(F.lit(2).cast("bigint")).alias("__groups__"), F.lit(0).alias("__read_floor__"), F.lit(STAFF).alias("__write_floor__"))
+    none, change = rows.limit(0), lambda c, v: rows.withColumn(c, v)
+    staff, viewer, nobody = Principal(5, {2: STAFF}), Principal(6, {2: VIEWER}), Principal()
+    cases = {
+        "a change by staff": (change("__read_floor__", F.lit(STAFF)), rows, none, staff), "a change by a viewer": (rows, rows, none, viewer), "a new record of another": (rows, none, none, viewer),
+        "a new record of nobody": (rows, none, none, nobody), "a delete by a viewer": (none, rows, rows, viewer), "a delete by staff": (none, rows, rows, staff),
+        "another owner": (change("__owner__", F.lit(6).cast("bigint")), rows, none, staff), "a floor above oneself": (change("__write_floor__", F.lit(600)), rows, none, staff),
+        "a group not stood in": (security.share(rows, 9), rows, none, staff),
+    }
+    out = []
+    for name, (staged, prior, deletes, p) in cases.items():
+        try:
+            security.check_writes(staged, prior, deletes.select(OID), p)
+            out.append((name, False))
+        except WriteDenied:
+            out.append((name, True))
+    return s.createDataFrame(out, "name string, refused boolean")
+
+
+def refusals(s, d):
+    """What a store and its conditions refuse, and what a refusal leaves."""
+    store, e = _store(s, d)
+    first = store.extent(e).rows.select(OID, *e.fields).limit(1)
+    x = customers(s, d)
+
+    def conflict():
+        store.update(e, store.extent(e).rows.where(F.col(TID) == 2).select(OID, *e.fields).limit(1))
+        store.commit(since=1)
+
+    def twice():
+        store.insert(e, first.drop(OID).unionByName(first.drop(OID)))
+        store.commit()
+
+    def taken():
+        store.insert(e, first.drop(OID))
+        store.commit()
+
+    tries = {
+        "a condition as a truth value": lambda: bool(C.c_acctbal > 0), "a condition of another type": lambda: x.where(O_.o_orderkey == 1), 
+        "a record changed since": conflict, "a unique value twice": twice, "a unique value taken": taken, "an order by no field": lambda: x.query(order_by="nothing"),
+        "a second writer": lambda: Store.open(s, store.path), "a consumer that lags": lambda: store.attach(CountingConsumer()), "no such transaction": lambda: store.snapshot(9),
+    }
+    out = []
+    for name, run in tries.items():
+        try:
+            run()
+            refused = False
+        except (EngineError, TypeError, ValueError):
+            refused = True
+        store.discard()
+        out.append((name, refused, store.tid))
+    return s.createDataFrame(out, "name string, refused boolean, tid bigint")
+
+
+def explained(s, d):
+    """Which leaves of a condition the scan can answer."""
+    plan = orders(s, d).explain((O_.o_totalprice >= 1000) & (O_.o_orderstatus == "F") & (O_.o_custkey == 5))
+    rows = [("indexed", len(plan.indexed), "o_totalprice" in plan.pushed[0]), ("residual", len(plan.residual), "o_custkey" in plan.pushed[0])]
+    return s.createDataFrame(rows, "kind string, leaves int, pushed boolean")
+
+
+def acting(s, d):
+    """Actors from a table of customers: people act for themselves, machines (odd keys) only for their sponsor."""
+    actors = read_table(s, d, "customer").select(F.col("c_custkey").alias("uid"), (F.col("c_custkey") % 2 == 0).alias("human"), F.lit(2).cast("bigint").alias("sponsor"), F.create_map(F.lit(2).cast("bigint"), F.col("c_nationkey").cast("bigint")).alias("memberships"))
+    out = []
+    for uid, sponsor in ((2, None), (3, None), (3, 2), (3, 4), (-1, None)):
+        try:
+            out.append((uid, sponsor, security.acting_as(actors, uid, sponsor).level(2)))
+        except EngineError:
+            out.append((uid, sponsor, None))
+    return s.createDataFrame(out, "uid bigint, sponsor bigint, level bigint")
 
 
 QUERIES = {
@@ -343,7 +540,6 @@ QUERIES = {
     "dangling": dangling,
     "blocked_deletes": blocked_deletes,
     "closure_depth": closure_depth,
-    "closure_whole": closure_whole,
     "groupby_agg": groupby_agg,
     "handoff_semijoin": handoff_semijoin,
     "postings": postings,
@@ -365,10 +561,26 @@ QUERIES = {
     "fts_phrase": _fts('"hardness scale" lamp', "any"),
     "vector_topk": vector_topk,
     "rrf": rrf,
-    "vector_topk_each": vector_topk_each,
-    "rrf_each": rrf_each,
+    "fts_fenced": fts_fenced,
+    "fts_stemmed": fts_stemmed,
+    "fts_highlight": fts_highlight,
     "relevance": relevance,
     "checksums": checksums,
+    "fetch_batch": fetch_batch,
+    "deref_strict": deref_strict,
+    "pages": pages,
+    "snapshot_incoming": snapshot_incoming,
+    "attached_consumers": attached_consumers,
+    "log_bootstrap": log_bootstrap,
+    "inferred_columns": inferred_columns,
+    "migrated": migrated,
+    "file_import": file_import,
+    "blob_ranges": blob_ranges,
+    "label_verbs": label_verbs,
+    "write_gate": write_gate,
+    "refusals": refusals,
+    "explained": explained,
+    "acting": acting,
 }
 
 _EV = "ev as (select event_id, ts, user_id, event_type, case when value >= 5 then value end as value from events)"
@@ -382,7 +594,7 @@ _FINAL = """final as (
 _READ = "(user_id = 7 or case event_type when 'click' then 300 when 'view' then 0 else -1 end >= case when value > 50 then 200 else 0 end)"
 
 
-def _fts_sql(terms: list[list[str]], every: bool) -> str:
+def _fts_sql(terms: list[list[str]], every: bool, fence: str = "true") -> str:
     """BM25 over one folded text column (weight 2) beside a type name of one word."""
     phrases = " union all ".join(
         f"select {i} as phrase, a.doc_id, count(*) as times from toks a "
@@ -398,12 +610,10 @@ hits as ({phrases}),
 dfs as (select phrase, count(*) as n_p from hits group by phrase)
 select doc_id as oid, round(sum(greatest(case when ln((docs - n_p + 0.5) / (n_p + 0.5)) <= 0 then 1e-6 else ln((docs - n_p + 0.5) / (n_p + 0.5)) end, 0)
   * 2.0 * times * 2.2 / (2.0 * times + 1.2 * (0.25 + 0.75 * n / mean))), 6) as score
-from hits join dfs using (phrase) join lens using (doc_id), whole group by doc_id {'having count(distinct phrase) = ' + str(len(terms)) if every else ''}
+from hits join dfs using (phrase) join lens using (doc_id), whole where {fence} group by doc_id {'having count(distinct phrase) = ' + str(len(terms)) if every else ''}
 order by sum(case when ln((docs - n_p + 0.5) / (n_p + 0.5)) <= 0 then 1e-6 else ln((docs - n_p + 0.5) / (n_p + 0.5)) end * 2.0 * times * 2.2 / (2.0 * times + 1.2 * (0.25 + 0.75 * n / mean))) desc, oid limit 20"""
 
 
-_COS = "list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1 offset {})) "
-
 _EACH = """each_ as (
   select q.vec_id as query, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as score, row_number() over (partition by q.vec_id order by list_cosine_similarity(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as rn
   from embeddings q, embeddings e where q.vec_id % 50 = 0)"""
@@ -442,12 +652,6 @@ ORACLE = {
     "closure_depth": """with recursive cur as (select go_id, arg_max(parents, tid) as parents from terms group by go_id),
 links as (select distinct c.go_id as child, p.go_id as parent from (select go_id, unnest(parents) as entry from cur) c
   join cur p on lower(trim(string_split(c.entry, '!')[1], ' ' || chr(9) || chr(10) || chr(13))) = lower(p.go_id)),
-walk as (select go_id as seed, go_id as node, 0 as depth from cur where go_id not in (select child from links)
-  union select seed, child, depth + 1 from walk join links on parent = node where depth < 6)
-select seed, node, min(depth) as depth from walk group by all""",
-    "closure_whole": """with recursive cur as (select go_id, arg_max(parents, tid) as parents from terms group by go_id),
-links as (select distinct c.go_id as child, p.go_id as parent from (select go_id, unnest(parents) as entry from cur) c
-  join cur p on lower(trim(string_split(c.entry, '!')[1], ' ' || chr(9) || chr(10) || chr(13))) = lower(p.go_id)),
 walk(seed, node, depth) using key (seed, node) as (
   select go_id, go_id, 0 from cur where go_id not in (select child from links)
   union select w.seed, l.child, min(w.depth + 1) from walk w join links l on l.parent = w.node
@@ -467,18 +671,14 @@ select seed, node, depth from walk""",
     "delta_log_replay": f"with {_FINAL} select c_mktsegment, count(*) as n, round(sum(c_acctbal), 2) as total, (select count(*) from final where c_acctbal >= 0) as live from final where c_acctbal >= 0 group by all",
     "lineage_union": """select event_id, event_type as event_kind, case when event_type = 'click' then value else floor(value) end as amount, case when event_type = 'click' then 'new' else 'none' end as note,
 case when event_type = 'click' then value else floor(value) end > 50 as big from events""",
-    "unique_violations": "select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1",
+    "unique_violations": "select l_orderkey || '-' || l_linenumber as line, count(*) as n from lineitem group by all having count(*) > 1",
     "readable_filter": f"select event_id, value from events where {_READ}",
     "redaction": f"select event_id as oid, case when {_READ} then value end as value, not {_READ} as redacted from events",
     "fts_any": _fts_sql([["crystal"], ["ledger"], ["drawer"]], False),
     "fts_all": _fts_sql([["crystal"], ["ledger"]], True),
     "fts_phrase": _fts_sql([["hardness", "scale"], ["lamp"]], False),
-    "vector_topk": f"select vec_id, round({_COS.format(0)}, 6) as score from embeddings order by {_COS.format(0)} desc, vec_id limit 20",
-    "rrf": "select vec_id, round(sum(1.0 / (60 + rn)), 9) as score from ("
-    + " union all ".join(f"(select vec_id, row_number() over (order by {_COS.format(i)} desc, vec_id) as rn from embeddings qualify rn <= 50)" for i in (0, 1))
-    + ") group by vec_id",
-    "vector_topk_each": f"with {_EACH} select query, vec_id, round(score, 6) as score from each_ where rn <= 20",
-    "rrf_each": f"with {_EACH} select vec_id, round(sum(1.0 / (60 + rn)), 9) as score from each_ where rn <= 50 group by vec_id",
+    "vector_topk": f"with {_EACH} select query, vec_id, round(score, 6) as score from each_ where rn <= 20",
+    "rrf": f"with {_EACH} select vec_id, round(sum(1.0 / (60 + rn)), 9) as score from each_ where rn <= 50 group by vec_id",
     "relevance": """with r as (select label as query, vec_id as doc, embedding[1] as score, case when embedding[2] > 0.1::float then 2 when embedding[2] > 0 then 1 else 0 end as grade from embeddings),
 ranked as (select *, row_number() over (partition by query order by score desc, doc) as rank, row_number() over (partition by query order by grade desc, doc) as best from r)
 select query, round(coalesce(sum(case when rank <= 10 then grade / log2(rank + 1) else 0 end) / sum(case when best <= 10 then grade / log2(best + 1) else 0 end), 0), 6) as ndcg,
@@ -486,3 +686,25 @@ round(count(*) filter (where rank <= 10 and grade > 0) / 10.0, 6) as precision,
 round(coalesce(1.0 / min(rank) filter (where grade > 0 and rank <= 100), 0), 6) as mrr from ranked group by query having count(*) filter (where grade > 0) > 0""",
     "checksums": "select doc_id, sha256(text) as sha from documents where text is not null",
 }
+
+ORACLE |= {
+    "fts_fenced": _fts_sql([["crystal"], ["ledger"], ["drawer"]], False, "doc_id % 2 = 0"),
+    "fts_highlight": r"""select doc_id, 'ledger' as word from documents where list_contains(regexp_extract_all(strip_accents(lower(nfc_normalize(text))), '[\p{L}\p{N}]+'), 'ledger')""",
+    "fetch_batch": "select c_custkey, c_name from customer where c_custkey % 7 = 1 and c_custkey < 4000",
+    "deref_strict": "select o_orderkey as ord, o_custkey as key, c_mktsegment from orders join customer on c_custkey = o_custkey",
+    "pages": "select c_custkey, c_nationkey, (rn - 1) // 100 as page from (select *, row_number() over (order by c_nationkey desc, c_custkey) as rn from customer) where rn <= 300",
+    "snapshot_incoming": "select distinct o_custkey as dst, o_orderkey from orders join customer on c_custkey = o_custkey where c_acctbal > 9000",
+    "attached_consumers": ORACLE["delta_log_replay"],
+    "log_bootstrap": f"with {_FINAL} select c_custkey, c_acctbal, true as same from final where c_acctbal >= 0",
+    "inferred_columns": "select event_id, case when event_type = 'click' then floor(value) else value end as amount, event_type as kind from events",
+    "migrated": "select event_id, 'total is null' as problem from events where value < 5 or value is null",
+    "file_import": "select n_nationkey, n_name, n_regionkey, kind from nation, (values ('csv'), ('json')) k(kind)",
+    "blob_ranges": "select doc_id, substr(lower(hex(encode(text))), 7, 40) as bytes, octet_length(encode(text)) as size, sha256(text) as sha256 from documents where text is not null and octet_length(encode(text)) > 3",
+    "label_verbs": "select event_id, value from events where event_id % 2 = 0 and (value >= 10 or user_id = 11)",
+    "write_gate": """select * from (values ('a change by staff', false), ('a change by a viewer', true), ('a new record of another', true), ('a new record of nobody', true), ('a delete by a viewer', true),
+('a delete by staff', false), ('another owner', true), ('a floor above oneself', true), ('a group not stood in', true)) v(name, refused)""",
+    "refusals": """select name, true as refused, 3 as tid from (values ('a condition as a truth value'), ('a condition of another type'), ('a record changed since'),
+('a unique value twice'), ('a unique value taken'), ('an order by no field'), ('a second writer'), ('a consumer that lags'), ('no such transaction')) v(name)""",
+    "explained": "select * from (values ('indexed', 2, true), ('residual', 1, true)) v(kind, leaves, pushed)",
+    "acting": "select uid, sponsor, case when uid = 2 or sponsor = 2 then (select c_nationkey from customer where c_custkey = uid) end as level from (values (2, null), (3, null), (3, 2), (3, 4), (-1, null)) v(uid, sponsor)",
+}

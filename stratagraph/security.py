@@ -78,9 +78,12 @@ def redacted(rows: DataFrame, p: Principal, keep: tuple[str, ...] = (OID,)) -> D
     return marked.select(*[F.col(c) if c in keep or c == "__redacted__" else F.when(~F.col("__redacted__"), F.col(c)).alias(c) for c in marked.columns])
 
 
-def _deny(bad: DataFrame, why: str, p: Principal) -> None:
-    if first := bad.select(OID).take(1):
-        raise WriteDenied(f"{why} (record {first[0][0]}, principal {p.uid}); nothing was written")
+def _deny(found: list[tuple[Column, str]], rows: DataFrame, p: Principal) -> None:
+    """An error for the first rule that a row breaks; all rules are read in one pass."""
+    first = rows.agg(*[F.min(F.when(rule, F.col(OID))).alias(f"_{n}") for n, (rule, _) in enumerate(found)]).first()
+    for n, (_, why) in enumerate(found):
+        if first[n] is not None:
+            raise WriteDenied(f"{why} (record {first[n]}, principal {p.uid}); nothing was written")
 
 
 def check_writes(staged: DataFrame, prior: DataFrame, deletes: DataFrame, p: Principal) -> None:
@@ -98,17 +101,18 @@ def check_writes(staged: DataFrame, prior: DataFrame, deletes: DataFrame, p: Pri
     own = authority(p, F.col(OWNER), F.col(GROUPS))
     base_groups = F.when(fresh, F.array().cast("array<bigint>")).otherwise(F.col(f"old{GROUPS}"))
     added = F.array_except(F.coalesce(GROUPS, F.array().cast("array<bigint>")), base_groups)
-    if p.uid == 0:
-        _deny(both.where(fresh), "nobody can't create a protected record", p)
-    _deny(both.where(fresh & (F.col(OWNER) != p.uid)), "a new record belongs to its writer", p)
-    _deny(both.where(~fresh & (held < F.col(f"old{WRITE_FLOOR}"))), "the write floor is above the writer's authority", p)
-    _deny(both.where(~fresh & ~F.col(OWNER).eqNullSafe(F.col(f"old{OWNER}"))), "ownership doesn't change after birth", p)
-    _deny(both.where(F.exists(added, lambda g: level(p, g) == NO_STANDING)), "the writer doesn't stand in an added group", p)
+    rules = [(fresh, "nobody can't create a protected record")] if p.uid == 0 else []
+    rules += [
+        (fresh & (F.col(OWNER) != p.uid), "a new record belongs to its writer"),
+        (~fresh & (held < F.col(f"old{WRITE_FLOOR}")), "the write floor is above the writer's authority"),
+        (~fresh & ~F.col(OWNER).eqNullSafe(F.col(f"old{OWNER}")), "ownership doesn't change after birth"),
+        (F.exists(added, lambda g: level(p, g) == NO_STANDING), "the writer doesn't stand in an added group"),
+    ]
     for floor in (READ_FLOOR, WRITE_FLOOR):
         was = F.when(fresh, F.lit(VIEWER)).otherwise(F.col(f"old{floor}"))
-        _deny(both.where((F.col(floor) != was) & (F.col(floor) > own)), "a floor is above the writer's authority", p)
-    gone = deletes.select(OID).join(old, OID)
-    _deny(gone.where(held < F.col(f"old{WRITE_FLOOR}")), "a delete is a write below the floor", p)
+        rules.append(((F.col(floor) != was) & (F.col(floor) > own), "a floor is above the writer's authority"))
+    _deny(rules, both, p)
+    _deny([(held < F.col(f"old{WRITE_FLOOR}"), "a delete is a write below the floor")], deletes.select(OID).join(old, OID), p)
 
 
 def check_grants(staged: DataFrame, prior: DataFrame, p: Principal) -> None:
@@ -117,7 +121,7 @@ def check_grants(staged: DataFrame, prior: DataFrame, p: Principal) -> None:
         return
     both = staged.select(OID, "memberships").join(prior.select(OID, F.col("memberships").alias("was")), OID, "left")
     changed = F.map_filter("memberships", lambda g, v: ~v.eqNullSafe(F.element_at("was", g)) & (v > level(p, g)))
-    _deny(both.where(F.size(changed) > 0), "a granted level is above the granter's own", p)
+    _deny([(F.size(changed) > 0, "a granted level is above the granter's own")], both, p)
 
 
 def share(rows: DataFrame, group: int) -> DataFrame:

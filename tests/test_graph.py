@@ -2,15 +2,25 @@
 
 from datetime import datetime
 
+from stratagraph.operators.graph import closure
 from stratagraph.queries import reference
+from stratagraph.schema import OID
 
 TERMS = "go_id string, name string, namespace string, parents array<string>, tid bigint, stored_at timestamp_ntz"
 
 
-def test_closure_whole(spark, tmp_path):
+def test_closure(spark, tmp_path):
     """Terms more than six links below a root, and beyond a cycle, are reached at their least depth."""
     parents = {f"T{i}": [f"T{i - 1}"] if i else None for i in range(10)} | {"T3": ["T2", "T8"], "U": ["T9", "T0"]}
     rows = [(g, "n", None, p, 1, datetime(2024, 1, 1)) for g, p in parents.items()]
     spark.createDataFrame(rows, TERMS).write.parquet(f"{tmp_path}/terms.parquet")
-    got = [tuple(r) for r in reference.QUERIES["closure_whole"](spark, str(tmp_path)).select("seed", "node", "depth").collect()]
+    got = [tuple(r) for r in reference.QUERIES["closure_depth"](spark, str(tmp_path)).select("seed", "node", "depth").collect()]
     assert sorted(got) == sorted([("T0", f"T{i}", i) for i in range(10)] + [("T0", "U", 1)])
+
+
+def test_closure_bounds(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 0), (3, 3), (None, 1), (1, None)], "src bigint, dst bigint")
+    seeds = spark.createDataFrame([(0,), (10,)], f"{OID} bigint")
+    walk = lambda n: {tuple(r) for r in closure(links, seeds, max_depth=n).select("seed", "node", "depth").collect()}
+    whole = {(0, i, i) for i in range(13)} | {(10, (10 + i) % 13, i) for i in range(13)}
+    assert walk(None) == whole and all(walk(n) == {w for w in whole if w[2] <= n} for n in (0, 1, 4, 6))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratagraph.errors import Conflict, DanglingRef, DeltaGap, FrozenEntity, NewerStore, NotAnEntity, QueryError, SchemaMismatch, StoreLocked, UniqueViolation, UnseenType
+from stratagraph.errors import Conflict, CorruptRecord, DanglingRef, DeltaGap, FrozenEntity, NewerStore, NotAnEntity, QueryError, SchemaMismatch, StoreLocked, UniqueViolation, UnseenType
 from stratagraph.schema import OID, EntityType, Field, fields, json_schema, unify
 from stratagraph.sources.blobs import BlobTable, from_path
 from stratagraph.sources.store import FIRST_OID, Store, committing
@@ -211,7 +211,14 @@ def test_blobs(spark, tmp_path):
     size, chunks = from_path(str(tmp_path / "f"))
     t = BlobTable(spark, f"file://{tmp_path}/blobs")
     d = t.write(5, size, chunks)
-    assert t.open(d).read() == data
+    stream = t.open(d)
+    assert stream.read() == data and stream.seek(-5, 2) == len(data) - 5 and stream.read() == data[-5:]
+    assert stream.seek(1_048_570) and stream.read(6) == data[1_048_570:1_048_576] and stream.read(9) == data[1_048_576:1_048_585] and stream.seek(9, 1) == 1_048_594
+    assert t.verified(d).read(3) == data[:3]
+    with pytest.raises(CorruptRecord):
+        t.verified(d | {"sha256": "0"})
+    empty = t.write(7, 0, lambda: [])
+    assert t.verified(empty).read() == b""
     wanted = spark.createDataFrame([(5, 1_048_570, 20), (5, 0, 3)], "blob_oid bigint, pos bigint, len bigint")
     got = {r["pos"]: bytes(r["bytes"]) for r in t.ranges(wanted).collect()}
     assert got == {1_048_570: data[1_048_570:1_048_590], 0: data[:3]}
