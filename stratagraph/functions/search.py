@@ -7,17 +7,19 @@ lengths below, equal to those of an FTS engine with the columns typename, f_*, s
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import materialize, spread
+from ..errors import ConfigDrift
+from ..runtime import HadoopFiles, materialize, spread
 from .text import TOKEN, fold, language, stem_folded, tokens
 
 # BM25 parameters and column weights. Fixed values of the ranking.
@@ -97,13 +99,21 @@ class FullTextIndex:
             lens.append(built.where("term is null").select("oid", "type", (F.col("n") + len(tokens(typename))).alias("n")))
         return cls(fulltext, reduce(DataFrame.unionByName, posts), reduce(DataFrame.unionByName, lens))
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, tid: int | None = None) -> None:
+        """Writes the index, its languages, and the transaction it was built at; the last file written makes it whole."""
+        spark = self.postings.sparkSession
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "col").write.parquet(f"{path}/postings")
         self.lengths.write.parquet(f"{path}/lengths")
+        HadoopFiles(spark, path).write(f"{path}/index.json", json.dumps({"fulltext": self.fulltext, "tid": tid}))
 
     @classmethod
-    def load(cls, spark, path: str, fulltext: dict[str, dict[str, str | None]]) -> FullTextIndex:
-        return cls(fulltext, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    def load(cls, spark: SparkSession, path: str, fulltext: dict[str, dict[str, str | None]], tid: int | None = None) -> FullTextIndex | None:
+        """A saved index; None if it was built at another transaction than tid. Other fields or languages are refused: their words would be missed without a sign."""
+        kept = json.loads(HadoopFiles(spark, path).read(f"{path}/index.json"))
+        out = cls(fulltext, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        if kept["fulltext"] != out.fulltext:
+            raise ConfigDrift(f"{path} was built for {kept['fulltext']}, not for {out.fulltext}")
+        return out if tid is None or kept["tid"] == tid else None
 
     def refresh(self, changed: dict[str, DataFrame], gone: DataFrame) -> FullTextIndex:
         """The index after some records changed (as for build) and others went (oid)."""

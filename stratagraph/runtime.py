@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import json
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,9 +100,16 @@ def if_small(df: DataFrame) -> DataFrame:
 
 
 class HadoopFiles:
-    """The few file operations publishing needs, on whatever file system the path names."""
+    """The few file operations publishing needs, on whatever file system the path names.
 
-    def __init__(self, spark: SparkSession, root: str):
+    durability: `commit` has every small file on disk before it counts, `interval` at most one a second, `never` leaves
+    that to the file system.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, durability: str = "commit"):
+        if durability not in ("commit", "interval", "never"):
+            raise ValueError(f"durability is commit, interval or never, not {durability!r}")
+        self._durability, self._synced = durability, 0.0
         self._jvm = spark.sparkContext._jvm
         self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -135,7 +143,9 @@ class HadoopFiles:
         stream = self._fs.create(self._path(path), overwrite)
         try:
             stream.write(bytearray(text.encode()))
-            stream.hsync()
+            if self._durability == "commit" or self._durability == "interval" and time.monotonic() - self._synced >= 1:
+                stream.hsync()
+                self._synced = time.monotonic()
         finally:
             stream.close()
 

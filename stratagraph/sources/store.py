@@ -24,7 +24,7 @@ from .. import security
 from ..errors import Conflict, CorruptRecord, FrozenEntity, NewerStore, NotAnEntity, QueryError, SchemaMismatch, StoreLocked, UniqueViolation
 from ..operators.graph import blocked_deletes, edges
 from ..plans.extent import Extent
-from ..runtime import HadoopFiles, materialize
+from ..runtime import HadoopFiles, fresh_path, materialize
 from ..schema import CID, DELETED, LABELS, LEGACY_LABELS, OID, TID, EntityType
 from ..security import Principal
 
@@ -89,10 +89,10 @@ def _renewed(files: HadoopFiles, name: str, token: str, facts, closed: threading
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, principal: Principal | None = None, strict_deletes: bool = False, read_only: bool = False, auto_compact: bool = False):
+    def __init__(self, spark: SparkSession, path: str, principal: Principal | None = None, strict_deletes: bool = False, read_only: bool = False, auto_compact: bool = False, durability: str = "commit"):
         self.spark, self.path = spark, path.rstrip("/")
         self.principal, self.strict_deletes, self.read_only, self.auto_compact = principal, strict_deletes, read_only, auto_compact
-        self.files = HadoopFiles(spark, self.path)
+        self.files = HadoopFiles(spark, self.path, durability)
         self._token = uuid.uuid4().hex
         self._staged: dict[str, Staged] = {}
         self.consumers: list[Any] = []
@@ -107,6 +107,11 @@ class Store:
     def open(cls, spark: SparkSession, path: str, **options) -> Store:
         return cls(spark, path, **options)
 
+    @classmethod
+    def temporary(cls, spark: SparkSession, **options) -> Store:
+        """A store in the shared folder that is gone when the process ends: for tests and intermediate results."""
+        return cls(spark, fresh_path(spark, "store"), **options)
+
     # -- manifest, lock, crash cleanup
 
     def _load(self) -> dict:

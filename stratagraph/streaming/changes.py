@@ -7,11 +7,12 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..errors import ConfigDrift, DeltaFormat, DeltaGap
 from ..runtime import HadoopFiles
@@ -75,12 +76,14 @@ def due(watermark: int, delta: Delta) -> bool:
 class Mirror:
     """A columnar copy: tables of changes and a watermark that moves in the same rename.
 
-    max_parts: so many tables are compacted into one; verify: the prior of each change is held against the copy. What an
-    apply that crashed left behind is deleted when the mirror is opened.
+    flush_every: so many deltas are written together (flush writes what waits); max_parts: so many tables are compacted
+    into one; verify: the prior of each change is held against the copy. What an apply that crashed left behind is
+    deleted when the mirror is opened, and deltas that were waiting must be applied again.
     """
 
-    def __init__(self, spark: SparkSession, path: str, only: list[str] | None = None, max_parts: int = 64, verify: bool = False):
-        self.spark, self.path, self.only, self.max_parts, self.verify = spark, path.rstrip("/"), only, max_parts, verify
+    def __init__(self, spark: SparkSession, path: str, only: list[str] | None = None, max_parts: int = 64, verify: bool = False, flush_every: int = 1):
+        self.spark, self.path, self.only, self.max_parts, self.verify, self.flush_every = spark, path.rstrip("/"), only, max_parts, verify, flush_every
+        self.waiting: list[Delta] = []
         self.files = HadoopFiles(spark, self.path)
         self.files.mkdirs(self.path)
         name = f"{self.path}/mirror.json"
@@ -91,6 +94,11 @@ class Mirror:
 
     @property
     def watermark(self) -> int:
+        """The last transaction taken; durable is the last one written."""
+        return self.waiting[-1].tid if self.waiting else self.durable
+
+    @property
+    def durable(self) -> int:
         return self.state["watermark"]
 
     def _publish(self, watermark: int, parts: list[str]) -> None:
@@ -101,11 +109,20 @@ class Mirror:
     def apply(self, delta: Delta) -> bool:
         if not due(self.watermark, delta):
             return False
-        self._add(delta.ops.withColumn("tid", F.lit(delta.tid).cast("bigint")), delta.tid)
+        self.waiting.append(delta)
+        if len(self.waiting) >= self.flush_every:
+            self.flush()
         return True
 
+    def flush(self) -> None:
+        if self.waiting:
+            ops = [d.ops.withColumn("tid", F.lit(d.tid).cast("bigint")) for d in self.waiting]
+            self._add(reduce(DataFrame.unionByName, ops), self.waiting[-1].tid)
+            self.waiting = []
+
     def apply_range(self, changes: DataFrame, first: int, last: int) -> int:
         """Transactions first to last, without a gap, in one job; changes as DeltaLog.changes gives them."""
+        self.flush()
         if last <= self.watermark or not in_turn(self.watermark, max(first, self.watermark + 1)):
             return 0
         changes = changes.where((F.col("tid") > self.watermark) & (F.col("tid") <= last))
@@ -138,7 +155,7 @@ class Mirror:
         self._publish(tid, [part])
 
     def table(self, typename: str, schema: str | None = None) -> DataFrame:
-        """The live records of a type, their payload parsed if a schema is given."""
+        """What is written of the live records of a type, their payload parsed if a schema is given."""
         now = self._newest().where(F.col("type") == typename).select("oid", "payload")
         return now if schema is None else now.select("oid", F.inline(F.array(F.from_json("payload", schema))))
 
@@ -152,15 +169,16 @@ class Mirror:
         return rows.select("oid", F.inline(F.array(F.from_json("payload", ddl))))
 
     def compact(self) -> None:
+        """One table of the live records, tombstones dropped."""
         ddl = "tid bigint, type string, oid bigint, payload string"
         old = self.state["parts"]
         if not old:
             return
         rows = self.spark.read.schema(ddl).parquet(*[f"{self.path}/{p}" for p in old])
         now = rows.groupBy("type", "oid").agg(F.max(F.struct("tid", "payload")).alias("r")).where("r.payload is not null")
-        part = f"{self.watermark:012d}-{uuid.uuid4().hex}"
+        part = f"{self.durable:012d}-{uuid.uuid4().hex}"
         now.select("r.tid", "type", "oid", "r.payload").write.parquet(f"{self.path}/{part}")
-        self._publish(self.watermark, [part])
+        self._publish(self.durable, [part])
         for p in old:
             self.files.delete(f"{self.path}/{p}")
 
@@ -208,13 +226,14 @@ class DeltaLog:
     takes them, a replay from genesis starts from that state.
     """
 
-    def __init__(self, spark: SparkSession, path: str, genesis: int = 0):
+    def __init__(self, spark: SparkSession, path: str, genesis: int = 0, read_only: bool = False):
         self.spark, self.path = spark, path.rstrip("/")
         self.files = HadoopFiles(spark, self.path)
         self.files.mkdirs(self.path)
         name = f"{self.path}/log.json"
         self.state = json.loads(self.files.read(name)) if self.files.exists(name) else {"genesis": genesis, "watermark": genesis, "parts": [], "snapshot": None, "types": []}
-        sweep(self.files, self.path, [h["path"] for h in self.state["parts"]] + [self.state["snapshot"]])
+        if not read_only:
+            sweep(self.files, self.path, [h["path"] for h in self.state["parts"]] + [self.state["snapshot"]])
 
     @property
     def watermark(self) -> int:
@@ -356,8 +375,21 @@ class ChangeReader(DataSourceStreamReader):
         pass
 
 
+class ChangeBatch(DataSourceReader):
+    """Every change after a transaction, one task per delta."""
+
+    def __init__(self, options: dict):
+        self.stream = ChangeReader(options)
+
+    def partitions(self) -> list[InputPartition]:
+        return self.stream.partitions(self.stream.initialOffset(), self.stream.latestOffset())
+
+    def read(self, partition: InputPartition):
+        yield from self.stream.read(partition)
+
+
 class ChangeSource(DataSource):
-    """spark.dataSource.register(ChangeSource); spark.readStream.format("changes").option("path", ...).load()"""
+    """As a table, spark.read.format("changes"), or a stream: spark.dataSource.register(ChangeSource); spark.readStream.format("changes").option("path", ...).load()"""
 
     @classmethod
     def name(cls) -> str:
@@ -366,5 +398,8 @@ class ChangeSource(DataSource):
     def schema(self) -> str:
         return LOG
 
+    def reader(self, schema) -> ChangeBatch:
+        return ChangeBatch(self.options)
+
     def streamReader(self, schema) -> ChangeReader:
         return ChangeReader(self.options)

@@ -64,6 +64,16 @@ def test_search(spark, index):
     assert {r["oid"] for r in new.search("Kristall", "Gem").collect()} == {50}
 
 
+def test_saved_index(spark, index, tmp_path):
+    path, kinds = f"file://{tmp_path}/index", {"Gem": {"notes": "de", "description": "en"}, "Vendor": {"motto": None}}
+    index.save(path, 7)
+    again = FullTextIndex.load(spark, path, kinds, 7)
+    order = lambda x: [r["oid"] for r in x.search("crystal", None, 5).collect()]
+    assert order(again) == order(index) and FullTextIndex.load(spark, path, kinds, 8) is None
+    with pytest.raises(ConfigDrift):
+        FullTextIndex.load(spark, path, kinds | {"Vendor": {"motto": "en"}})
+
+
 def test_query_words():
     assert wanted_words('red "Old Lamp" blue') == [["old", "lamp"], ["red"], ["blue"]]
     assert wanted_words('a "b c') == [["a"], ["b"], ["c"]] and wanted_words('"" "!" x"y"z') == [["y"], ["x"], ["z"]] and wanted_words("") == []

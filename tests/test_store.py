@@ -5,6 +5,7 @@ from stratagraph.errors import Conflict, CorruptRecord, DanglingRef, DeltaGap, F
 from stratagraph.schema import OID, EntityType, Field, fields, json_schema, unify
 from stratagraph.sources.blobs import BlobTable, from_path
 from stratagraph.sources.store import FIRST_OID, Store, committing
+from stratagraph.streaming.federation import Follower, head, submit
 from stratagraph.streaming.changes import ChangeSource, CountingConsumer, DeltaLog, Mirror, catch_up, check_consumer
 
 THING = EntityType("Thing", {"k": Field("string", unique=True), "v": Field("int", sorted=True), "to": Field("bigint", ref="Thing")})
@@ -227,3 +228,77 @@ def test_blobs(spark, tmp_path):
     made = t.write_column(spark.createDataFrame([(8, bytearray(b"xy")), (9, None)], "oid bigint, b binary"), "oid", "b").collect()
     assert made[0]["descriptor"]["size"] == 2 and made[1]["descriptor"] is None
     assert t.open(made[0]["descriptor"].asDict()).read() == b"xy"
+
+
+def test_follower(spark, store, tmp_path):
+    """A copy from genesis, in ranges and as a stream; writes back are refused if they were made on something older."""
+    feed = f"file://{tmp_path}/feed"
+    log = DeltaLog(spark, feed)
+    for d in _deltas(spark, store)[:2]:
+        log.apply(d)
+    follower = Follower(spark, f"file://{tmp_path}/copy", feed, verify=True)
+    assert head(log)["tid"] == 2 and follower.sync() == 2 and follower.sync() == 0
+    log.apply(store.delta(3, [THING]))
+    other = Follower(spark, f"file://{tmp_path}/streamed", feed)
+    other.stream(f"file://{tmp_path}/checkpoint").awaitTermination()
+    follower.sync()
+    table = lambda f: sorted(map(tuple, f.table("Thing", "k string, v int").select("k", "v").collect()))
+    assert table(follower) == table(other) == sorted(tuple(r)[:2] for r in store.extent(THING).rows.select("k", "v").collect())
+    spark.dataSource.register(ChangeSource)
+    assert spark.read.format("changes").option("path", feed).option("after", "1").load().count() == log.changes(1).count()
+    now = store.extent(THING).rows.where("k = 'b'")
+    oid = now.first()[OID]
+    made = rows(spark, [(oid, "b", 77), (None, "new", 1)], f"{OID} bigint, k string, v int").withColumn("to", F.lit(None).cast("bigint"))
+    store.attach(log)
+    assert follower.contribute(store, THING, made) == 4 and ("b", 77) in table(follower) and ("new", 1) in table(follower)
+    with pytest.raises(Conflict):
+        submit(store, THING, made.where("k = 'b'"), 3)
+    with pytest.raises(Conflict):
+        submit(store, THING, made.where("k = 'b'").withColumn(OID, F.lit(12).cast("bigint")), 4)
+    with pytest.raises(DanglingRef):
+        submit(store, THING, made.where("k = 'new'").withColumns({"k": F.lit("x"), "to": F.lit(99).cast("bigint")}), 4)
+    assert store.tid == 4 and not store._staged
+
+
+def test_mirror_upkeep(spark, store, tmp_path):
+    """Deltas that wait for each other, tables that are compacted, leftovers that go, and a state that isn't the one a change was made on."""
+    deltas = _deltas(spark, store)
+    m = Mirror(spark, f"file://{tmp_path}/m", flush_every=2)
+    m.apply(deltas[0])
+    assert (m.watermark, m.durable) == (1, 0) and Mirror(spark, f"file://{tmp_path}/m").watermark == 0
+    m.apply(deltas[1])
+    assert m.durable == 2 and len(m.state["parts"]) == 1
+    (tmp_path / "m" / f"{9:012d}-{'0' * 32}").mkdir()
+    n = Mirror(spark, f"file://{tmp_path}/m", max_parts=1)
+    n.apply(deltas[2])
+    assert len(n.state["parts"]) == 1 and sum(x.is_dir() for x in (tmp_path / "m").iterdir()) == 1
+    late = Mirror(spark, f"file://{tmp_path}/late", verify=True)
+    late.bootstrap(spark.createDataFrame([], "type string, oid bigint, payload string"), 1)
+    with pytest.raises(DeltaGap):
+        late.apply(deltas[1])
+
+
+def test_lease(spark, folder, monkeypatch):
+    """A second writer waits for the first, and takes over only when its lock has run out; the first can't write any more."""
+    from stratagraph.sources import store as module
+
+    first = Store(spark, folder)
+    with pytest.raises(StoreLocked):
+        Store(spark, folder)
+    monkeypatch.setattr(module, "LEASE", 0.0)
+    first._closed.set()
+    second = Store(spark, folder)
+    first.insert(THING, rows(spark, [("x", 1)]).withColumn("to", F.lit(None).cast("bigint")))
+    with pytest.raises(StoreLocked):
+        first.commit()
+    second.close()
+
+
+def test_modes(spark):
+    with Store.temporary(spark, durability="never", auto_compact=True) as s:
+        for i in range(2):
+            s.insert(THING, rows(spark, [(f"x{i}", i)]).withColumn("to", F.lit(None).cast("bigint")))
+            s.commit()
+        assert s.extent(THING).count() == 2
+    with pytest.raises(ValueError):
+        Store.temporary(spark, durability="sometimes")
