@@ -4,23 +4,39 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.extent import Extent
 from ..runtime import materialize
 from ..schema import OID
 
 
+def oids_in(value: Column, kind: T.DataType) -> Column:
+    """Every oid that a value of some type holds, at any depth: whole numbers, lists, maps (their values) and structs."""
+    none = F.array().cast("array<bigint>")
+    if isinstance(kind, T.IntegralType):
+        return F.array_compact(F.array(value.cast("bigint")))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.flatten(F.transform(value, lambda x: oids_in(x, kind.elementType))), none)
+    if isinstance(kind, T.MapType):
+        return F.coalesce(F.flatten(F.transform(F.map_values(value), lambda x: oids_in(x, kind.valueType))), none)
+    if isinstance(kind, T.StructType):
+        return F.concat(none, *[oids_in(value[f.name], f.dataType) for f in kind.fields])
+    return none
+
+
 def edges(*extents: Extent) -> DataFrame:
-    """(src, src_type, field, dst): every reference that the extents hold, list elements one by one, each once."""
+    """(src, src_type, field, dst): every reference that the extents hold, those within lists, maps and structs one by one, each once."""
     parts = []
     for x in extents:
+        kinds = {f.name: f.dataType for f in x.entity.struct.fields}
         for name in x.entity.refs:
-            listed = x.entity.fields[name].type.lower().startswith("array")
-            dst = F.explode(f"`{name}`") if listed else F.col(f"`{name}`")
-            rows = x.rows.select(F.col(OID).alias("src"), F.lit(x.entity.name).alias("src_type"), F.lit(name).alias("field"), dst.cast("bigint").alias("dst"))
-            parts.append((rows.distinct() if listed else rows).where("dst is not null"))
+            plain = isinstance(kinds[name], T.IntegralType)
+            dst = F.col(f"`{name}`") if plain else F.explode(F.array_distinct(oids_in(F.col(f"`{name}`"), kinds[name])))
+            rows = x.rows.select(F.col(OID).alias("src"), F.lit(x.entity.name).alias("src_type"), F.lit(name).alias("field"), dst.alias("dst"))
+            parts.append(rows.withColumn("dst", F.col("dst").cast("bigint")).where("dst is not null"))
     if not parts:
         raise ValueError("no extent has a reference")
     return reduce(DataFrame.unionByName, parts)

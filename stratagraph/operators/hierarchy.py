@@ -161,7 +161,7 @@ def cyclic_nodes(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
     for _ in range(2):  # a node without children is on no cycle
         left = left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
     left = materialize(left, "links")
-    member: DataFrame | None = None
+    contracted: list[DataFrame] = []
     chosen = left.groupBy(F.col("child").alias("node")).agg(F.max("parent").alias("first")).withColumn("better", F.lit(1))
     rows = left.count()
     while rows:
@@ -170,13 +170,7 @@ def cyclic_nodes(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
         if bound:
             rings = materialize(_rings(state.where("bound = 1").select("node", "first"), bound, merge_rows), "rings")
             left, chosen = _contracted(left, state, rings)
-            if member is None:
-                member = rings
-            else:
-                was = member.select("node", F.col("cycle").alias("at")).join(rings.select(F.col("node").alias("at"), "cycle"), "at", "left")
-                fresh = rings.join(member.select(F.col("cycle").alias("node")).distinct(), "node", "left_anti")
-                member = was.select("node", F.coalesce("cycle", "at").alias("cycle")).unionByName(fresh)
-            member = materialize(member, "members")
+            contracted.append(rings)
         elif better:
             # a link whose parent is no lower than its child makes the child take it
             height = state.select(F.col("node").alias("parent"), F.col("off").alias("above"))
@@ -186,8 +180,14 @@ def cyclic_nodes(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
         else:
             break
     alone = own.select(F.col("node").alias("cycle"), "node")
-    if member is None:
+    if not contracted:
         return alone
+    member = contracted[-1]
+    for rings in reversed(contracted[:-1]):
+        # a ring may lie on a later one as one node, which is one of its own
+        inner = rings.select("node", F.col("cycle").alias("at")).join(member.select(F.col("node").alias("at"), "cycle"), "at", "left")
+        member = inner.select("node", F.coalesce("cycle", "at").alias("cycle")).unionByName(member.join(rings.select("node"), "node", "left_anti"))
+    member = materialize(member, "members")
     return member.select("cycle", "node").unionByName(alone.join(member.select("node"), "node", "left_anti"))
 
 

@@ -7,6 +7,8 @@ import json
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ def session(app: str = "stratagraph", cpus: int | str = "*", **conf: str) -> Spa
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.hadoop.parquet.page.verify-checksum.enabled": "true",  # damaged pages are an error, not wrong rows
     } | conf
     return SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=base).getOrCreate()
 
@@ -60,6 +63,18 @@ def _sweep() -> None:
             return
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables made within it: for drivers that live long. What is read from them must be written before it ends."""
+    mark = len(_created)
+    try:
+        yield
+    finally:
+        for _, path in _created[mark:]:
+            HadoopFiles(spark, path).delete(path)
+        del _created[mark:]
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession

@@ -534,6 +534,11 @@ class Snapshot:
     def for_principal(self, principal: Principal) -> Snapshot:
         return Snapshot(self.store, self.tid, principal)
 
+    def deref(self, entity: EntityType, refs: Any) -> DataFrame:
+        """One row per reference, aligned; an error if a record is missing or may not be read."""
+        rows = Extent(self.store.extent(entity, self.tid).rows, entity).deref(refs)
+        return security.require_readable(rows, self.principal) if entity.protected and self.principal else rows
+
     def incoming(self, targets: DataFrame, *entities: EntityType) -> DataFrame:
         from ..operators.graph import incoming
 

@@ -2,9 +2,11 @@
 
 from datetime import datetime
 
-from stratagraph.operators.graph import closure
+from stratagraph.operators.graph import closure, edges
+from stratagraph.plans.extent import Extent
 from stratagraph.queries import reference
-from stratagraph.schema import OID
+from stratagraph.runtime import HadoopFiles, materialize, scratch
+from stratagraph.schema import OID, EntityType, Field
 
 TERMS = "go_id string, name string, namespace string, parents array<string>, tid bigint, stored_at timestamp_ntz"
 
@@ -24,3 +26,17 @@ def test_closure_bounds(spark):
     walk = lambda n: {tuple(r) for r in closure(links, seeds, max_depth=n).select("seed", "node", "depth").collect()}
     whole = {(0, i, i) for i in range(13)} | {(10, (10 + i) % 13, i) for i in range(13)}
     assert walk(None) == whole and all(walk(n) == {w for w in whole if w[2] <= n} for n in (0, 1, 4, 6))
+
+
+def test_references_at_any_depth(spark):
+    kind = EntityType("Deep", {"one": Field("bigint", ref="X"), "many": Field("array<bigint>", ref="X"), "by": Field("map<string,array<bigint>>", ref="X"), "in_": Field("struct<a:bigint,b:array<struct<c:bigint,d:string>>>", ref="X")})
+    rows = spark.createDataFrame([(1, 7, [8, 8, None], {"k": [9], "l": None}, (10, [(11, "t"), (None, None)])), (2, None, None, None, None), (3, None, [], {}, (None, []))], f"{OID} bigint, " + ", ".join(f"{n} {f.type}" for n, f in kind.fields.items()))
+    got = {tuple(r) for r in edges(Extent(rows, kind)).select("src", "field", "dst").collect()}
+    assert got == {(1, "one", 7), (1, "many", 8), (1, "by", 9), (1, "in_", 10), (1, "in_", 11)}
+
+
+def test_scratch(spark):
+    with scratch(spark):
+        path = materialize(spark.range(3), "gone").inputFiles()[0].rsplit("/", 1)[0]
+        kept = HadoopFiles(spark, path).exists(path)
+    assert kept and not HadoopFiles(spark, path).exists(path)

@@ -1,8 +1,9 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
-from stratagraph.errors import ReadDenied, SponsorRequired, UnknownActor, WriteDenied
+from stratagraph.errors import DanglingRef, ReadDenied, SponsorRequired, UnknownActor, WriteDenied
 from stratagraph.schema import LABELS, OID, EntityType, Field
 from stratagraph.security import CURATOR, EXECUTIVE, ROOT, STAFF, Principal, acting_as, born, check_grants, protect, read_filter, redacted, require_readable, share, unshare
 from stratagraph.sources.store import Store
@@ -97,3 +98,18 @@ def test_actors(spark):
         check_grants(staged, prior, Principal(5, {2: 300}))
     check_grants(staged, prior, Principal(5, {2: 400}))
     assert born(spark.createDataFrame([(1,)], f"{OID} bigint"), Principal(5)).first()["__owner__"] == 5
+
+
+def test_strict_snapshot(spark, folder):
+    """A snapshot's deref says which record is missing, and refuses one that may not be read."""
+    kind = EntityType("Note", {"k": Field("string", unique=True)}, protected=True)
+    store = Store.open(spark, folder, principal=Principal(5, {2: STAFF}))
+    store.insert(kind, protect(spark.createDataFrame([("mine",)], "k string").withColumn("__groups__", F.array(F.lit(2).cast("bigint"))), read=STAFF))
+    store.commit()
+    oid = store.extent(kind).rows.first()[OID]
+    assert store.snapshot().deref(kind, [oid]).first()["k"] == "mine"
+    with pytest.raises(DanglingRef):
+        store.snapshot().deref(kind, [oid, 5])
+    with pytest.raises(ReadDenied):
+        store.snapshot().for_principal(Principal(6, {})).deref(kind, [oid])
+    assert Principal(0, {0: 600}).root is False and Principal(3, {0: 600}).root and Principal(3).level(0) == 0 and Principal(3).level(4) == -1
