@@ -102,7 +102,7 @@ class All(Combined):
         return reduce(or_, [p.fails() for p in self.parts])
 
     def __repr__(self) -> str:
-        return "(" + " & ".join(map(repr, self.parts)) + ")"
+        return f"all({', '.join(map(repr, self.parts))})"
 
 
 class Any_(Combined):
@@ -113,7 +113,7 @@ class Any_(Combined):
         return reduce(and_, [p.fails() for p in self.parts])
 
     def __repr__(self) -> str:
-        return "(" + " | ".join(map(repr, self.parts)) + ")"
+        return f"any({', '.join(map(repr, self.parts))})"
 
 
 class Negation(Condition):
@@ -136,7 +136,7 @@ class Negation(Condition):
         return self.part.leaves()
 
     def __repr__(self) -> str:
-        return f"~{self.part!r}"
+        return f"not({self.part!r})"
 
 
 def _family(t: T.DataType) -> str:
@@ -182,7 +182,7 @@ class Leaf(Condition):
         return [self]
 
     def __repr__(self) -> str:
-        return f"({self._entity.name}.{self.field} {self.op} {self.value!r})"
+        return f"{self._entity.name}.{self.field} {self.op} {self.value!r}"
 
     def _column(self) -> tuple[Column, T.DataType]:
         return F.col(f"`{self.field}`"), self._entity.field(self.field).spark

@@ -78,14 +78,16 @@ def newest(rows: DataFrame) -> DataFrame:
 
 
 def _renewed(files: HadoopFiles, name: str, token: str, facts, closed: threading.Event) -> None:
-    """Keeps a lock alive until its writer closes, its process ends, or another one holds it."""
-    while not closed.wait(LEASE / 4):
+    """Keeps a lock alive until its writer closes, its process ends, another one holds it, or it is gone with its store."""
+    missed = 0
+    while missed < 3 and not closed.wait(LEASE / 4):
         try:
             if json.loads(files.read(name))["token"] != token:
                 return
             files.swap(name, facts())
+            missed = 0
         except Exception:  # tried again; a lock that can't be renewed runs out
-            continue
+            missed += 1
 
 
 class Store:

@@ -9,14 +9,14 @@ from stratagraph.errors import ConfigDrift
 from stratagraph.functions.search import FullTextIndex, highlight, wanted_words
 from stratagraph.functions.text import fold, stem_de, stem_en, stem_es, stem_folded, stem_fr, tokens
 
-NOTES = ["Kristalle aus dem Berg", "Der Kristall im Schrank, ein Kristall", "berge und täler", None, "", "Ein m² Kristallglas", "the crystals were growing in the mountains"]
-DESCS = ["growing crystals", None, "a mountain of crystal", "crystals crystals", "drawer", None, "Crystal drawer; hardness scale of a crystal"]
+NOTES = ["Laternen aus dem Berg", "Der Laterne im Schrank, ein Laterne", "berge und täler", None, "", "Ein m² Laternenglas", "the lanterns were growing in the mountains"]
+DESCS = ["growing lanterns", None, "a mountain of lantern", "lanterns lanterns", "drawer", None, "Lantern drawer; hardness scale of a lantern"]
 
 
 @pytest.fixture(scope="module")
 def index(spark):
     gems = spark.createDataFrame([(i, n, d) for i, (n, d) in enumerate(zip(NOTES, DESCS))], "oid bigint, notes string, description string")
-    vendors = spark.createDataFrame([(100, "crystal clear"), (101, "Berg und Tal")], "oid bigint, motto string")
+    vendors = spark.createDataFrame([(100, "lantern clear"), (101, "Berg und Tal")], "oid bigint, motto string")
     return FullTextIndex.build({"Gem": {"notes": "de", "description": "en"}, "Vendor": {"motto": None}}, {"Gem": gems, "Vendor": vendors})
 
 
@@ -24,7 +24,7 @@ def fts5(query, match):
     cols = [("notes", "de"), ("description", "en"), ("motto", None)]
     con = sqlite3.connect(":memory:")
     con.execute("create virtual table docs using fts5(typename, f_notes, s_notes, f_description, s_description, f_motto, s_motto, tokenize='unicode61')")
-    docs = [(i, "Gem", {"notes": n, "description": d}) for i, (n, d) in enumerate(zip(NOTES, DESCS))] + [(100, "Vendor", {"motto": "crystal clear"}), (101, "Vendor", {"motto": "Berg und Tal"})]
+    docs = [(i, "Gem", {"notes": n, "description": d}) for i, (n, d) in enumerate(zip(NOTES, DESCS))] + [(100, "Vendor", {"motto": "lantern clear"}), (101, "Vendor", {"motto": "Berg und Tal"})]
     for oid, kind, v in docs:
         row = [kind]
         for f, lang in cols:
@@ -40,7 +40,7 @@ def fts5(query, match):
 
 
 @pytest.mark.parametrize("match", ["any", "all"])
-@pytest.mark.parametrize("query", ["crystal", "Kristall Berg", '"hardness scale" crystal', "growing mountain", "tal", '"crystals crystals"', "nothing"])
+@pytest.mark.parametrize("query", ["lantern", "Laterne Berg", '"hardness scale" lantern', "growing mountain", "tal", '"lanterns lanterns"', "nothing"])
 def test_scores(index, query, match):
     got = {r["oid"]: r["score"] for r in index.scores(query, None, match).collect()}
     want = fts5(query, match)
@@ -50,25 +50,25 @@ def test_scores(index, query, match):
 
 
 def test_search(spark, index):
-    best = [r["oid"] for r in index.search("crystal", "Gem", 3).collect()]
+    best = [r["oid"] for r in index.search("lantern", "Gem", 3).collect()]
     assert len(best) == 3
     fence = spark.createDataFrame([(best[2],)], "oid bigint")
-    assert [r["oid"] for r in index.search("crystal", "Gem", 3, readable=fence).collect()] == [best[2]]
-    assert index.search("crystal", "Gem", 3, readable=fence, scan_cap=2).count() == 0
+    assert [r["oid"] for r in index.search("lantern", "Gem", 3, readable=fence).collect()] == [best[2]]
+    assert index.search("lantern", "Gem", 3, readable=fence, scan_cap=2).count() == 0
     assert index.search("!!", "Gem").count() == 0
     with pytest.raises(ValueError):
         index.search("x", match="some")
     with pytest.raises(ConfigDrift):
         FullTextIndex.build({"G": {"t": "hi"}}, {"G": spark.createDataFrame([(1, "x")], "oid bigint, t string")})
-    new = index.refresh({"Gem": spark.createDataFrame([(0, "nichts", "zzz"), (50, "Kristall", None)], "oid bigint, notes string, description string")}, spark.createDataFrame([(1,)], "oid bigint"))
-    assert {r["oid"] for r in new.search("Kristall", "Gem").collect()} == {50}
+    new = index.refresh({"Gem": spark.createDataFrame([(0, "nichts", "zzz"), (50, "Laterne", None)], "oid bigint, notes string, description string")}, spark.createDataFrame([(1,)], "oid bigint"))
+    assert {r["oid"] for r in new.search("Laterne", "Gem").collect()} == {50}
 
 
 def test_saved_index(spark, index, tmp_path):
     path, kinds = f"file://{tmp_path}/index", {"Gem": {"notes": "de", "description": "en"}, "Vendor": {"motto": None}}
     index.save(path, 7)
     again = FullTextIndex.load(spark, path, kinds, 7)
-    order = lambda x: [r["oid"] for r in x.search("crystal", None, 5).collect()]
+    order = lambda x: [r["oid"] for r in x.search("lantern", None, 5).collect()]
     assert order(again) == order(index) and FullTextIndex.load(spark, path, kinds, 8) is None
     with pytest.raises(ConfigDrift):
         FullTextIndex.load(spark, path, kinds | {"Vendor": {"motto": "en"}})
