@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.records import strip
 
-# White space, U+001C to U+001F with it. Fixed values of the tokenizer.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# White space: the separators of Unicode and the controls U+0009 to U+000D, U+001C to U+001F and U+0085. Fixed values of the tokenizer.
+SPACE = r"\p{Z}\t-\r\x1c-\x1f\x85"
 TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACE}]+"
 #: A token with the white space before it: all of them in turn give the text up to its last token.
 CHUNK = rf"[{SPACE}]*(?:{TOKEN})"
