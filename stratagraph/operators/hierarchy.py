@@ -186,8 +186,7 @@ def cyclic_nodes(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
     for rings in reversed(contracted[:-1]):
         # a ring may lie on a later one as one node, which is one of its own
         inner = rings.select("node", F.col("cycle").alias("at")).join(member.select(F.col("node").alias("at"), "cycle"), "at", "left")
-        member = inner.select("node", F.coalesce("cycle", "at").alias("cycle")).unionByName(member.join(rings.select("node"), "node", "left_anti"))
-    member = materialize(member, "members")
+        member = materialize(inner.select("node", F.coalesce("cycle", "at").alias("cycle")).unionByName(member.join(rings.select("node"), "node", "left_anti")), "members")
     return member.select("cycle", "node").unionByName(alone.join(member.select("node"), "node", "left_anti"))
 
 
