@@ -24,5 +24,5 @@ def obo_terms(spark: SparkSession, path: str) -> DataFrame:
     tag = lambda name: F.regexp_extract("value", rf"(?m)^{name}: (.*)$", 1)
     return stanza.where(~F.col("value").rlike(r"(?m)^is_obsolete: true")).select(
         tag("id").alias("go_id"), tag("name").alias("name"), tag("namespace").alias("namespace"),
-        F.transform(F.expr(r"regexp_extract_all(value, '(?m)^is_a: ([^!\n]*)', 1)"), F.trim).alias("parents"),
+        F.transform(F.expr(r"regexp_extract_all(value, '(?m)^is_a: ([^!\n]*)', 1)"), lambda p: F.trim(p)).alias("parents"),
     )

@@ -69,6 +69,8 @@ def test_saved_index(spark, index, tmp_path):
     index.save(path, 7)
     again = FullTextIndex.load(spark, path, kinds, 7)
     order = lambda x: [r["oid"] for r in x.search("lantern", None, 5).collect()]
+    plan = again.scores("lantern drawer", "Gem")._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [" in plan  # a saved index is clustered by term: row groups of other terms aren't read
     assert order(again) == order(index) and FullTextIndex.load(spark, path, kinds, 8) is None
     with pytest.raises(ConfigDrift):
         FullTextIndex.load(spark, path, kinds | {"Vendor": {"motto": "en"}})
