@@ -1,14 +1,16 @@
 """Problem 4: parent-child links to full hierarchies, with cycles.
 
-Every term takes one of its parents, which makes a forest, or trees that end in a ring. Each task keeps the weighted
-disjoint sets of its part of these links: a term knows the top it reaches and its offset from it. The parts are merged
-level by level, FAN tasks into one, while a merged part has at most MERGE_ROWS rows, and whatever then still ends in
-another part is followed by joins that double their reach. The result gives each term its root and offset, and every
-ring is a cycle of terms, which is contracted to one node. Where no ring is left, a link whose parent isn't above its
-child by the offsets makes the child take that parent instead, and the forest is built again. Offsets only grow, so
-this ends: when each link agrees with the offsets no cycle is left, for the offsets would have to grow all the way
-round it. Paths are then followed through an index of finished path ends, doubling their length each round, so a depth
-d takes log2(d) joins; descendants double their distance in the same way.
+Links that hang below or above all cycles are peeled off first, while a round takes off an eighth or more: from a table
+of terms by hashes of their names, which may keep too much but never take off a link of a cycle, so that names are
+joined for the rest alone. Then every term takes one of its parents, which makes a forest, or trees that end in a ring.
+Each task keeps the weighted disjoint sets of its part of these links: a term knows the top it reaches and its offset
+from it. The parts are merged level by level, FAN tasks into one, while a merged part has at most MERGE_ROWS rows, and
+whatever then still ends in another part is followed by joins that double their reach. The result gives each term its
+root and offset, and every ring is a cycle of terms, which is contracted to one node. Where no ring is left, a link
+whose parent isn't above its child by the offsets makes the child take that parent instead, and the forest is built
+again. Offsets only grow, so this ends: when each link agrees with the offsets no cycle is left, for the offsets would
+have to grow all the way round it. Paths are then followed through an index of finished path ends, doubling their length
+each round, so a depth d takes log2(d) joins; descendants double their distance in the same way.
 
 Defined results: the current row of a go_id has its highest tid (ties by the greater parents); a null go_id is no
 term; null or empty parents make a root; entries that are null, blank or name no term don't count; repeats count once;
@@ -22,16 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import strip
-from ..runtime import materialize
+from ..runtime import if_small, materialize
 
 #: Rows of a forest that one task may hold when parts are merged (40 bytes each).
 MERGE_ROWS = 4_000_000
 #: Parts merged into one at each level.
 FAN = 8
+#: The part of the links that may be left for another round of peeling to follow.
+PEEL = 7 / 8
 STATE = "node bigint, first bigint, better int, top bigint, off bigint, bound int, part int"
 
 
@@ -42,14 +46,57 @@ def current_terms(terms: DataFrame) -> DataFrame:
     return top.select("go_id", "t.name", "t.namespace", "t.parents")
 
 
+def current_parents(terms: DataFrame) -> DataFrame:
+    """(go_id, parents) as in current_terms, without the names on the way."""
+    top = terms.where(F.col("go_id").isNotNull()).groupBy("go_id").agg(F.max(F.struct("tid", "parents")).alias("t"))
+    return top.select("go_id", "t.parents")
+
+
+def _named(current: DataFrame, child: Column) -> DataFrame:
+    """(child, key) of each parent entry that isn't blank; key is what it names, in lower case."""
+    entries = current.select(child.alias("child"), F.explode("parents").alias("entry"))
+    return entries.select("child", F.lower(strip(F.substring_index("entry", "!", 1))).alias("key")).where("key <> ''")
+
+
 def parent_links(current: DataFrame) -> DataFrame:
     """(child, parent) once per link, both by their go_id."""
-    entries = current.select(F.col("go_id").alias("child"), F.explode("parents").alias("entry"))
-    named = entries.select("child", F.lower(strip(F.element_at(F.split("entry", "!", 2), 1))).alias("key")).where("key <> ''").distinct()
+    named = _named(current, F.col("go_id")).distinct()
     ids = current.select(F.lower("go_id").alias("key"), F.col("go_id").alias("parent"))
     return named.join(ids, "key").select("child", "parent").distinct()
 
 
+def peel(child: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links whose child has children and whose parent has parents, again and again while PEEL of them or fewer are left."""
+    names, at = np.unique(np.concatenate([child, parent]), return_inverse=True)
+    down, up, rows = at[: len(child)], at[len(child) :], 2 * len(child)
+    while len(down) and len(down) <= PEEL * rows:
+        below, above = np.zeros(len(names), bool), np.zeros(len(names), bool)
+        below[up] = above[down] = True
+        on, rows = below[down] & above[up], len(down)
+        down, up = down[on], up[on]
+    return names[down], names[up]
+
+
+def _peel_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if held:
+        table = pa.Table.from_batches(held)
+        yield from pa.table(list(peel(table["child"].to_numpy(), table["parent"].to_numpy())), names=["child", "parent"]).to_batches(10_000)
+
+
+def peeled(links: DataFrame, merge_rows: int) -> DataFrame:
+    """links (child, parent: bigint) with all those of cycles, and most others taken off: by joins until one task can hold the rest."""
+    left = materialize(links, "links")
+    rows, now = 0, left.count()
+    while now > merge_rows and (not rows or now <= PEEL * rows):
+        below, above = left.select(F.col("parent").alias("child")).distinct(), left.select(F.col("child").alias("parent")).distinct()
+        left = materialize(left.join(below, "child", "left_semi").join(above, "parent", "left_semi"), "links")
+        rows, now = now, left.count()
+    if now > merge_rows:
+        return left
+    return materialize(left.repartition(1).mapInArrow(_peel_part, "child bigint, parent bigint"), "links")
+
+
 def settle(node: np.ndarray, top: np.ndarray, off: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(top, off, bound) of each node, followed as far as the rows here go. off is the offset from the top; bound marks what leads into a ring, and ends there."""
     order = np.argsort(node, kind="stable")
@@ -157,10 +204,7 @@ def cyclic_nodes(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
     """(cycle, node) of each node of links (child, parent: bigint) that can be reached from itself; cycle is one number for all of a cycle."""
     merge_rows = merge_rows or MERGE_ROWS
     own = links.where("child = parent").select(F.col("child").alias("node")).distinct()
-    left = links.where("child <> parent")
-    for _ in range(2):  # a node without children is on no cycle
-        left = left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-    left = materialize(left, "links")
+    left = peeled(links.where("child <> parent"), merge_rows)
     contracted: list[DataFrame] = []
     chosen = left.groupBy(F.col("child").alias("node")).agg(F.max("parent").alias("first")).withColumn("better", F.lit(1))
     rows = left.count()
@@ -201,6 +245,19 @@ def cyclic_terms(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
     return found.join(found.groupBy("cycle").agg(F.min("go_id").alias("cycle_id")), "cycle").select("cycle_id", "go_id")
 
 
+def _hash(name: Column) -> Column:
+    return F.xxhash64(name)
+
+
+def term_cycles(terms: DataFrame, merge_rows: int | None = None) -> DataFrame:
+    """cyclic_terms of a table of terms. Equal hashes make two terms one, which keeps every cycle, so what is peeled off by them is on none."""
+    rows, own = terms.select("go_id", "tid", "parents"), _hash(F.lower("go_id"))
+    hashed = _named(current_parents(rows), own).select("child", _hash(F.col("key")).alias("parent"))
+    near = materialize(peeled(hashed, merge_rows or MERGE_ROWS).select(F.col("child").alias("at")).distinct(), "near")
+    kept = materialize(current_parents(rows.join(if_small(near), own == F.col("at"), "left_semi")), "terms")
+    return cyclic_terms(materialize(parent_links(kept), "links"), merge_rows)
+
+
 def _followed(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(go_id, top, path, done): every path from a node without parents down to each node (go_id), along links that hold no cycle."""
     ends = (

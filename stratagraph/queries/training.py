@@ -35,8 +35,7 @@ def p3_feeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    links = hierarchy.parent_links(hierarchy.current_terms(read_table(spark, d, "terms")))
-    return hierarchy.cyclic_terms(materialize(links, "links"))
+    return hierarchy.term_cycles(read_table(spark, d, "terms"))
 
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stratagraph.errors import Conflict
 from stratagraph.functions.records import kind_letters, leading_number, payload_refs, split_fields
 from stratagraph.operators import cdc_apply, drift, hierarchy, incremental, orphans
+from stratagraph.queries import training
 
 T0 = datetime(2024, 1, 1)
 OBJECTS = "store_id int, oid bigint, cid int, tid bigint, payload string, crc bigint, committed_at timestamp_ntz, arrived_at timestamp_ntz, name string, fields string"
@@ -451,6 +452,41 @@ def test_deep_chain(spark):
     assert {tuple(r) for r in found.collect()} == {("T0000", f"T{i:04d}") for i in range(701)}
 
 
+@pytest.mark.parametrize("merge_rows", [None, 30])
+def test_peeled(spark, tmp_path, monkeypatch, merge_rows):
+    """What hangs above and below the cycles is peeled off before forests are built, however deep it hangs."""
+    rng = random.Random(4)
+    rows = [term(f"T{i:04d}", [f"T{rng.randrange(i):04d}" for _ in range(rng.choice([1, 1, 2]))] if i else None) for i in range(600)]
+    rows += [term(f"C{i}", [f"C{(i + 1) % 4}", *["T0007"] * (i == 0)]) for i in range(4)] + [term("T0300", ["T0007", "C2 ! below a cycle"], 2)]
+    spark.createDataFrame(rows, TERMS).write.parquet(str(tmp_path / "terms.parquet"))
+    given, forest = [], hierarchy.forest
+    monkeypatch.setattr(hierarchy, "forest", lambda chosen, rows, most: given.append(rows) or forest(chosen, rows, most))
+    if merge_rows:
+        monkeypatch.setattr(hierarchy, "MERGE_ROWS", merge_rows)
+    assert {tuple(r) for r in training.p4_found(spark, str(tmp_path)).collect()} == {("C0", f"C{i}") for i in range(4)}
+    assert 4 <= given[0] < 30
+
+
+@pytest.mark.parametrize("kinds", [1, 40])
+def test_equal_hashes(spark, monkeypatch, kinds):
+    """Terms of equal hash may keep links from being peeled off, but lose no cycle."""
+    rows = graph(random.Random(31)) + [term("dt:003", ["DT:002"]), term("X", ["Y"]), term("Y", ["x "])]
+    ids, links = {}, {}
+    for r in rows:
+        ids.setdefault((r[0] or "").lower(), set()).add(r[0])
+    best = {}
+    for r in rows:
+        if r[0] is not None and (r[0] not in best or (r[4], r[3] or []) > best[r[0]]):
+            best[r[0]] = (r[4], r[3] or [])
+    for g, (_, parents) in best.items():
+        links[g] = {p for e in parents if e and e.split("!")[0].strip() for p in ids.get(e.split("!")[0].strip().lower(), ())}
+    above = {g: up_from(links, g) for g in links}
+    want = {(min(x for x in above[g] if g in above[x]), g) for g in links if g in above[g]}
+    monkeypatch.setattr(hierarchy, "_hash", lambda name: F.pmod(F.xxhash64(name), F.lit(kinds)).cast("bigint"))
+    assert {tuple(r) for r in hierarchy.term_cycles(spark.createDataFrame(rows, TERMS)).collect()} == want and len(want) > 5
+    assert hierarchy.term_cycles(spark.createDataFrame([], TERMS)).count() == 0
+
+
 # -- 5
 
 
