@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import strip
-from ..runtime import if_small, materialize
+from ..runtime import if_small, materialize, release
 
 #: Rows of a forest that one task may hold when parts are merged (40 bytes each).
 MERGE_ROWS = 4_000_000
@@ -89,6 +89,7 @@ def peeled(links: DataFrame, merge_rows: int) -> DataFrame:
     left = materialize(links, "links")
     rows, now = 0, left.count()
     while now > merge_rows and (not rows or now <= PEEL * rows):
+        release(links.sparkSession)
         below, above = left.select(F.col("parent").alias("child")).distinct(), left.select(F.col("child").alias("parent")).distinct()
         left = materialize(left.join(below, "child", "left_semi").join(above, "parent", "left_semi"), "links")
         rows, now = now, left.count()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import json
 import tempfile
 import time
@@ -83,6 +84,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bytes up to which an input of few files is spread over all cores.
 SPREAD_BYTES = 64 << 20
 
